@@ -8,6 +8,7 @@ from ._tokens import token_path
 from .attribution import section_tokens
 from .decontamination import contamination_report
 from .packing import packed
+from .quality import quality_report
 from .token_file import token_files
 
 
@@ -31,10 +32,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section_tokens(table(spark, sf_dir, "documents"), token_path("byte_bpe_50k.json"), rule="start")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_token_file": op2_token_file,
     "op3_decontamination": op3_decontamination,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
+    "op9_quality_rules": op9_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
