@@ -9,6 +9,7 @@ from .attribution import section_tokens
 from .decontamination import contamination_report
 from .packing import packed
 from .quality import quality_report
+from .substrings import substring_report
 from .token_file import token_files
 from .toxicity import toxicity
 from .warc import archived
@@ -18,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_report(table(spark, sf_dir, "documents"))
+
+
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), token_path("byte_bpe_50k.json"), end_id=2)
 
@@ -47,6 +52,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_token_file": op2_token_file,
     "op3_decontamination": op3_decontamination,
     "op5_warc": op5_warc,
