@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ._tokens import token_path
 from .attribution import section_tokens
 from .decontamination import contamination_report
+from .near_duplicates import near_duplicates
 from .packing import packed
 from .quality import quality_report
 from .substrings import substring_report
@@ -31,6 +32,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "pages"))
 
@@ -55,6 +60,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_file": op2_token_file,
     "op3_decontamination": op3_decontamination,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_warc": op5_warc,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
