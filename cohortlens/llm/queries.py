@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ._tokens import token_path
 from .attribution import section_tokens
 from .decontamination import contamination_report
+from .extraction import main_text
 from .near_duplicates import near_duplicates
 from .packing import packed
 from .quality import quality_report
@@ -40,6 +41,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "pages"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), token_path("word_bpe_49k.json"), end_id=0, size=2048)
 
@@ -62,6 +67,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_warc": op5_warc,
+    "op6_html_extraction": op6_html_extraction,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
