@@ -184,6 +184,25 @@ def leaders(set_id: np.ndarray, sample: np.ndarray) -> tuple[list[int], list[tup
     return found, ties
 
 
+def forest(n: int, edges) -> list[tuple[int, int]]:
+    """Edges that join what earlier ones have not joined: at most n - 1, with the same components."""
+    root = list(range(n))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for x, y in edges:
+        p, q = top(x), top(y)
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append((x, y))
+    return out
+
+
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Tables of rows with equal values in the first columns, from batches sorted by them."""
     held: list[pa.RecordBatch] = []
@@ -219,6 +238,7 @@ def _ties(meetings: DataFrame, classes: DataFrame) -> DataFrame:
             ids = group.column("set_id").to_numpy()
             sample = np.frombuffer(b"".join(group.column("bytes").to_pylist()), np.uint8).reshape(-1, SAMPLES)
             found, ties = leaders(ids, sample)
+            ties = forest(len(ids), ties)
             a, b = (ids[[t[k] for t in ties]] if ties else ids[:0] for k in (0, 1))
             nodes = group.column("node").to_numpy()[:1]
             whole = group.column("size").to_numpy()[0] <= GROUP
@@ -303,24 +323,11 @@ def _verified(rows: DataFrame) -> DataFrame:
             if i != j:
                 alike &= own[:, None] != own[None, :]
             links = alike @ copies
-            root = np.arange(len(ids))
-
-            def top(x: int, root=root) -> int:
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = int(root[x])
-                return x
-
-            forest = []
-            for x, y in zip(*np.nonzero(np.triu(alike)), strict=True):
-                p, q = top(int(x)), top(int(y))
-                if p != q:
-                    root[max(p, q)] = min(p, q)
-                    forest.append((int(x), int(y)))
+            spanning = forest(len(ids), zip(*(x.tolist() for x in np.nonzero(np.triu(alike))), strict=True))
             with_links = np.flatnonzero(links)
-            a = np.concatenate([ids[with_links], ids[[x for x, _ in forest]] if forest else ids[:0]])
-            b = pa.array([None] * len(with_links) + [int(ids[y]) for _, y in forest], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(np.concatenate([links[with_links], np.zeros(len(forest), np.int64)]))], names=["a", "b", "links"])
+            a = np.concatenate([ids[with_links], ids[[x for x, _ in spanning]] if spanning else ids[:0]])
+            b = pa.array([None] * len(with_links) + [int(ids[y]) for _, y in spanning], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(np.concatenate([links[with_links], np.zeros(len(spanning), np.int64)]))], names=["a", "b", "links"])
 
     return own.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "a long, b long, links long")
 
