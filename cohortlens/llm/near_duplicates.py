@@ -258,22 +258,30 @@ def _ties(meetings: DataFrame, classes: DataFrame) -> DataFrame:
     return ties.unionByName(dealt(up).select("a", "b")).distinct()
 
 
+def _pairs(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """Distinct edges between different ends, the smaller first."""
+    ends = edges.selectExpr(f"least({a}, {b}) AS a", f"greatest({a}, {b}) AS b")
+    return written(ends.where("a < b").distinct())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root): the smallest id of each connected component of edges (a, b).
 
-    Labels go to neighbours and then jump to their label's label, until none changes.
+    In each round every vertex goes to its smallest neighbour, if that is smaller than itself,
+    and then to where that one goes; edges are renamed and made distinct, so they get few soon.
     """
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = written(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("id"), F.least("a", "least").alias("root")))
-    while True:
-        near = both.join(label, both["b"] == label["id"]).groupBy("a").agg(F.min("root").alias("near"))
-        new = label.join(near, label["id"] == near["a"]).select("id", F.least("root", "near").alias("next"), "root")
-        new = written(new)
-        jump = new.select(F.col("id").alias("next"), F.col("next").alias("far"))
-        stepped = written(new.join(jump, "next").select("id", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("changed")))
-        label = stepped.select("id", "root")
-        if stepped.where("changed").isEmpty():
-            return label
+    pairs = _pairs(edges, "a", "b")
+    label = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", F.col("id").alias("root"))
+    while not pairs.isEmpty():
+        up = pairs.groupBy("b").agg(F.min("a").alias("to"))
+        up = written(up.withColumnRenamed("b", "from"))
+        over = up.select(F.col("from").alias("to"), F.col("to").alias("further"))
+        up = written(up.join(over, "to", "left").select("from", F.coalesce("further", "to").alias("to")))
+        label = written(label.join(up, label["root"] == up["from"], "left").select("id", F.coalesce("to", "root").alias("root")))
+        ends = pairs.join(up, pairs["a"] == up["from"], "left").select(F.coalesce("to", "a").alias("a"), "b")
+        ends = ends.join(up, ends["b"] == up["from"], "left").select("a", F.coalesce("to", "b").alias("b"))
+        pairs = _pairs(ends, "a", "b")
+    return label
 
 
 def similar_pairs(sets: list[np.ndarray]) -> np.ndarray:
