@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 
 #: Multipliers of the two hash families (each is 5 modulo 8, so its powers do not repeat early).
 P1, P2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD95
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def _powers(p: int, n: int) -> np.ndarray:
@@ -30,7 +30,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.n:
-            self.n = max(n, 2 * self.n, 1 << 16)
+            self.n = max(n + n // 8, SLICE_BYTES + SLICE_BYTES // 8)
             self.up, self.down = _powers(self.p, self.n), _powers(self.inv, self.n)
         return self.up[:n], self.down[:n]
 

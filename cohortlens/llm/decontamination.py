@@ -180,41 +180,59 @@ def _merged(spans: list) -> list:
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_words: int = MAX_WORDS, text_col: str = "text") -> DataFrame:
-    """docs with n_words, spans of words in windows of n words of an item, and the items."""
+def _scanned(docs: DataFrame, benchmark: DataFrame, n: int, max_words: int, finish, schema) -> DataFrame:
+    """finish(batch, words, spans, items) -> RecordBatch of schema for slices of docs (text first)."""
     spark = docs.sparkSession
     words = F.size(F.split("text", "[^0-9A-Za-z\u0080-\U0010ffff]+"))
     rows = benchmark.where(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
     total = rows.agg(F.sum(words)).first()[0] or 0
     blocks = max(1, -(-int(total) // max_words))
-    docs = docs.drop("n_words", "spans", "items")
-    out = docs.withColumns({"n_words": F.lit(None).cast("long"), "spans": F.lit(None).cast("array<struct<first:int,past:int>>"), "items": F.lit(None).cast("array<string>")})
-    schema = out.schema
+    held = docs.withColumns({_SPANS: F.lit(None).cast("array<struct<first:int,past:int>>"), _ITEMS: F.lit(None).cast("array<string>")})
+    carried = held.schema
     for block in range(blocks):
         own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         # Bounded: a block has about max_words words.
         automaton = spark.sparkContext.broadcast(Automaton([(r[0], r[1]) for r in own.collect()], n))
+        last = block == blocks - 1
 
-        def find(batches: Iterator[pa.RecordBatch], automaton=automaton) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], automaton=automaton, last=last) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                k, (i_words, i_spans, i_items) = batch.schema.get_field_index(text_col), range(batch.num_columns - 3, batch.num_columns)
-                for a, b in slices(batch.column(k)):
+                for a, b in slices(batch.column(0)):
                     part = batch.slice(a, b - a)
-                    w = Words(part.column(k), ALNUM, lower=True)
+                    w = Words(part.column(0), ALNUM, lower=True)
                     spans, items = automaton.value.scan(w)
-                    old_spans, old_items = part.column(i_spans), part.column(i_items)
-                    merged = [_merged(spans.get(d, []) + [(x["first"], x["past"]) for x in old_spans[d].as_py() or ()]) for d in range(b - a)]
-                    names = [sorted(items.get(d, set()) | set(old_items[d].as_py() or ())) for d in range(b - a)]
-                    columns = list(part.columns)
-                    columns[i_words] = pa.array(w.counts(), pa.int64())
-                    columns[i_spans] = pa.array([[{"first": x, "past": y} for x, y in m] for m in merged], pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())])))
-                    columns[i_items] = pa.array(names, pa.list_(pa.string()))
-                    yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-        out = out.mapInArrow(find, schema)
-        if block < blocks - 1:
-            out = written(out)
-    return out
+                    for d, old in enumerate(part.column(part.num_columns - 2).to_pylist() if blocks > 1 else ()):
+                        if old:
+                            spans.setdefault(d, []).extend((x["first"], x["past"]) for x in old)
+                            items.setdefault(d, set()).update(part.column(part.num_columns - 1)[d].as_py())
+                    spans = {d: _merged(x) for d, x in spans.items()}
+                    if last:
+                        yield finish(part, w, spans, items)
+                    else:
+                        lists = [[{"first": x, "past": y} for x, y in spans.get(d, ())] for d in range(b - a)]
+                        names = [sorted(items.get(d, ())) for d in range(b - a)]
+                        columns = [*part.columns[:-2], pa.array(lists, _SPAN_TYPE), pa.array(names, pa.list_(pa.string()))]
+                        yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+
+        held = held.mapInArrow(scan, schema) if last else written(held.mapInArrow(scan, carried))
+    return held
+
+
+_SPANS, _ITEMS = "__spans", "__items"
+_SPAN_TYPE = pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_words: int = MAX_WORDS) -> DataFrame:
+    """doc_id with n_words, spans of words in windows of n words of an item, and the items."""
+
+    def finish(batch: pa.RecordBatch, w: Words, spans: dict, items: dict) -> pa.RecordBatch:
+        rows = range(len(batch))
+        lists = [[{"first": x, "past": y} for x, y in spans.get(d, ())] for d in rows]
+        names = [sorted(items.get(d, ())) for d in rows]
+        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(w.counts(), pa.int64()), pa.array(lists, _SPAN_TYPE), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "items"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return _scanned(docs.select("text", "doc_id"), benchmark, n, max_words, finish, f"doc_id {kind}, {FOUND}")
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
@@ -224,34 +242,32 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, n: int = 10) ->
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_coverage: float = 0.5) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_coverage: float = 0.5, max_words: int = MAX_WORDS) -> DataFrame:
     """docs without the hit spans; documents of which more than max_coverage of the words are hit go.
 
     A span goes with the bytes up to the next kept word.  Clean texts are unchanged, byte for byte.
     """
     columns, schema = docs.columns, docs.schema
-    found = contamination(docs.withColumnsRenamed({c: f"own_{c}" for c in columns if c in ("n_words", "spans", "items")}), benchmark, n)
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["past"] - x["first"])
-    kept = found.where(n_hit <= max_coverage * F.col("n_words")).drop("n_words", "items")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k = batch.schema.get_field_index("text")
-            texts, spans = batch.column(k), batch.column(batch.num_columns - 1)
-            sizes = np.diff(np.asarray(spans.offsets))
-            new = texts.to_pylist()
-            for d in np.flatnonzero(sizes):
-                w = Words(texts[d : d + 1], ALNUM)
-                body, left, at = w.body, [], 0
-                for x in spans[int(d)].as_py():
-                    left.append(body[at : w.starts[x["first"]]].tobytes())
-                    at = int(w.starts[x["past"]]) if x["past"] < len(w) else len(body)
-                new[d] = (b"".join(left) + body[at:].tobytes()).decode("utf-8", "replace")
-            out = list(batch.columns[:-1])
-            out[k] = pa.array(new, pa.string())
-            yield pa.RecordBatch.from_arrays(out, names=columns)
-
-    return kept.mapInArrow(cut, schema)
+
+    def finish(batch: pa.RecordBatch, w: Words, spans: dict, items: dict) -> pa.RecordBatch:
+        keep, new = np.ones(len(batch), bool), {}
+        for d, own in spans.items():
+            n_hit, n_words = sum(y - x for x, y in own), int(w.first[d + 1] - w.first[d])
+            keep[d] = n_hit <= max_coverage * n_words
+            body, end, first, left = batch.column(0)[d].as_py().encode(), int(w.at[d + 1] - w.at[d]), int(w.first[d]), []
+            at = 0
+            for x, y in own:
+                left.append(body[at : int(w.starts[first + x] - w.at[d])])
+                at = int(w.starts[first + y] - w.at[d]) if y < n_words else end
+            new[d] = (b"".join(left) + body[at:]).decode("utf-8", "replace")
+        text = batch.column(0)
+        if new:
+            text = pa.array([new.get(d, x) for d, x in enumerate(text.to_pylist())], text.type)
+        by_name = dict(zip(("text", *rest), (text, *batch.columns[1:]), strict=False))
+        return pa.RecordBatch.from_arrays([by_name[c] for c in columns], names=columns).filter(pa.array(keep))
+
+    rest = [c for c in columns if c != "text"]
+    return _scanned(docs.select("text", *rest), benchmark, n, max_words, finish, schema)
 
 
 __all__ = ["Automaton", "contamination", "contamination_report", "decontaminate"]
