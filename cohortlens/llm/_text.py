@@ -1,19 +1,22 @@
 """Vectorised words and hashes over Arrow batches of text.
 
-Everything here works on slices of a few MB of UTF-8, so that memory does not
+Everything here works on slices of about a MB of UTF-8, so that memory does not
 follow the size of an Arrow batch.  Hashes are polynomial modulo 2**64 over odd
 multipliers and then mixed; two multipliers give 128 bits.
 """
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Multipliers of the two hash families (each is 5 modulo 8, so its powers do not repeat early).
 P1, P2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD95
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def _powers(p: int, n: int) -> np.ndarray:
@@ -86,6 +89,21 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at - at[0]
 
 
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def release() -> None:
+    """Give freed memory back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES):
     """(first, past) row ranges whose texts are about limit bytes together."""
     _, at = raw(texts)
@@ -94,6 +112,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES):
         past = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
         yield first, min(past, len(texts))
         first = past
+    release()
 
 
 class Words:

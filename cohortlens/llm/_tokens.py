@@ -21,8 +21,8 @@ _UNSAFE = (
     r"[ ][ \t-\r]|[\t-\r][ ]|^[ ]|[ ]$|<\||[\x01\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 )
-#: Pieces remembered by a worker (about 100 MB), and pieces encoded in one call.
-REMEMBERED, TOGETHER = 300_000, 64
+#: Pieces remembered by a worker (about 50 MB), and pieces encoded in one call.
+REMEMBERED, TOGETHER = 150_000, 64
 
 
 def token_path(name: str) -> str:
@@ -121,16 +121,18 @@ class Encoder:
         offsets = np.asarray(pieces.offsets).astype(np.int64)
         offsets -= offsets[0]
         code = pc.dictionary_encode(pieces.flatten())
-        index = code.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        del pieces
+        index = code.indices.to_numpy(zero_copy_only=False).copy()
         words = code.dictionary.to_pylist()
+        del code
         firsts = np.unique(index[offsets[:-1]])
         # A text's first piece has no space before it, all others have one.
-        flat, at = self._of([" " + w for w in words])
         flat_f, at_f = self._raw([words[i] for i in firsts])
+        index[offsets[:-1]] = np.searchsorted(firsts, index[offsets[:-1]]) + len(words)
+        flat, at = self._of([" " + w for w in words])
+        del words
         flat, at = np.concatenate([flat, flat_f]), np.concatenate([at, at[-1] + at_f[1:]])
-        code_of_first = np.searchsorted(firsts, index[offsets[:-1]]) + len(words)
-        index[offsets[:-1]] = code_of_first
-        sizes = np.diff(at)[index]
+        sizes = np.diff(at).astype(np.int32)[index]
         begin = np.zeros(len(index) + 1, np.int64)
         np.cumsum(sizes, out=begin[1:])
         return flat[_ranges(at[index], sizes)], begin[offsets]
