@@ -7,8 +7,8 @@ negation, the third turns marks inside reported speech, the last sums what is
 left into features of the document.  So matched clauses are scored, not words.
 
 The insult lexicon has fixed words and units (words and beginnings of words)
-learned from labelled rows: those that stand in many labelled documents and
-hardly ever in others, chosen one after another by what they newly explain, so
+learned from labelled rows: those that stand in many toxic documents and hardly
+ever in others (a doubtful beginning counts where two words of a text have it), chosen one after another by what they newly explain, so
 that a group of copies does not bring in its whole vocabulary.  The weights of
 the features come from a ridge regression on the same rows towards stated
 priors.  At most MAX_ROWS labelled rows are used, chosen by hash.
@@ -36,6 +36,8 @@ from ._text import slices
 MAX_ROWS = 16_000
 #: A learned unit: beginnings of words so long, in so many labelled documents, so surely.
 PREFIXES, LEAST_DOCS, LEAST_GAIN, SURE = (3, 4, 5, 6, 7), 5, 3, 0.97
+#: As SURE, of beginnings that two words of a document have.
+SURE_TWICE = 0.85
 MAX_UNITS = 2_000
 
 #: Words of the grammar.
@@ -47,9 +49,11 @@ REPORTS = "said says claimed wrote called quoted sagte sagt schrieb nannte dit 
 INSULT, THREAT, TARGET, NEGATION, REPORT = 1, 2, 3, 4, 5
 #: Words that a negation reaches over.
 REACH = 3
-FEATURES = ("plain", "again", "negated", "reported", "aimed", "threat", "density")
+FEATURES = ("plain", "again", "negated", "reported", "aimed", "threat", "density", "hint")
 #: Priors of the weights: bias first.
-PRIOR = np.array([-4.0, 4.0, 1.0, 1.0, 1.0, 0.5, 1.0, 0.5])
+PRIOR = np.array([-4.0, 4.0, 1.0, 1.0, 1.0, 0.5, 1.0, 0.5, 1.0])
+#: Classes of words from here on are doubtful beginnings, by number.
+DOUBTFUL = 100
 RIDGE = 0.5
 
 
@@ -108,13 +112,15 @@ class Grammar:
     def __init__(self, units: list[str] = ()):
         self.words = {w: k for k, group in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS), (INSULT, INSULTS)) for w in group}
         self.words.update((u[2:], INSULT) for u in units if u[0] == "w")
-        self.starts = {u[2:] for u in units if u[0] == "p"}
+        self.starts = {u[2:]: INSULT for u in units if u[0] == "p"}
+        for k, u in enumerate(x for x in units if x[0] == "d"):
+            self.starts.setdefault(u[2:], DOUBTFUL + k)
         self.sizes = sorted({len(x) for x in self.starts})
 
     def of(self, word: str) -> int:
         if (k := self.words.get(word)) is not None:
             return k
-        return INSULT if any(len(word) > n and word[:n] in self.starts for n in self.sizes) else 0
+        return min((self.starts[word[:n]] for n in self.sizes if len(word) > n and word[:n] in self.starts), default=0)
 
     def features(self, texts: pa.Array) -> np.ndarray:
         """A row of FEATURES per text."""
@@ -126,12 +132,19 @@ class Grammar:
         offsets = np.asarray(pieces.offsets).astype(np.int64)
         offsets -= offsets[0]
         code = pc.dictionary_encode(pieces.flatten())
-        kinds = np.array([9 if w == "." else self.of(w) for w in code.dictionary.to_pylist()] or [0], np.int8)
-        kind = kinds[code.indices.to_numpy(zero_copy_only=False)] if len(code) else np.zeros(0, np.int8)
+        kinds = np.array([9 if w == "." else self.of(w) for w in code.dictionary.to_pylist()] or [0], np.int32)
+        kind = kinds[code.indices.to_numpy(zero_copy_only=False)] if len(code) else np.zeros(0, np.int32)
         out = np.zeros((len(texts), len(FEATURES)))
-        doc_at = np.searchsorted(offsets, np.flatnonzero((kind == INSULT) | (kind == THREAT)), "right") - 1
+        word = code.indices.to_numpy(zero_copy_only=False)
+        doc_at = np.searchsorted(offsets, np.flatnonzero((kind == INSULT) | (kind == THREAT) | (kind >= DOUBTFUL)), "right") - 1
         for d in np.unique(doc_at):
-            own = kind[offsets[d] : offsets[d + 1]]
+            own = kind[offsets[d] : offsets[d + 1]].copy()
+            hint = False
+            for k in np.unique(own[own >= DOUBTFUL]):
+                # A doubtful beginning counts where two different words have it, else it is a hint.
+                sure = len(np.unique(word[offsets[d] : offsets[d + 1]][own == k])) > 1
+                hint |= not sure
+                own[own == k] = INSULT if sure else 0
             where = np.flatnonzero(own)
             total, last, classes, gaps = np.zeros(5), -1, [], []
             for at, c in zip(where.tolist(), own[where].tolist(), strict=True):
@@ -146,19 +159,27 @@ class Grammar:
                 total += clause_features(classes, gaps)
             any_insult = total[0] + total[1] + total[2]
             density = np.log1p(1000 * any_insult / max(50, len(own)))
-            out[d] = (total[0] > 0, np.log(max(1.0, total[0])), np.log1p(total[1]), np.log1p(total[2]), total[3] > 0, np.log1p(total[4]), density)
+            out[d] = (total[0] > 0, np.log(max(1.0, total[0])), np.log1p(total[1]), np.log1p(total[2]), total[3] > 0, np.log1p(total[4]), density, hint)
         return out
 
 
 def _units(text: Column) -> Column:
     """Distinct words of a text and their beginnings."""
-    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w) > 2))
+    found = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w) > 2))
+    return F.transform(F.array(found), _units_of)[0]  # the words are bound, so they are split once
 
-    def starts_of(n: int) -> Column:
-        return F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.lit("p:"), F.substring(w, 1, n)))
 
-    starts = [starts_of(n) for n in PREFIXES]
-    return F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(F.lit("w:"), w)), *starts))
+def _units_of(words: Column) -> Column:
+
+    def starts_of(n: int, kind: str) -> Column:
+        return F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.lit(kind), F.substring(w, 1, n)))
+
+    def twice(x: Column) -> Column:
+        return F.filter(x, lambda y, k: F.coalesce(y == F.get(x, k + 1), F.lit(False)))
+
+    starts = [starts_of(n, "p:") for n in PREFIXES]
+    pairs = [F.transform(F.array(F.array_sort(starts_of(n, "d:"))), twice)[0] for n in PREFIXES if n > 3]
+    return F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(F.lit("w:"), w)), *starts, *pairs))
 
 
 def learned_units(sample: DataFrame) -> list[str]:
@@ -167,7 +188,7 @@ def learned_units(sample: DataFrame) -> list[str]:
     The driver gets at most MAX_UNITS numbers for each of the at most MAX_ROWS toxic rows.
     """
     rows = sample.select("toxic", "row_id", F.explode(_units(F.col("text"))).alias("unit"))
-    good = rows.groupBy("unit").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).where(F.col("t") >= LEAST_DOCS).where(F.col("t") >= SURE * F.col("n"))
+    good = rows.groupBy("unit").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).where(F.col("t") >= LEAST_DOCS).where(F.col("t") >= F.when(F.col("unit").startswith("d:"), SURE_TWICE).otherwise(SURE) * F.col("n"))
     best = [r["unit"] for r in good.orderBy(F.desc("t"), "unit").limit(MAX_UNITS).collect()]
     if not best:
         return []
@@ -179,8 +200,8 @@ def learned_units(sample: DataFrame) -> list[str]:
     out, left = [], set().union(*has.values()) if has else set()
     while left:
         # Most newly explained; then words before beginnings, longer beginnings first.
-        gain, _, k = max((len(ids & left), (best[k][0] == "w", len(best[k])), -k) for k, ids in has.items())
-        if gain < LEAST_GAIN:
+        gain, _, k = max((len(ids & left), ("dpw".index(best[k][0]), len(best[k])), -k) for k, ids in has.items())
+        if gain < LEAST_GAIN + 2 * (best[-k][0] == "d"):
             break
         out.append(best[-k])
         left -= has.pop(-k)
