@@ -158,7 +158,7 @@ def verify_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {FILES} SELECT stain, 'undeclared' AS kind FROM (SELECT DISTINCT stain FROM s EXCEPT SELECT * FROM (VALUES ('he'), ('pdl1'))) UNION ALL SELECT c0, 'unused' FROM (SELECT * FROM (VALUES ('he'), ('pdl1')) AS t(c0) EXCEPT SELECT stain FROM s)")
 def stains_undeclared(spark: SparkSession, sf_dir: str) -> DataFrame:
     used = index.slides(domain.files(spark, sf_dir)).select("stain").distinct()
-    declared = spark.createDataFrame([("he",), ("pdl1",)], "stain string")
+    declared = spark.sql("SELECT * FROM VALUES ('he'), ('pdl1') AS t(stain)")
     return used.exceptAll(declared).withColumn("kind", F.lit("undeclared")).unionByName(declared.exceptAll(used).withColumn("kind", F.lit("unused")))
 
 
