@@ -21,8 +21,8 @@ _UNSAFE = (
     r"[ ][ \t-\r]|[\t-\r][ ]|^[ ]|[ ]$|<\||[\x01\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 )
-#: Pieces remembered by a worker (about 50 MB), and pieces encoded in one call.
-REMEMBERED, TOGETHER = 150_000, 64
+#: Pieces remembered by a worker (about 80 MB), and pieces encoded in one call.
+REMEMBERED, TOGETHER = 250_000, 64
 
 
 def token_path(name: str) -> str:

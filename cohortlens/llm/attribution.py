@@ -59,7 +59,7 @@ def section_tokens(docs: DataFrame, tokenizer: str, rule: str = "start", section
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = byte_lengths(tokenizer)
         for batch in batches:
-            for a, b in slices(batch.column(1), 6 << 20):
+            for a, b in slices(batch.column(1), 10 << 20):
                 texts = batch.column(1)[a:b]
                 body, at = raw(texts)
                 ids, begin = encoder(tokenizer).encode(texts)

@@ -39,7 +39,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, id_col
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
-            for a, b in slices(texts, 6 << 20):
+            for a, b in slices(texts, 12 << 20):
                 ids, at = encoder(tokenizer).encode(texts[a:b])
                 row, piece, start, length, crc = [], [], [], [], []
                 for k in range(b - a):

@@ -124,7 +124,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
         for batch in batches:
             texts = batch.column(1)
             doc_ids += batch.column(0).to_pylist()
-            for a, b in slices(texts, 8 << 20):
+            for a, b in slices(texts, 12 << 20):
                 ids, at = encode(texts[a:b])
                 ends = at[1:] + np.arange(1, b - a + 1)
                 own = np.full(int(ends[-1]), end_id, np.uint32)
