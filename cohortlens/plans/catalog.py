@@ -159,7 +159,7 @@ def verify_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stains_undeclared(spark: SparkSession, sf_dir: str) -> DataFrame:
     used = index.slides(domain.files(spark, sf_dir)).select("stain").distinct()
     declared = spark.sql("SELECT * FROM VALUES ('he'), ('pdl1') AS t(stain)")
-    return used.exceptAll(declared).withColumn("kind", F.lit("undeclared")).unionByName(declared.exceptAll(used).withColumn("kind", F.lit("unused")))
+    return used.join(declared, "stain", "left_anti").withColumn("kind", F.lit("undeclared")).unionByName(declared.join(used, "stain", "left_anti").withColumn("kind", F.lit("unused")))
 
 
 @query(f"WITH {FILES}, a AS (SELECT case_id, count(*) AS n_ref FROM s WHERE stain = 'he' GROUP BY 1), b AS (SELECT case_id, count(*) AS n_moving FROM s WHERE stain = 'cd31' GROUP BY 1) SELECT coalesce(a.case_id, b.case_id) AS case_id, coalesce(n_ref, 0) AS n_ref, coalesce(n_moving, 0) AS n_moving FROM a FULL JOIN b ON a.case_id = b.case_id")
