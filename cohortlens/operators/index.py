@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: case, stain and an optional section of a slide's file name.
@@ -47,15 +47,35 @@ def issues(slide_rows: DataFrame, reference: str = "he") -> DataFrame:
     return own.select(kind.alias("severity"), F.col("case_id").alias("scope")).where("severity IS NOT NULL")
 
 
-def natural_key(name: str) -> object:
-    """Sort key of names by text, then number, then the rest."""
-    number = F.regexp_extract(name, r"(\d+)", 1)
-    return F.struct(F.lower(F.regexp_extract(name, r"^([^\d]*)", 1)), F.try_to_number(F.nullif(number, F.lit("")), F.lit("9" * 18)).cast("long"), F.col(name))
-
-
-def in_reading_order(boxes: DataFrame, group: str, gap: int) -> DataFrame:
-    """boxes (x, y) numbered by rows of y (a new row where y grows by more than gap), then x."""
-    by_y = Window.partitionBy(group).orderBy("y", "x", "id")
-    fresh = F.coalesce((F.col("y") - F.lag("y").over(by_y) > gap).cast("int"), F.lit(0))
-    rows = boxes.withColumn("fresh", fresh).withColumn("row", F.sum("fresh").over(by_y.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy("row", "x", "id"))).drop("fresh")
+def findings(slide_rows: DataFrame, files: DataFrame, survey: DataFrame, stains: dict[str, str], target: float) -> DataFrame:
+    """
+    (severity, scope, kind) of a cohort before a run.
+
+    survey (slide_uid, base, readable) is compared with the slides; of its checks the first that fails
+    counts. stains gives each declared stain's role; with no slides at all that is one finding.
+    """
+    roles = F.create_map(*(F.lit(x) for k, r in sorted(stains.items()) for x in (k, r))) if stains else F.create_map().cast("map<string,string>")
+    rows = slide_rows.withColumn("role", roles[F.col("stain")])
+    row = lambda df, severity, kind, scope: df.select(F.lit(severity).alias("severity"), scope.alias("scope"), F.lit(kind).alias("kind"))
+    named = row(warnings(files, list(stains)).where("kind <> 'stain'"), "warning", "file", F.lit("index"))
+    found = rows.select("stain").distinct()
+    declared = slide_rows.sparkSession.createDataFrame([(k,) for k in sorted(stains)], "stain string")
+    odd = row(found.join(declared, "stain", "left_anti"), "warning", "undeclared", F.lit("descriptor")).unionByName(row(declared.join(found, "stain", "left_anti"), "warning", "unused", F.lit("descriptor")))
+    case = rows.groupBy("case_id").agg(F.coalesce(F.bool_or(F.col("role") == "reference"), F.lit(False)).alias("ref"), F.coalesce(F.bool_or(F.col("role") == "moving"), F.lit(False)).alias("other"))
+    lone = row(case.where("NOT ref"), "error", "no reference", F.col("case_id")).unionByName(row(case.where("NOT other"), "warning", "no moving", F.col("case_id")))
+    seen = rows.join(survey.select("slide_uid", "base", "readable", F.lit(True).alias("measured")), "slide_uid", "left")
+    kind = F.when(F.col("measured").isNull(), "not measured").when(~F.coalesce("readable", F.lit(False)), "unreadable").when(F.col("base").isNull(), "no magnification").when(F.col("base") + 1e-9 < target, "below target")
+    slides_ = seen.select(F.when(F.col("measured").isNull(), "warning").otherwise("error").alias("severity"), F.col("slide_uid").alias("scope"), kind.alias("kind")).where("kind IS NOT NULL")
+    none = row(rows.agg(F.count(F.lit(1)).alias("n")).where("n = 0"), "error", "no slides", F.lit("index"))
+    return named.unionByName(odd).unionByName(lone).unionByName(slides_).unionByName(none)
+
+
+def by_role(paths: DataFrame, reference: str = "he") -> DataFrame:
+    """(sample, role) of files by stain keywords, the smallest path each, as columns reference and moving per label."""
+    from cohortlens.functions.naming import base_name, sample_id, stain_class
+
+    name = base_name(F.col("path"))
+    rows = paths.select("path", sample_id(name).alias("sample"), stain_class(name).alias("s")).where("s IS NOT NULL")
+    own = rows.groupBy("sample", F.col("s.kind").alias("kind"), F.col("s.label").alias("label")).agg(F.min("path").alias("path"))
+    ref = own.where("kind = 'HE'").select("sample", F.col("path").alias("reference"))
+    return own.where("kind <> 'HE'").join(ref, "sample", "full").select("sample", "label", "reference", F.col("path").alias("moving"))

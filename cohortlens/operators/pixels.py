@@ -1,27 +1,21 @@
-"""Measurements of tiles whose pixels are rows (tile, i, r, g, b), and image steps on grouped arrays."""
+"""Measurements of tiles whose pixels are rows (tile, i, r, g, b)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.functions.optics import is_brown, optical_density
-
-SIDE = 8
+from cohortlens.functions.optics import is_brown, optical_density, optical_density_max
 
 
 def measures(px: DataFrame, white: float = 235.0) -> DataFrame:
-    """Per tile: tissue fraction, share and maximum of optical density, bright percentile, brown share, means and spreads."""
+    """Per tile: tissue fraction, share, mean and maximum of optical density, brown share, mean, spread and correlation."""
     mean = (F.col("r") + F.col("g") + F.col("b")) / 3.0
     od = optical_density(F.col("r")) + optical_density(F.col("g")) + optical_density(F.col("b"))
     share = lambda c: F.round(F.avg(c.cast("int")), 6)
     return px.groupBy("tile").agg(
-        share(mean < white).alias("tissue_fraction"), share(od > 0.9).alias("od_share"), F.round(F.max(od), 6).alias("od_max"),
-        F.round(F.percentile("r", F.lit(0.9)), 6).alias("bright_p90"), share(is_brown(F.col("r"), F.col("g"), F.col("b"))).alias("brown_share"),
+        share(mean < white).alias("tissue_fraction"), share(od > 0.15).alias("od_share"), F.round(F.avg(od), 6).alias("od_mean"), F.round(F.max(optical_density_max(F.col("r"), F.col("g"), F.col("b"))), 6).alias("od_max"),
+        share(is_brown(F.col("r"), F.col("g"), F.col("b"))).alias("brown_share"),
         F.round(F.avg("r"), 6).alias("mean_r"), F.round(F.stddev_pop("r"), 6).alias("std_r"), F.round(F.corr("r", "g"), 6).alias("ncc_rg"),
     )
 
@@ -44,50 +38,3 @@ def density(px: DataFrame, microns: float, threshold: int) -> DataFrame:
     area = F.sum((F.col("r") < threshold).cast("int")) * (microns / 1000.0) ** 2
     cells = F.sum((F.col("b") < threshold - 40).cast("int"))
     return px.groupBy("tile").agg(F.round(area, 6).alias("area_mm2"), cells.alias("cells"), F.round(cells / F.nullif(area, F.lit(0.0)), 4).alias("density"))
-
-
-def components(px: DataFrame, threshold: int) -> DataFrame:
-    """Per tile the number of connected dark regions and the largest one's pixels (union-find on the grid)."""
-
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for tile, values in zip(frame["tile"], frame["values"], strict=True):
-                dark = np.asarray(values).reshape(SIDE, SIDE) < threshold
-                root = np.arange(SIDE * SIDE)
-
-                def top(k: int, root=root) -> int:
-                    while root[k] != k:
-                        root[k] = root[root[k]]
-                        k = int(root[k])
-                    return k
-
-                for y, x in zip(*np.nonzero(dark), strict=True):
-                    for yy, xx in ((y - 1, x), (y, x - 1)):
-                        if yy >= 0 and xx >= 0 and dark[yy, xx]:
-                            p, q = top(int(y) * SIDE + int(x)), top(int(yy) * SIDE + int(xx))
-                            root[max(p, q)] = min(p, q)
-                sizes = np.bincount([top(int(k)) for k in np.flatnonzero(dark.ravel())], minlength=1)
-                out.append((tile, int((sizes > 0).sum()), int(sizes.max())))
-            yield pd.DataFrame(out, columns=["tile", "regions", "largest"])
-
-    grouped = px.groupBy("tile").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "r"))), lambda x: x["r"]).alias("values"))
-    return grouped.mapInPandas(of, "tile long, regions int, largest int")
-
-
-def phase_shift(px: DataFrame) -> DataFrame:
-    """Per tile the shift between its first two channels by phase correlation."""
-
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for tile, a, b in zip(frame["tile"], frame["a"], frame["b"], strict=True):
-                f = np.fft.fft2(np.asarray(a, float).reshape(SIDE, SIDE)) * np.conj(np.fft.fft2(np.asarray(b, float).reshape(SIDE, SIDE)))
-                peak = np.fft.ifft2(f / np.maximum(np.abs(f), 1e-12)).real
-                y, x = np.unravel_index(int(np.argmax(peak)), peak.shape)
-                out.append((tile, int(x if x <= SIDE // 2 else x - SIDE), int(y if y <= SIDE // 2 else y - SIDE)))
-            yield pd.DataFrame(out, columns=["tile", "dx", "dy"])
-
-    lists = F.array_sort(F.collect_list(F.struct("i", "r", "g")))
-    grouped = px.groupBy("tile").agg(lists.alias("v")).select("tile", F.transform("v", lambda x: x["r"]).alias("a"), F.transform("v", lambda x: x["g"]).alias("b"))
-    return grouped.mapInPandas(of, "tile long, dx int, dy int")

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.functions import naming
 from cohortlens.functions.optics import level_for, snapped
 from cohortlens.functions.rules import compile_rule
-from cohortlens.operators import grid, index, pixels, selection
+from cohortlens.operators import grid, images, index, pixels, selection, stain
 from cohortlens.sources import domain
 from cohortlens.streaming.manifests import cell_counts
 
@@ -189,10 +190,10 @@ def resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domain.table(spark, sf_dir, "orders").select("o_orderkey").join(done, "o_orderkey", "left_anti")
 
 
-OBJ = "o AS (SELECT unnest([1.25, 2.5, 5, 10, 20, 40, 60, 80, 100])::DOUBLE AS o)"
+OBJ = "o AS (SELECT unnest([1, 2, 2.5, 4, 5, 10, 20, 40, 60, 100])::DOUBLE AS o)"
 
 
-@query(f"WITH {SURVEY}, {OBJ}, z AS (SELECT slide, base, o, row_number() OVER (PARTITION BY slide ORDER BY abs(base - o), o) AS k FROM v CROSS JOIN o) SELECT slide, CASE WHEN base IS NULL THEN 20.0::DOUBLE WHEN abs(base - o) <= 0.05::DOUBLE * o THEN o ELSE base END AS magnification, CASE WHEN base IS NULL THEN 'default' ELSE 'slide' END AS origin FROM z WHERE k = 1")
+@query(f"WITH {SURVEY}, {OBJ}, z AS (SELECT slide, base, o, row_number() OVER (PARTITION BY slide ORDER BY abs(base - o) / o, o) AS k FROM v CROSS JOIN o) SELECT slide, CASE WHEN base IS NULL THEN 20.0::DOUBLE WHEN abs(base - o) / o <= 0.05::DOUBLE THEN o ELSE base END AS magnification, CASE WHEN base IS NULL THEN 'default' ELSE 'slide' END AS origin FROM z WHERE k = 1")
 def mag_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = domain.survey(spark, sf_dir)
     return v.select("slide", F.coalesce(snapped(F.col("base")), F.lit(20.0)).alias("magnification"), F.when(F.col("base").isNull(), "default").otherwise("slide").alias("origin"))
@@ -220,9 +221,17 @@ def grid_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.tiles(domain.survey(spark, sf_dir), 512)
 
 
-@query(f"WITH {SURVEY}, c AS (SELECT slide, width, height, greatest(0, trunc(width / 2.0::DOUBLE - 500)::INT) AS x0, greatest(0, trunc(height / 2.0::DOUBLE - 500)::INT) AS y0 FROM v) SELECT slide, x0, y0, least(x0 + 1000, width) AS x1, least(y0 + 1000, height) AS y1 FROM c")
+PLACES = "w AS (SELECT * FROM (VALUES ('center', 0, 0), ('top_left', -1, -1), ('top_right', 1, -1), ('bottom_left', -1, 1), ('bottom_right', 1, 1)) AS t(region, sx, sy))"
+
+
+def _start(length: str, side: str) -> str:
+    edge = f"(trunc({length} * 0.05::DOUBLE)::INT + 200)"
+    return f"(CASE {side} WHEN 0 THEN {length} // 2 WHEN -1 THEN {edge} ELSE {length} - {edge} END - 200)"
+
+
+@query(f"WITH {SURVEY}, {PLACES}, c AS (SELECT slide, region, least(width, {_start('width', 'sx')} + 400) AS x1, least(height, {_start('height', 'sy')} + 400) AS y1 FROM v CROSS JOIN w) SELECT slide, region, greatest(0, x1 - 400) AS x0, greatest(0, y1 - 400) AS y0, x1, y1 FROM c")
 def region_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.center_boxes(domain.survey(spark, sf_dir), 1000)
+    return grid.named_boxes(domain.survey(spark, sf_dir), 400)
 
 
 @query(f"WITH {SURVEY} SELECT slide, trunc(0.5::DOUBLE * width - 0.25::DOUBLE * height + 10)::INT AS x, trunc(0.25::DOUBLE * width + 0.5::DOUBLE * height - 3)::INT AS y FROM v")
@@ -231,20 +240,25 @@ def affine_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.moved(points, [[0.5, -0.25, 10.0], [0.25, 0.5, -3.0], [0.0, 0.0, 1.0]])
 
 
-@query("WITH b AS (SELECT p_size AS size, p_partkey AS id, (p_partkey * 37 % 1000)::INT AS x, (p_partkey * 91 % 1000)::INT AS y FROM part), g AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY size ORDER BY y, x, id) > 20 THEN 1 ELSE 0 END AS fresh FROM b), r AS (SELECT *, sum(fresh) OVER (PARTITION BY size ORDER BY y, x, id ROWS UNBOUNDED PRECEDING) AS line FROM g) SELECT size, id, line::BIGINT AS line, row_number() OVER (PARTITION BY size ORDER BY line, x, id) AS place FROM r")
+BOXES = "b AS (SELECT p_size AS size, p_partkey AS id, (p_partkey * 37 % 1000)::INT AS x, (p_partkey * 91 % 1000)::INT AS y, (p_partkey % 30 + 1)::INT AS w, (p_partkey % 50 + 1)::INT AS h FROM part)"
+
+
+@query(f"WITH {BOXES}, z AS (SELECT *, x + w // 2 AS cx, y + h // 2 AS cy, avg(h) OVER (PARTITION BY size) * 0.5::DOUBLE AS tall FROM b), g AS (SELECT *, CASE WHEN cy - lag(cy) OVER (PARTITION BY size ORDER BY cy, id) >= tall THEN 1 ELSE 0 END AS fresh FROM z), r AS (SELECT *, sum(fresh) OVER (PARTITION BY size ORDER BY cy, id ROWS UNBOUNDED PRECEDING) AS line FROM g) SELECT size, id, line::BIGINT AS line, row_number() OVER (PARTITION BY size ORDER BY line, cx, cy, id) AS place FROM r")
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("p_partkey")
-    boxes = domain.table(spark, sf_dir, "part").select(F.col("p_size").alias("size"), p.alias("id"), (p * 37 % 1000).cast("int").alias("x"), (p * 91 % 1000).cast("int").alias("y"))
-    return index.in_reading_order(boxes, "size", 20).select("size", "id", F.col("row").alias("line"), F.col("place").cast("long").alias("place"))
+    box = {"x": p * 37 % 1000, "y": p * 91 % 1000, "w": p % 30 + 1, "h": p % 50 + 1}
+    boxes = domain.table(spark, sf_dir, "part").select(F.col("p_size").alias("size"), p.alias("id"), *(v.cast("int").alias(k) for k, v in box.items()))
+    return grid.in_reading_order(boxes, "size").select("size", "id", F.col("row").alias("line"), F.col("place").cast("long").alias("place"))
 
 
-OD = "(-ln((r + 1.0::DOUBLE) / 256) - ln((g + 1.0::DOUBLE) / 256) - ln((b + 1.0::DOUBLE) / 256))"
-HUE = "CASE WHEN hi = lo THEN 0 WHEN hi = r THEN 60 * (g - b) / nullif(hi - lo, 0)::DOUBLE WHEN hi = g THEN 120 + 60 * (b - r) / nullif(hi - lo, 0)::DOUBLE ELSE 240 + 60 * (r - g) / nullif(hi - lo, 0)::DOUBLE END"
+OD = "(" + " + ".join(f"-ln(({c} + 1) / 255.0::DOUBLE + 1e-6::DOUBLE)" for c in "rgb") + ")"
+OD_MAX = "greatest(" + ", ".join(f"-ln(greatest({c}, 1) / 255.0::DOUBLE)" for c in "rgb") + ")"
+HUE = "CASE WHEN hi = lo THEN 0 WHEN hi = r THEN 30 * (g - b) / nullif(hi - lo, 0)::DOUBLE WHEN hi = g THEN 60 + 30 * (b - r) / nullif(hi - lo, 0)::DOUBLE ELSE 120 + 30 * (r - g) / nullif(hi - lo, 0)::DOUBLE END"
+BROWN = f"h AS (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM px), q AS (SELECT *, floor({HUE} + 0.5::DOUBLE) AS u FROM h), z AS (SELECT *, CASE WHEN u < 0 THEN u + 180 ELSE u END BETWEEN 5 AND 20 AND coalesce(floor(255 * (hi - lo) / nullif(hi, 0)::DOUBLE + 0.5::DOUBLE), 0) >= 30 AND hi <= 220 AS brown FROM q)"
 
 
 @query(
-    f"WITH {PX}, h AS (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM px), q AS (SELECT *, {HUE} AS u FROM h), z AS (SELECT *, CASE WHEN u < 0 THEN u + 360 ELSE u END BETWEEN 10 AND 40 AND (hi - lo) >= 0.1::DOUBLE * hi AND hi < 0.9::DOUBLE * 255 AS brown FROM q) "
-    f"SELECT tile, round(avg(((r + g + b) / 3.0::DOUBLE < 235)::INT), 6) AS tissue_fraction, round(avg(({OD} > 0.9)::INT), 6) AS od_share, round(max({OD}), 6) AS od_max, round(quantile_cont(r, 0.9), 6) AS bright_p90, round(avg(brown::INT), 6) AS brown_share, round(avg(r), 6) AS mean_r, round(stddev_pop(r), 6) AS std_r, round(corr(r, g), 6) AS ncc_rg FROM z GROUP BY tile"
+    f"WITH {PX}, {BROWN} SELECT tile, round(avg(((r + g + b) / 3.0::DOUBLE < 235)::INT), 6) AS tissue_fraction, round(avg(({OD} > 0.15::DOUBLE)::INT), 6) AS od_share, round(avg({OD}), 6) AS od_mean, round(max({OD_MAX}), 6) AS od_max, round(avg(brown::INT), 6) AS brown_share, round(avg(r), 6) AS mean_r, round(stddev_pop(r), 6) AS std_r, round(corr(r, g), 6) AS ncc_rg FROM z GROUP BY tile"
 )
 def tile_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.measures(domain.pixels(spark, sf_dir))
@@ -288,16 +302,109 @@ def stream_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cell_counts(domain.table(spark, sf_dir, "events"), F.col("user_id") % 16).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+P90 = "n AS (SELECT tile, quantile_cont(v, 0.9) AS p90 FROM (SELECT tile, unnest([r, g, b]) AS v FROM px) GROUP BY tile)"
+_LINEAR = lambda c: f"CASE WHEN {c} / 255.0::DOUBLE > 0.04045 THEN pow(({c} / 255.0::DOUBLE + 0.055) / 1.055, 2.4) ELSE {c} / 255.0::DOUBLE / 12.92 END"
+_F = lambda t: f"(CASE WHEN {t} > 0.008856 THEN pow({t}, 1 / 3.0::DOUBLE) ELSE 7.787::DOUBLE * {t} + 16 / 116.0::DOUBLE END)"
+LAB = f"""sd AS (SELECT px.tile, i, {", ".join(f"CASE WHEN p90 > 0 THEN trunc(least(255, {c} * 255.0::DOUBLE / p90))::INT ELSE {c} END AS {c}" for c in "rgb")} FROM px JOIN n ON n.tile = px.tile),
+  li AS (SELECT tile, i, {", ".join(f"{_LINEAR(c)} AS {c}" for c in "rgb")} FROM sd),
+  xyz AS (SELECT tile, i, (0.412453::DOUBLE * r + 0.357580::DOUBLE * g + 0.180423::DOUBLE * b) / 0.950456::DOUBLE AS x, 0.212671::DOUBLE * r + 0.715160::DOUBLE * g + 0.072169::DOUBLE * b AS y, (0.019334::DOUBLE * r + 0.119193::DOUBLE * g + 0.950227::DOUBLE * b) / 1.088754::DOUBLE AS z FROM li),
+  la AS (SELECT tile, i, floor((CASE WHEN y > 0.008856 THEN 116 * pow(y, 1 / 3.0::DOUBLE) - 16 ELSE 903.3::DOUBLE * y END) * 2.55::DOUBLE + 0.5) / 2.55::DOUBLE AS l, floor(500 * ({_F("x")} - {_F("y")}) + 128.5) - 128 AS a, floor(200 * ({_F("y")} - {_F("z")}) + 128.5) - 128 AS bb FROM xyz)"""
+
+
+@query(f"WITH {PX}, {P90} SELECT tile, round(p90, 6) AS p90 FROM n")
+def brightness_p90(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stain.brightness(domain.pixels(spark, sf_dir)).select("tile", F.round("p90", 6).alias("p90"))
+
+
+@query(f"WITH {PX}, {P90}, {LAB} SELECT tile, " + ", ".join(f"round({f}({c}), 6) AS {n}_{c}" for n, f in (("mean", "avg"), ("std", "stddev_pop")) for c in ("l", "a", "bb")) + " FROM la GROUP BY tile")
+def reinhard_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fit = stain.reinhard_fit(domain.pixels(spark, sf_dir), ("tile",))
+    return fit.select("tile", *(F.round(c, 6).alias(c) for c in fit.columns if c != "tile"))
+
+
+@query(f"WITH {PX}, c AS (SELECT tile, CASE WHEN i // 8 >= 5 THEN 2 WHEN i // 8 >= 2 THEN 1 ELSE 0 END AS cy, CASE WHEN i % 8 >= 5 THEN 2 WHEN i % 8 >= 2 THEN 1 ELSE 0 END AS cx, r FROM px), s AS (SELECT tile, cy * 3 + cx AS cell, avg((r < 110)::INT) AS fraction FROM c GROUP BY 1, 2) SELECT tile, cell::INT AS cell, round(fraction, 6) AS fraction FROM s WHERE fraction > 0.05")
+def grid_valid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = domain.pixels(spark, sf_dir).select("tile", "i", F.col("r").alias("grey"))
+    return grid.valid_cells(px, 8, 3, dark=110).select("tile", F.col("cell").cast("int").alias("cell"), F.round("fraction", 6).alias("fraction"))
+
+
+@query(f"WITH {SURVEY}, t AS (SELECT *, unnest(generate_series(0, height - 1, 512)) AS y0 FROM v), q AS (SELECT *, unnest(generate_series(0, width - 1, 512)) AS x0 FROM t) SELECT slide, x0::INT AS x0, y0::INT AS y0, lpad(CAST(row_number() OVER (PARTITION BY slide ORDER BY y0, x0) AS VARCHAR), 6, '0') AS patch_id FROM q WHERE (slide + x0 + y0) % 3 <> 0")
+def grid_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tiles = grid.tiles(domain.survey(spark, sf_dir), 512)
+    return grid.kept_ids(tiles, (F.col("slide") + F.col("x0") + F.col("y0")) % 3 != 0).select("slide", "x0", "y0", "patch_id")
+
+
+@query("WITH s AS (SELECT o_orderkey, ' ' || o_orderpriority || ' / ' || o_orderstatus || '&E.' AS v FROM orders) SELECT o_orderkey, nullif(regexp_replace(regexp_replace(trim(v), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), '') AS name FROM s")
+def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.concat(F.lit(" "), "o_orderpriority", F.lit(" / "), "o_orderstatus", F.lit("&E."))
+    return domain.table(spark, sf_dir, "orders").select("o_orderkey", naming.safe_name(v).alias("name"))
+
+
+@query(f"WITH {FILES}, k AS (SELECT path, regexp_replace(name, '\\.[^.]*$', '') AS stem, lower(name) AS low FROM f) SELECT path, regexp_replace(regexp_replace(regexp_replace(stem, '[-_]?(meca79|cd163|caix|cd31|cd56|cd68|mhc1|pdl1|cd3|cd8|h&e|hne|he)[-_]?', '_', 'gi'), '_+', '_', 'g'), '^_|_$', '', 'g') AS sample, CASE WHEN contains(low, 'cd31') THEN 'CD31' WHEN contains(low, 'cd8') THEN 'CD8' WHEN contains(low, 'he') THEN 'HnE' END AS label FROM k")
+def sample_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return domain.files(spark, sf_dir).select("path", naming.sample_id(F.col("name")).alias("sample"), naming.stain_class(F.col("name"))["label"].alias("label"))
+
+
+@query("SELECT p_partkey AS slide, z.zoom, z.size, r.region, 'out/' || p_brand || '/' || z.zoom || '/' || r.region || '.png' AS output FROM part CROSS JOIN (VALUES ('x10', 512), ('x20', 256)) AS z(zoom, size) CROSS JOIN (VALUES ('center'), ('top_left')) AS r(region)")
+def output_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = domain.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("slide"), F.lit("out").alias("root"), "p_brand")
+    return grid.composed(rows, ["root", "p_brand"], {"x10": 512, "x20": 256}, ["center", "top_left"], ".png").select("slide", "zoom", "size", "region", "output")
+
+
+SEEN = "m AS (SELECT slide_uid, CASE WHEN section = 2 THEN NULL WHEN section = 3 THEN 10.0 ELSE 40.0 END::DOUBLE AS base, case_id NOT LIKE '%7' AS readable FROM s WHERE case_id NOT LIKE '%9')"
+
+
+@query(
+    f"WITH {FILES}, {SEEN}, r AS (SELECT *, CASE stain WHEN 'he' THEN 'reference' WHEN 'cd8' THEN 'moving' WHEN 'pdl1' THEN 'moving' END AS role FROM s), c AS (SELECT case_id, coalesce(bool_or(role = 'reference'), false) AS ref, coalesce(bool_or(role = 'moving'), false) AS other FROM r GROUP BY case_id), "
+    "k AS (SELECT s.slide_uid, CASE WHEN m.slide_uid IS NULL THEN 'not measured' WHEN NOT m.readable THEN 'unreadable' WHEN m.base IS NULL THEN 'no magnification' WHEN m.base + 1e-9 < 20 THEN 'below target' END AS kind FROM s LEFT JOIN m USING (slide_uid)) "
+    "SELECT 'warning' AS severity, 'index' AS scope, 'file' AS kind FROM d WHERE slide_uid IS NULL OR path NOT IN (SELECT path FROM s) "
+    "UNION ALL SELECT 'warning', 'descriptor', 'undeclared' FROM (SELECT DISTINCT stain FROM s WHERE stain NOT IN ('he', 'cd8', 'pdl1')) UNION ALL SELECT 'warning', 'descriptor', 'unused' FROM (VALUES ('he'), ('cd8'), ('pdl1')) AS t(c0) WHERE c0 NOT IN (SELECT stain FROM s) "
+    "UNION ALL SELECT 'error', case_id, 'no reference' FROM c WHERE NOT ref UNION ALL SELECT 'warning', case_id, 'no moving' FROM c WHERE NOT other "
+    "UNION ALL SELECT CASE kind WHEN 'not measured' THEN 'warning' ELSE 'error' END, slide_uid, kind FROM k WHERE kind IS NOT NULL"
+)
+def verify_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = domain.files(spark, sf_dir)
+    rows = index.slides(files)
+    base = F.when(F.col("section") == 3, 10.0).when(F.col("section") != 2, 40.0)
+    survey = rows.where("case_id NOT LIKE '%9'").select("slide_uid", base.alias("base"), (~F.col("case_id").like("%7")).alias("readable"))
+    return index.findings(rows, files, survey, {"he": "reference", "cd8": "moving", "pdl1": "moving"}, 20.0)
+
+
 @query()
 def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return domain.table(spark, sf_dir, "pages").select("url").orderBy(index.natural_key("url"))
+    return domain.table(spark, sf_dir, "pages").select("url").orderBy(naming.natural_key(F.col("url")))
 
 
 @query()
 def components_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels.components(domain.pixels(spark, sf_dir), 150)
+    return images.components(domain.pixels(spark, sf_dir), 150)
 
 
 @query()
 def phase_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels.phase_shift(domain.pixels(spark, sf_dir))
+    return images.phase_shift(domain.pixels(spark, sf_dir))
+
+
+@query()
+def topk_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.contours(domain.pixels(spark, sf_dir), 150)
+
+
+@query()
+def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.matches(domain.pixels(spark, sf_dir), 150)
+
+
+@query()
+def cell_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.cell_counts(domain.pixels(spark, sf_dir), least=2)
+
+
+@query()
+def macenko_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stain.macenko_fit(domain.pixels(spark, sf_dir))
+
+
+@query()
+def vahadane_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stain.vahadane_fit(domain.pixels(spark, sf_dir))

@@ -10,19 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Keys that are bookkeeping and don't change a recipe's hash.
-BOOKKEEPING = frozenset({"generated_at", "created_at", "version", "study", "name"})
+#: Keys of a recipe that are bookkeeping and don't change its hash.
+BOOKKEEPING = frozenset({"generated_at", "recipe_hash", "version"})
 
 
 def recipe_hash(recipe: dict) -> str:
-    """First 16 hex digits of the SHA-256 of the decisions in a recipe."""
-
-    def decisions(x: object) -> object:
-        if isinstance(x, dict):
-            return {k: decisions(v) for k, v in sorted(x.items()) if k not in BOOKKEEPING}
-        return [decisions(v) for v in x] if isinstance(x, (list, tuple)) else x
-
-    return hashlib.sha256(json.dumps(decisions(recipe), sort_keys=True, default=str).encode()).hexdigest()[:16]
+    """First 12 hex digits of the SHA-256 of a recipe without its bookkeeping, as JSON with sorted keys."""
+    body = json.dumps({k: v for k, v in recipe.items() if k not in BOOKKEEPING}, sort_keys=True, default=str)
+    return hashlib.sha256(body.encode()).hexdigest()[:12]
 
 
 def write_manifest(df: DataFrame, path: str, stage: str, recipe: dict | None = None) -> None:
@@ -45,6 +40,30 @@ def read_listing(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = (
     return rows.withColumn("name", name).where(F.lower(F.regexp_extract("name", r"(\.[^.]+)$", 1)).isin(list(suffixes)))
 
 
+def head_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """path and the first 16 hex digits of the SHA-256 of each file's first MiB."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return rows.select("path", F.substring(F.sha2(F.substring("content", 1, 1 << 20), 256), 1, 16).alias("digest"))
+
+
+def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
+    """A result table as one CSV file with a header, null as nothing; results are aggregates, so one file holds them."""
+    df.select(*(columns or df.columns)).coalesce(1).write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+
+
+def as_text(df: DataFrame, limit: int = 20) -> str:
+    """The first rows as aligned text, floats to 4 significant digits, and how many more there are."""
+    rows, more = df.take(limit), max(0, df.count() - limit)
+    if not rows:
+        return "(no rows)"
+    cell = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)
+    grid = [df.columns, *([cell(v) for v in r] for r in rows)]
+    widths = [max(map(len, column)) for column in zip(*grid, strict=True)]
+    lines = ["  ".join(v.ljust(w) for v, w in zip(line, widths, strict=True)) for line in grid]
+    lines.insert(1, "  ".join("-" * w for w in widths))
+    return "\n".join(lines + ([f"... {more} more row(s)"] if more else []))
+
+
 def load_descriptor(text: str) -> dict:
     """A cohort's descriptor: stain names in lower case, sources as a list."""
     data = tomllib.loads(text)

@@ -45,7 +45,7 @@ def test_manifest_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a", 1, None), ("b", 2, 0.5)], "uid string, n long, x double")
     write_manifest(df, str(tmp_path / "m"), "patches", {"size": 3, "name": "one"})
     assert sorted(map(tuple, read_manifest(spark, str(tmp_path / "m"), df.schema).collect())) == sorted(map(tuple, df.collect()))
-    assert recipe_hash({"size": 3, "name": "one"}) == recipe_hash({"size": 3, "name": "two"}) != recipe_hash({"size": 4})
+    assert recipe_hash({"size": 3, "version": "1"}) == recipe_hash({"size": 3, "version": "2"}) != recipe_hash({"size": 4})
     assert load_descriptor("[stains.HE]\nrole='reference'\n[sources]\nroot='/x'") == {"stains": {"he": {"role": "reference"}}, "sources": [{"root": "/x"}]}
 
 
