@@ -6,7 +6,9 @@ picks one or two of SAMPLES random orders of all shingles, and a class goes to
 the child named by its first shingle in that order, a shingle that it shares
 with whatever else goes there.  Nodes with few classes are compared by brute
 force; larger ones split again, down to DEPTHS[-1] levels.  The number of runs
-follows from the wanted recall of a pair that is just similar enough.
+follows from the wanted recall of a pair that is just similar enough, for each
+depth by itself: classes of nodes that split walk further runs from the root, as
+many as their new depth needs.
 
 A node's classes are not all paired.  By estimated similarity they gather round
 leaders: who is within the joining distance of a leader is no leader itself and
@@ -38,7 +40,9 @@ from ._text import P1, Words, mix, slices, span_hash
 SHINGLE = 5
 #: Similarity as a fraction, so that comparisons are of whole numbers.
 NUMERATOR, DENOMINATOR = 4, 5
-SAMPLES = 64
+SAMPLES = 128
+#: Orders by which similarity to a leader is estimated.
+ESTIMATE = 64
 #: Levels after which nodes are looked at; nodes of up to SMALL classes are not split further.
 DEPTHS, SMALL = (3, 6, 9), 200
 #: Chance that a node picks a second order; the expected similar children of a just similar pair are then 1.
@@ -52,13 +56,24 @@ TIED, JOINED = 0.5, 0.8
 _ORDERS = np.random.default_rng(5).integers(1, 1 << 63, (2, SAMPLES), dtype=np.uint64) | np.uint64(1)
 
 
-def runs_for(recall: float = RECALL, depth: int = DEPTHS[0]) -> int:
-    """Runs after which a pair of least similarity shares a node at depth with this chance."""
-    s, lost = NUMERATOR / DENOMINATOR, 0.0
+def runs_for(recall: float = 1 - (1 - RECALL) / len(DEPTHS), depth: int = DEPTHS[0]) -> int:
+    """Runs after which a pair of least similarity shares a node at depth with this chance.
+
+    All runs pick from the same SAMPLES orders, so they are independent only given the number of orders
+    in which the pair agrees; the loss is the mean over that number.  The depths share what RECALL lets go.
+    """
+    s, k = NUMERATOR / DENOMINATOR, np.arange(SAMPLES + 1)
+    chance = np.array([math.comb(SAMPLES, int(x)) * s**x * (1 - s) ** (SAMPLES - x) for x in k])
+    second, lost = SECOND * (1 - 1 / SAMPLES), np.zeros(SAMPLES + 1)
     for _ in range(depth):
-        one = 1 - s + s * lost
-        lost = (1 - SECOND) * one + SECOND * one * one
-    return math.ceil(math.log(1 - recall) / math.log(lost))
+        one = 1 - k / SAMPLES * (1 - lost)
+        other = SAMPLES - k
+        two = (other * (other - 1) + 2 * k * other * lost + k * (k - 1) * lost * lost) / (SAMPLES * (SAMPLES - 1))
+        lost = (1 - second) * one + second * two
+    runs = 1
+    while chance @ lost**runs > 1 - recall:
+        runs += 1
+    return runs
 
 
 def shingles(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -83,13 +98,13 @@ def unique_sets(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def samples(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The first shingle in each order, as 32 bits, for texts that have any."""
+    """16 bits of the first shingle in each order, of those that vary most, for texts that have any."""
     full = np.flatnonzero(np.diff(at))
-    out = np.zeros((len(full), SAMPLES), np.uint32)
+    out = np.zeros((len(full), SAMPLES), np.uint16)
     if len(full):
         for k in range(SAMPLES):
             x = h * _ORDERS[0, k] + _ORDERS[1, k]
-            out[:, k] = np.minimum.reduceat(x, at[full]) >> np.uint64(32)
+            out[:, k] = np.minimum.reduceat(x, at[full]) >> np.uint64(32) & np.uint64(0xFFFF)
     return out
 
 
@@ -105,8 +120,8 @@ def _sets(docs: DataFrame) -> DataFrame:
                 part = batch.slice(a, b - a)
                 h, at = unique_sets(*shingles(Words(part.column(3))))
                 full = np.diff(at) > 0
-                blob = samples(h, at).astype("<u4").tobytes()
-                size = SAMPLES * 4
+                blob = samples(h, at).astype("<u2").tobytes()
+                size = SAMPLES * 2
                 place = np.cumsum(full) - 1
                 sample = [blob[p * size : (p + 1) * size] if f else None for p, f in zip(place.tolist(), full.tolist(), strict=True)]
                 name = span_hash(h, at[:-1], at[1:]).view(np.int64)
@@ -130,19 +145,19 @@ def descend(node: np.ndarray, sample: np.ndarray, row: np.ndarray, levels: int)
     return row, node
 
 
-def _paths(classes: DataFrame, levels: int, runs: int | None) -> DataFrame:
-    """(node, set_id) after levels more levels; from the roots of all runs, or from classes' own node."""
+def _paths(classes: DataFrame, levels: int, runs: range | None) -> DataFrame:
+    """(node, set_id) after levels more levels; from the roots of these runs, or from classes' own node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, len(batch), 4096):
                 part = batch.slice(a, 4096)
-                sample = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u4").reshape(-1, SAMPLES)
+                sample = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u2").reshape(-1, SAMPLES)
                 if runs is None:
                     row, node = np.arange(len(part)), part.column(2).to_numpy().view(np.uint64)
                 else:
-                    row = np.tile(np.arange(len(part)), runs)
-                    node = np.repeat(mix(np.arange(1, runs + 1, dtype=np.uint64)), len(part))
+                    row = np.tile(np.arange(len(part)), len(runs))
+                    node = np.repeat(mix(np.arange(runs.start + 1, runs.stop + 1, dtype=np.uint64)), len(part))
                 row, node = descend(node, sample, row, levels)
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), part.column(0).take(pa.array(row))], names=["node", "set_id"])
 
@@ -152,9 +167,13 @@ def _paths(classes: DataFrame, levels: int, runs: int | None) -> DataFrame:
 
 def _meetings(classes: DataFrame) -> DataFrame:
     """(node, size, set_id) of nodes that are small or as deep as they get, with two classes at least."""
-    own, out = classes, None
+    own, out, begun = None, None, 0
+    again = classes
     for k, depth in enumerate(DEPTHS):
-        found = written(_paths(own, depth - (DEPTHS[k - 1] if k else 0), None if k else runs_for()))
+        runs = runs_for(depth=depth)
+        paths = _paths(again, depth, range(begun, runs))
+        found = written(paths if own is None else paths.unionByName(_paths(own, depth - DEPTHS[k - 1], None)))
+        begun = runs
         sizes = written(found.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
         last = k == len(DEPTHS) - 1
         done = found.join(sizes if last else sizes.where(F.col("size") <= SMALL), "node")
@@ -162,7 +181,10 @@ def _meetings(classes: DataFrame) -> DataFrame:
         large = sizes.where(F.col("size") > SMALL)
         if last or large.isEmpty():
             return out
-        own = found.join(large.select("node"), "node", "left_semi").join(classes.select("set_id", "sample"), "set_id")
+        split = found.join(large.select("node"), "node", "left_semi")
+        own = split.join(classes.select("set_id", "sample"), "set_id")
+        # A pair that meets in split nodes alone needs the runs of the next depth.
+        again = classes.join(split.select("set_id").distinct(), "set_id", "left_semi")
 
 
 def leaders(set_id: np.ndarray, sample: np.ndarray) -> tuple[list[int], list[tuple[int, int]]]:
@@ -229,14 +251,14 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 def _ties(meetings: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b): classes tied through leaders of the nodes where they meet."""
-    small = classes.select("set_id", F.concat(*[F.expr(f"substring(sample, {4 * k + 1}, 1)") for k in range(SAMPLES)]).alias("bytes"))
+    small = classes.select("set_id", F.concat(*[F.expr(f"substring(sample, {2 * k + 1}, 1)") for k in range(ESTIMATE)]).alias("bytes"))
     rows = meetings.join(small, "set_id")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("set_id"), F.ceil(F.col("size") / GROUP)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 2):
             ids = group.column("set_id").to_numpy()
-            sample = np.frombuffer(b"".join(group.column("bytes").to_pylist()), np.uint8).reshape(-1, SAMPLES)
+            sample = np.frombuffer(b"".join(group.column("bytes").to_pylist()), np.uint8).reshape(-1, ESTIMATE)
             found, ties = leaders(ids, sample)
             ties = forest(len(ids), ties)
             a, b = (ids[[t[k] for t in ties]] if ties else ids[:0] for k in (0, 1))

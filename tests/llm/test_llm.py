@@ -156,6 +156,24 @@ def test_near_duplicates(docs, empty):
     assert kept.columns == docs.columns and kept.count() == no_words + len({x for x, s in zip(root, sets, strict=True) if s})
 
 
+def test_pairs_meet_in_split_nodes(spark):
+    """Pairs that are just similar enough, in a group so large that nodes split to the last depth."""
+    r, pairs = np.random.default_rng(11), 400
+    base = r.integers(1 << 16, size=nd.SAMPLES)
+    rows, truth = [], set()
+    for p in range(pairs):
+        own = np.where(r.random(nd.SAMPLES) < 0.95, base, r.integers(1 << 16, size=nd.SAMPLES))
+        other = np.where(r.random(nd.SAMPLES) < 0.8, own, r.integers(1 << 16, size=nd.SAMPLES))
+        rows += [(2 * p, own.astype("<u2").tobytes()), (2 * p + 1, other.astype("<u2").tobytes())]
+        truth.add(p)
+    classes = nd.written(spark.createDataFrame(rows, "set_id long, sample binary"))
+    nodes = collections.defaultdict(set)
+    for x in nd._meetings(classes).select("node", "set_id").distinct().toLocalIterator():
+        nodes[x["node"]].add(x["set_id"])
+    met = {x // 2 for own in nodes.values() for x in own if x ^ 1 in own}
+    assert len(truth - met) <= 1, f"{len(truth - met)} of {pairs} pairs never met"
+
+
 def test_warc(spark):
     pages = [(1, "http://a/x y", "<p>é" * 30), (2, None, "<p>é" * 30), (0, "u", "short"), (3, "u", "short"), (4, "u", None), (5, "v", "漢\r\n\r\n" * 40_000), (None, "w", "<p>é" * 30), (1, "dup", "<p>é" * 30)]
     got = collections.Counter(map(tuple, warc.archived(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()))
