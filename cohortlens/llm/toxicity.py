@@ -185,27 +185,41 @@ def _units_of(words: Column) -> Column:
 def learned_units(sample: DataFrame) -> list[str]:
     """Units that tell toxic rows of sample (text, toxic), greedily by what they newly explain.
 
-    The driver gets at most MAX_UNITS numbers for each of the at most MAX_ROWS toxic rows.
+    The driver gets at most MAX_UNITS units at a time, with at most MAX_ROWS numbers each.  Gains only
+    fall, so a choice among them is that among all units while its gain is over what the others had.
     """
     rows = sample.select("toxic", "row_id", F.explode(_units(F.col("text"))).alias("unit"))
     good = rows.groupBy("unit").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).where(F.col("t") >= LEAST_DOCS).where(F.col("t") >= F.when(F.col("unit").startswith("d:"), SURE_TWICE).otherwise(SURE) * F.col("n"))
-    best = [r["unit"] for r in good.orderBy(F.desc("t"), "unit").limit(MAX_UNITS).collect()]
-    if not best:
-        return []
-    number = {u: k for k, u in enumerate(best)}
-    chosen = rows.where("toxic = 1").join(F.broadcast(good.select("unit").where(F.col("unit").isin(best))), "unit")
-    has: dict[int, set[int]] = {}
-    for u, ids in ((r["unit"], r["ids"]) for r in chosen.groupBy("unit").agg(F.collect_list("row_id").alias("ids")).collect()):
-        has[number[u]] = set(ids)
-    out, left = [], set().union(*has.values()) if has else set()
-    while left:
-        # Most newly explained; then words before beginnings, longer beginnings first.
-        gain, _, k = max((len(ids & left), ("dpw".index(best[k][0]), len(best[k])), -k) for k, ids in has.items())
-        if gain < LEAST_GAIN + 2 * (best[-k][0] == "d"):
-            break
-        out.append(best[-k])
-        left -= has.pop(-k)
-    return out
+    # Most newly explained; then words before beginnings, longer beginnings first.
+    rank = (F.desc("gain"), F.desc(F.expr("instr('dpw', left(unit, 1))")), F.desc(F.length("unit")), F.desc("t"), "unit")
+    pairs = written(rows.where("toxic = 1").join(good.select("unit", "t"), "unit").select("unit", "t", "row_id").distinct())
+    out: list[str] = []
+    while True:
+        best = pairs.groupBy("unit", "t").agg(F.countDistinct("row_id").alias("gain")).where(F.col("gain") >= LEAST_GAIN).orderBy(*rank).limit(MAX_UNITS + 1).collect()
+        if not best:
+            return out
+        others = best[MAX_UNITS]["gain"] if len(best) > MAX_UNITS else 0
+        best = best[:MAX_UNITS]
+        names = [r["unit"] for r in best]
+        chosen = pairs.where(F.col("unit").isin(names)).groupBy("unit").agg(F.collect_set("row_id").alias("ids")).collect()
+        total, has = {r["unit"]: r["t"] for r in best}, {r["unit"]: set(r["ids"]) for r in chosen}
+        gone: set[int] = set()
+        first = True
+        while has:
+            key = {u: (-len(ids - gone), -"dpw".index(u[0]), -len(u), -total[u], u) for u, ids in has.items()}
+            u = min(key, key=key.get)
+            gain = -key[u][0]
+            if not first and gain <= others:
+                break
+            if gain < LEAST_GAIN + 2 * (u[0] == "d"):
+                return out
+            out.append(u)
+            gone |= has.pop(u)
+            first = False
+        if not others:
+            return out
+        spent = pairs.sparkSession.createDataFrame([(x,) for x in gone], "row_id long")
+        pairs = written(pairs.join(F.broadcast(spent), "row_id", "left_anti"))
 
 
 def fitted(x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -13,6 +13,7 @@ import pytest
 
 from cohortlens.llm import near_duplicates as nd
 from cohortlens.llm import packing, substrings, token_file, warc
+from cohortlens.llm import toxicity as tox
 from cohortlens.llm._tokens import Encoder, load, token_path
 from cohortlens.llm.attribution import section_tokens
 from cohortlens.llm.decontamination import contamination_report, decontaminate
@@ -243,6 +244,18 @@ def test_grammar(spark, docs):
     assert got.count() == docs.count() and got.where("score < 0 OR score > 1 OR predicted <> int(score >= 0.3)").isEmpty()
 
 
+def test_units_beyond_the_bound(spark, monkeypatch):
+    """Words of a large group of toxic copies do not push out an insult that fewer texts have."""
+    r = random.Random(8)
+    copy = " ".join("".join(r.choice("bcdfghjk") for _ in range(8)) for _ in range(30))
+    rows = [(copy, 1, k) for k in range(60)] + [(f"zork {r.randrange(10**6)}", 1, 100 + k) for k in range(20)] + [("plain words here", 0, 200 + k) for k in range(60)]
+    sample = spark.createDataFrame(rows, "text string, toxic int, row_id long")
+    whole = tox.learned_units(sample)
+    assert "w:zork" in whole
+    monkeypatch.setattr(tox, "MAX_UNITS", 5)
+    assert tox.learned_units(sample) == whole
+
+
 def test_toxic_held_out(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
