@@ -53,7 +53,7 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: The stages are beyond SQL; tests compare run() with a brute-force version.
+#: The stages are beyond SQL; no brute-force version of run() exists, tests run its stages again and compare doc_ids.
 ORACLE_SQL = None
 
 
