@@ -2,11 +2,14 @@
 
 Each document has a vector of transformed statistics.  For every (lang, source)
 with enough documents the half of them with the smallest covariance determinant
-is sought by concentration steps: distances from the group's medians choose the
-first half, then mean and covariance of the half choose the next.  A document
+is sought from several starts: the half nearest to the medians, the half by the
+covariance of the spatial signs, and the half by the covariance of the squashed
+scores.  From each, concentration steps (mean and covariance of the half choose
+the next half) go on until no group's determinant falls any more; of the starts
+the one that ends with the smallest determinant is the group's fit.  A document
 is rejected if its Mahalanobis distance from that fit is beyond a limit, or by
-the base rules.  Small groups use the fit of their language, and where that is
-small as well the fit of all documents.
+the base rules.  Groups of fewer than least_group documents use the fit of their
+language, and where that is small as well the fit of all documents.
 
 Everything is DataFrame and SQL functions.  A fit is one aggregation with
 map-side sums; quantiles are mergeable sketches; no group is ever collected.
@@ -22,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import discard, written
 
 SPACES, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
 FEATURES = ("symbols", "word_length", "capitals", "marks")
@@ -30,7 +33,10 @@ FEATURES = ("symbols", "word_length", "capitals", "marks")
 FLOORS = {"symbols": 0.06, "word_length": 0.05, "capitals": 0.03, "marks": 0.03}
 #: Words that pull a short document towards its group.
 PULL = 60.0
-STEPS, LEAST_GROUP, CUT = 3, 60, 7.5
+LEAST_GROUP, CUT = 60, 7.5
+#: Steps go on until no group's log determinant falls by more than SETTLED, MAX_STEPS at most.
+MAX_STEPS, SETTLED = 15, 0.01
+STARTS = ("medians", "signs", "squashed")
 #: Median of the chi-squared distribution with as many degrees of freedom as features.
 CHI2_MEDIAN = 3.3567
 #: Groups whose fits may be broadcast (a few hundred bytes each).
@@ -137,42 +143,80 @@ def _pulled(center: str) -> dict[str, Column]:
     return {a: F.col(f"{center}_{a}") + (F.col(a) - F.col(f"{center}_{a}")) * weight for a in FEATURES}
 
 
-def fits(statistics: DataFrame) -> DataFrame:
-    """A row per group of each level: key, n, mean, Cholesky factor and scale of its fit.
+def _log_determinant() -> Column:
+    """Of the covariance whose Cholesky factor the columns l_ij are."""
+    out = F.lit(0.0)
+    for i in range(len(FEATURES)):
+        out = out + 2 * F.log(F.col(f"l_{i}{i}"))
+    return out
 
-    statistics is read STEPS + 3 times; it should be a table of a few numbers per document.
-    """
-    rows = _keys(statistics.where(F.col("n_words") >= 10)).withColumn("group_key", F.explode("level_keys")).drop("level_keys")
-    middle = rows.groupBy("group_key").agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(a, 0.5, 2000).alias(f"m_{a}") for a in FEATURES))
-    middle = written(middle.where(F.col("n") >= LEAST_GROUP))
-    centres = middle.select("group_key", "n", *(F.col(f"m_{a}").alias(f"q_{a}") for a in FEATURES))
-    rows = _beside(rows, centres).withColumns(_pulled("q")).drop("n")
+
+_PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
+
+
+def _started(rows: DataFrame, centres: DataFrame, few: bool) -> DataFrame:
+    """A fit per group and start: the medians with three covariances that outliers hardly move."""
     spread = rows.groupBy("group_key").agg(*(F.percentile_approx(F.abs(F.col(a) - F.col(f"q_{a}")), 0.5, 2000).alias(f"s_{a}") for a in FEATURES))
-    fit = spread.join(middle, "group_key")
-    for i, a in enumerate(FEATURES):
-        for j in range(i + 1):
-            fit = fit.withColumn(f"c_{i}{j}", (F.col(f"s_{a}") * 1.4826) ** 2 if i == j else F.lit(0.0))
-    fit = written(_factor(fit).select("group_key", "n", *_fitted()))
-    for step in range(STEPS + 1):
-        near = _beside(rows, fit).withColumn("d2", _distance({a: F.col(a) for a in FEATURES}))
-        half = near.groupBy("group_key").agg(F.percentile_approx("d2", 0.5, 2000).alias("half"))
-        if step == STEPS:
-            # The half's covariance is too small for all; its scale makes the median distance right.
-            out = fit.join(half, "group_key").withColumn("scale", F.greatest(F.col("half") / CHI2_MEDIAN, F.lit(1.0))).drop("half")
-            return written(out.join(centres.drop("n"), "group_key"))
-        near = _beside(near.drop("half"), written(half)).where(F.col("d2") <= F.col("half"))
-        pairs = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
-        sums = near.groupBy("group_key").agg(*(F.avg(a).alias(f"m_{a}") for a in FEATURES), *(F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c_{i}{j}") for i, j in pairs))
-        fit = written(_factor(sums.join(middle.select("group_key", "n"), "group_key")).select("group_key", "n", *_fitted()))
+    spread = written(spread.join(centres, "group_key").select("group_key", *(F.greatest(F.col(f"s_{a}") * 1.4826, F.lit(FLOORS[a])).alias(f"s_{a}") for a in FEATURES), *(F.col(f"q_{a}").alias(f"m_{a}") for a in FEATURES)))
+    z = {a: (F.col(a) - F.col(f"m_{a}")) / F.col(f"s_{a}") for a in FEATURES}
+    norm = F.greatest(F.sqrt(sum((x * x for x in z.values()), F.lit(0.0))), F.lit(1e-9))
+    kinds = {"signs": [z[a] / norm for a in FEATURES], "squashed": [F.tanh(z[a]) for a in FEATURES]}
+    scores = _beside(rows, spread, few).select("group_key", *(x.alias(f"{kind}_{i}") for kind, v in kinds.items() for i, x in enumerate(v)))
+    sums = scores.groupBy("group_key").agg(*(F.avg(F.col(f"{kind}_{i}") * F.col(f"{kind}_{j}")).alias(f"{kind}_{i}{j}") for kind in kinds for i, j in _PAIRS))
+    both = spread.join(sums, "group_key")
+    out = None
+    for kind in STARTS:
+        entry = lambda i, j, kind=kind: F.lit(float(i == j)) if kind == "medians" else F.col(f"{kind}_{i}{j}")
+        covariance = {f"c_{i}{j}": entry(i, j) * F.col(f"s_{FEATURES[i]}") * F.col(f"s_{FEATURES[j]}") for i, j in _PAIRS}
+        own = _factor(both.withColumns(covariance)).select("group_key", F.lit(kind).alias("start"), *_fitted())
+        out = own if out is None else out.unionByName(own)
+    result = written(out)
+    discard(spread)
+    return result
+
+
+def fits(statistics: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
+    """A row per group of each level: key, start, log determinant, mean, Cholesky factor and scale of its fit.
+
+    statistics is read a few times for every step; it should be a table of a few numbers per document.
+    """
+    wanted = statistics.where(F.col("n_words") >= 10).select("lang", "source", "n_words", *FEATURES)
+    rows = _keys(wanted).withColumn("group_key", F.explode("level_keys")).drop("level_keys", "lang", "source")
+    middle = rows.groupBy("group_key").agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(a, 0.5, 2000).alias(f"q_{a}") for a in FEATURES))
+    centres = written(middle.where(F.col("n") >= least_group))
+    few = centres.count() <= BROADCAST_GROUPS
+    rows = _beside(rows, centres.drop("n"), few).withColumns(_pulled("q"))
+    fit = _started(rows, centres, few)
+    rows = rows.select("group_key", *FEATURES)
+    for step in range(MAX_STEPS):
+        near = _beside(rows, fit, few).withColumn("d2", _distance({a: F.col(a) for a in FEATURES})).select("group_key", "start", "d2", *FEATURES)
+        half = written(near.groupBy("group_key", "start").agg(F.percentile_approx("d2", 0.5, 2000).alias("half")))
+        inner = near.join(F.broadcast(half) if few else half, ["group_key", "start"]).where(F.col("d2") <= F.col("half"))
+        sums = inner.groupBy("group_key", "start").agg(*(F.avg(a).alias(f"m_{a}") for a in FEATURES), *(F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c_{i}{j}") for i, j in _PAIRS))
+        after = written(_factor(sums).select("group_key", "start", *_fitted()).withColumn("log_determinant", _log_determinant()))
+        before = fit.select("group_key", "start", F.col("log_determinant").alias("last")) if step else None
+        fell = after.join(before, ["group_key", "start"]).agg(F.max(F.col("last") - F.col("log_determinant"))).first()[0] if step else None
+        discard(half, fit)
+        fit = after
+        if step and (fell is None or fell < SETTLED):
+            break
+    best = fit.groupBy("group_key").agg(F.min_by(F.struct(*fit.columns[1:]), F.struct("log_determinant", "start")).alias("best")).select("group_key", "best.*")
+    best = written(best)
+    near = _beside(rows, best, few).withColumn("d2", _distance({a: F.col(a) for a in FEATURES}))
+    # The half's covariance is too small for all; its scale makes the median distance right.
+    half = near.groupBy("group_key").agg(F.percentile_approx("d2", 0.5, 2000).alias("half"))
+    out = best.join(half, "group_key").withColumn("scale", F.greatest(F.col("half") / CHI2_MEDIAN, F.lit(1.0))).drop("half")
+    out = written(out.join(centres, "group_key"))
+    discard(fit, best, centres)
+    return out
 
 
 def _fitted() -> list[str]:
-    return [f"m_{a}" for a in FEATURES] + [f"l_{i}{j}" for i in range(len(FEATURES)) for j in range(i + 1)]
+    return [f"m_{a}" for a in FEATURES] + [f"l_{i}{j}" for i, j in _PAIRS]
 
 
-def _beside(rows: DataFrame, groups: DataFrame) -> DataFrame:
+def _beside(rows: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
     """rows with the columns of their group; groups go to all executors only if they are few."""
-    few = groups.count() <= BROADCAST_GROUPS
     return rows.join(F.broadcast(groups) if few else groups, "group_key")
 
 
@@ -180,31 +224,37 @@ def with_verdict(statistics: DataFrame, fit: DataFrame, cut: float = CUT) -> Dat
     """statistics with distance (root of the scaled square) and kept."""
     few = fit.count() <= BROADCAST_GROUPS
     rows = _keys(statistics)
-    fit = fit.drop("n")
-    packed = fit.select("group_key", F.struct(*(c for c in fit.columns if c != "group_key")).alias("fit"))
+    fit = fit.drop("n", "start", "log_determinant")
+    names = [c for c in fit.columns if c != "group_key"]
+    packed = fit.select("group_key", F.struct(*names).alias("fit"))
     for k in range(len(LEVELS)):
         own = packed.select(F.col("group_key").alias(f"key_{k}"), F.col("fit").alias(f"fit_{k}"))
         rows = rows.withColumn(f"key_{k}", F.element_at("level_keys", k + 1)).join(F.broadcast(own) if few else own, f"key_{k}", "left").drop(f"key_{k}")
     rows = rows.withColumn("fit", F.coalesce(*(F.col(f"fit_{k}") for k in range(len(LEVELS))))).drop("level_keys", *(f"fit_{k}" for k in range(len(LEVELS))))
-    names = [c for c in fit.columns if c != "group_key"]
     rows = rows.withColumns({c: F.col(f"fit.{c}") for c in names}).drop("fit")
     d = F.sqrt(_distance(_pulled("q")) / F.col("scale"))
     return rows.withColumn("distance", d).drop(*names).withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cut))
 
 
-def quality_report(docs: DataFrame, cut: float = CUT) -> DataFrame:
-    """Statistics and verdict of every document."""
-    base = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
-    statistics = written(with_statistics(base).drop("text"))
-    return with_verdict(statistics, fits(statistics), cut).drop("lang", "source", *FEATURES)
+def _texts(docs: DataFrame, *extra: Column) -> DataFrame:
+    return docs.select(*extra, F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
+
 
+def quality_report(docs: DataFrame, cut: float = CUT, least_group: int = LEAST_GROUP) -> DataFrame:
+    """Statistics and verdict of every document; equal rows each get theirs, extra columns are not read."""
+    statistics = written(with_statistics(_texts(docs, F.col("doc_id"))).drop("text"))
+    return with_verdict(statistics, fits(statistics, least_group), cut).drop("lang", "source", *FEATURES)
 
-def keep_clean(docs: DataFrame, cut: float = CUT) -> DataFrame:
-    """docs that are kept, with their own columns only."""
+
+def keep_clean(docs: DataFrame, cut: float = CUT, least_group: int = LEAST_GROUP) -> DataFrame:
+    """docs that are kept, with their own columns only, whatever these are called.
+
+    Statistics are written once beside the rows that they are of.
+    """
     columns = docs.columns
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
-    statistics = written(with_statistics(docs.select("text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))).drop("text"))
-    judged = with_verdict(with_statistics(own).drop("text"), fits(statistics), cut)
+    row = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")
+    statistics = written(with_statistics(_texts(docs, row)).drop("text"))
+    judged = with_verdict(statistics, fits(statistics, least_group), cut)
     return judged.where("kept").select(*(F.col("row").getField(c).alias(c) for c in columns))
 
 
