@@ -1,10 +1,13 @@
 """Toxicity by a weighted finite-state grammar of clauses.
 
-Words become classes (insult, threat, target, negation, reported speech); four
-transducers run over the classes of a clause and are composed: the first marks
-insults and threats with their targets, the second turns marks in the reach of a
-negation, the third turns marks inside reported speech, the last sums what is
-left into features of the document.  So matched clauses are scored, not words.
+Words become classes (insult, threat, target, negation, reported speech).  Four
+transducers read the classes of a clause: the first guesses whether the clause
+has a target and accepts where the guess was right, so that it marks aimed
+insults and threats; the second turns marks in the reach of a negation; the third
+turns marks inside reported speech; the last gives each mark that is left its
+feature.  They are composed into one machine, whose arcs carry the weights.  So
+matched clauses are scored, not words: the weight of a lone insult in a document,
+without target, threat or a second one, is held below every usual threshold.
 
 The insult lexicon has fixed words and units (words and beginnings of words)
 learned from labelled rows: those that stand in many toxic documents and hardly
@@ -29,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import discard, written
 from ._text import slices
 
 #: Labelled rows that are learned from.
@@ -38,6 +41,7 @@ MAX_ROWS = 16_000
 PREFIXES, LEAST_DOCS, LEAST_GAIN, SURE = (3, 4, 5, 6, 7), 5, 3, 0.97
 #: As SURE, of beginnings that two words of a document have.
 SURE_TWICE = 0.85
+#: Units that are on the driver at a time; the choice is among all.
 MAX_UNITS = 2_000
 
 #: Words of the grammar.
@@ -46,14 +50,18 @@ THREATS = "kill hurt destroy crush punish beat töten umbringen verprügeln tuer
 TARGETS = "you your he she they them him her his their du dich dir ihr euch sie er tu toi vous il elle ils elles tú usted ustedes él ella ellos ellas".split()
 NEGATIONS = "not no never nobody isn't aren't don't nicht kein keine nie pas jamais aucun nunca jamás ningún".split()
 REPORTS = "said says claimed wrote called quoted sagte sagt schrieb nannte dit écrit appelé dijo dice escribió llamó".split()
-INSULT, THREAT, TARGET, NEGATION, REPORT = 1, 2, 3, 4, 5
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 #: Words that a negation reaches over.
 REACH = 3
-FEATURES = ("plain", "again", "negated", "reported", "aimed", "threat", "density", "hint")
+#: What the composed machine's arcs are marked with.
+MARKS = ("insult", "aimed", "threat", "negated", "told")
+FEATURES = ("lone", "several", "again", "aimed", "threat", "negated", "told", "density", "hint")
 #: Priors of the weights: bias first.
-PRIOR = np.array([-4.0, 4.0, 1.0, 1.0, 1.0, 0.5, 1.0, 0.5, 1.0])
-#: Classes of words from here on are doubtful beginnings, by number.
-DOUBTFUL = 100
+PRIOR = np.array([-4.0, 2.0, 4.0, 1.0, 4.0, 4.0, 0.5, 0.5, 0.5, 1.0])
+#: Log odds that a lone insult may reach: 0.25.
+LONE_AT_MOST = -1.1
+#: The class of a clause's end; classes of words from DOUBTFUL on are doubtful beginnings, by number.
+CLAUSE_END, DOUBTFUL = 9, 100
 RIDGE = 0.5
 
 
@@ -61,49 +69,109 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def mark(classes: list[int]) -> list[tuple[str, bool]]:
-    """First transducer: marks of a clause as (kind, aimed); a threat needs a target."""
-    aimed = TARGET in classes
-    out = []
-    for c in classes:
-        if c == INSULT:
-            out.append(("insult", aimed))
-        elif c == THREAT and aimed:
-            out.append(("threat", True))
-        else:
-            out.append(("", False))
-    return out
-
-
-def negate(classes: list[int], gaps: list[int], marks: list[tuple[str, bool]]) -> list[tuple[str, bool, bool]]:
-    """Second transducer: state is the words left that a negation reaches; gaps are words between."""
-    out, left = [], 0
-    for c, gap, (kind, aimed) in zip(classes, gaps, marks, strict=True):
-        left = max(0, left - gap - 1)
-        out.append((kind, aimed, bool(kind) and left > 0))
-        if c == NEGATION:
-            left = REACH + 1
-    return out
+class Transducer:
+    """Arcs {(state, symbol): (state, symbol)}, start states and final states; it may guess, but one path at most accepts."""
+
+    def __init__(self, arcs: dict, starts: set, finals: set):
+        self.arcs, self.starts, self.finals = arcs, starts, finals
+
+    def after(self, other: Transducer) -> Transducer:
+        """The composition that reads what other writes; only states that can be reached."""
+        starts = {(x, y) for x in other.starts for y in self.starts}
+        symbols = {symbol for _, symbol in other.arcs}
+        arcs, todo, seen = {}, list(starts), set(starts)
+        while todo:
+            x, y = todo.pop()
+            for symbol in symbols:
+                if (first := other.arcs.get((x, symbol))) and (second := self.arcs.get((y, first[1]))):
+                    state = (first[0], second[0])
+                    arcs[(x, y), symbol] = state, second[1]
+                    if state not in seen:
+                        seen.add(state)
+                        todo.append(state)
+        return Transducer(arcs, starts, {s for s in seen if s[0] in other.finals and s[1] in self.finals})
+
+    def numbered(self) -> Transducer:
+        """The same machine with whole numbers as states."""
+        number = {s: k for k, s in enumerate(sorted({*self.starts, *(x[0] for x in self.arcs), *(x[0] for x in self.arcs.values())}, key=repr))}
+        return Transducer({(number[s], x): (number[t], y) for (s, x), (t, y) in self.arcs.items()}, {number[s] for s in self.starts}, {number[s] for s in self.finals if s in number})
+
+    def read(self, symbols: list) -> list | None:
+        """What the accepted path writes."""
+        for state in self.starts:
+            out = []
+            for x in symbols:
+                step = self.arcs.get((state, x))
+                if step is None:
+                    break
+                state = step[0]
+                out.append(step[1])
+            else:
+                if state in self.finals:
+                    return out
+        return None
+
+
+def _aiming() -> Transducer:
+    """Marks insults and threats; "none" guesses a clause without target, "ahead" one whose target is still to come."""
+    arcs = {}
+    for state in ("none", "ahead", "seen"):
+        for c in (OTHER, NEGATION, REPORT):
+            arcs[state, c] = state, c
+        arcs[state, INSULT] = state, "insult" if state == "none" else "aimed"
+        arcs[state, THREAT] = state, OTHER if state == "none" else "threat"
+        if state != "none":
+            arcs[state, TARGET] = "seen", OTHER
+    return Transducer(arcs, {"none", "ahead"}, {"none", "seen"})
+
+
+def _negating() -> Transducer:
+    """The state is how many more words a negation reaches over."""
+    arcs = {}
+    for left in range(REACH + 1):
+        for x in (OTHER, REPORT, *MARKS[:3]):
+            arcs[left, x] = max(0, left - 1), "negated" if left and x in MARKS else x
+        arcs[left, NEGATION] = REACH, OTHER
+    return Transducer(arcs, {0}, set(range(REACH + 1)))
+
+
+def _reporting() -> Transducer:
+    """The state is whether a reporting verb came before."""
+    arcs = {}
+    for inside in (0, 1):
+        for x in (OTHER, *MARKS[:4]):
+            arcs[inside, x] = inside, "told" if inside and x in MARKS[:3] else x
+        arcs[inside, REPORT] = 1, OTHER
+    return Transducer(arcs, {0}, {0, 1})
+
+
+def _weighing() -> Transducer:
+    """Gives each mark the number of its feature."""
+    return Transducer({(0, x): (0, MARKS.index(x) if x in MARKS else None) for x in (OTHER, *MARKS)}, {0}, {0})
+
+
+MACHINE = _weighing().after(_reporting().after(_negating().after(_aiming()))).numbered()
 
 
-def report(classes: list[int], marks: list[tuple[str, bool, bool]]) -> list[tuple[str, bool, bool, bool]]:
-    """Third transducer: state is whether a reporting verb came before."""
-    out, inside = [], False
-    for c, (kind, aimed, negated) in zip(classes, marks, strict=True):
-        out.append((kind, aimed, negated, bool(kind) and inside))
-        inside |= c == REPORT
+def clause_features(classes: list[int], gaps: list[int]) -> np.ndarray:
+    """How often the composed machine writes each of MARKS; gaps are the other words before each class."""
+    symbols: list[int] = []
+    for c, gap in zip(classes, gaps, strict=True):
+        symbols += [OTHER] * min(gap, REACH + 1) + [c]
+    out = np.zeros(len(MARKS))
+    for k in MACHINE.read(symbols) or ():
+        if k is not None:
+            out[k] += 1
     return out
 
 
-def clause_features(classes: list[int], gaps: list[int]) -> np.ndarray:
-    """The composed transducers: (plain insults, negated, reported, aimed, threats)."""
-    out = np.zeros(5)
-    for kind, aimed, negated, told in report(classes, negate(classes, gaps, mark(classes))):
-        if kind == "insult":
-            out += (not negated and not told, negated, told and not negated, aimed, 0)
-        elif kind == "threat" and not negated and not told:
-            out[4] += 1
-    return out
+def document_features(total: np.ndarray, n_words: int, hint: bool) -> tuple:
+    """FEATURES from the marks of all clauses of a document."""
+    insult, aimed, threat, negated, told = total
+    some = insult + aimed
+    counts = some > 1 or aimed > 0
+    density = np.log1p(1000 * some / max(50, n_words)) if counts else 0.0
+    return (float(some == 1 and not aimed and not threat), some > 1, np.log(max(1.0, some)), aimed > 0, threat > 0, np.log1p(negated), np.log1p(told), density, hint)
 
 
 class Grammar:
@@ -132,37 +200,33 @@ class Grammar:
         offsets = np.asarray(pieces.offsets).astype(np.int64)
         offsets -= offsets[0]
         code = pc.dictionary_encode(pieces.flatten())
-        kinds = np.array([9 if w == "." else self.of(w) for w in code.dictionary.to_pylist()] or [0], np.int32)
-        kind = kinds[code.indices.to_numpy(zero_copy_only=False)] if len(code) else np.zeros(0, np.int32)
-        out = np.zeros((len(texts), len(FEATURES)))
+        kinds = np.array([CLAUSE_END if w == "." else self.of(w) for w in code.dictionary.to_pylist()] or [0], np.int32)
         word = code.indices.to_numpy(zero_copy_only=False)
-        doc_at = np.searchsorted(offsets, np.flatnonzero((kind == INSULT) | (kind == THREAT) | (kind >= DOUBTFUL)), "right") - 1
-        for d in np.unique(doc_at):
+        kind = kinds[word] if len(code) else np.zeros(0, np.int32)
+        out = np.zeros((len(texts), len(FEATURES)))
+        for d in np.unique(np.searchsorted(offsets, np.flatnonzero((kind == INSULT) | (kind == THREAT) | (kind >= DOUBTFUL)), "right") - 1):
             own = kind[offsets[d] : offsets[d + 1]].copy()
             hint = False
             for k in np.unique(own[own >= DOUBTFUL]):
                 # A doubtful beginning counts where two different words have it, else it is a hint.
                 sure = len(np.unique(word[offsets[d] : offsets[d + 1]][own == k])) > 1
                 hint |= not sure
-                own[own == k] = INSULT if sure else 0
-            where = np.flatnonzero(own)
-            total, last, classes, gaps = np.zeros(5), -1, [], []
-            for at, c in zip(where.tolist(), own[where].tolist(), strict=True):
-                if c == 9:
-                    if INSULT in classes or THREAT in classes:
-                        total += clause_features(classes, gaps)
-                    classes, gaps = [], []
-                else:
-                    classes.append(c), gaps.append(at - last - 1 if gaps else 0)
-                last = at
-            if INSULT in classes or THREAT in classes:
-                total += clause_features(classes, gaps)
-            any_insult = total[0] + total[1] + total[2]
-            density = np.log1p(1000 * any_insult / max(50, len(own)))
-            out[d] = (total[0] > 0, np.log(max(1.0, total[0])), np.log1p(total[1]), np.log1p(total[2]), total[3] > 0, np.log1p(total[4]), density, hint)
+                own[own == k] = INSULT if sure else OTHER
+            out[d] = document_features(_marks(own), len(own), hint)
         return out
 
 
+def _marks(kinds: np.ndarray) -> np.ndarray:
+    """MARKS of all clauses of a document, of which those with an insult or a threat are read."""
+    ends = np.concatenate([[-1], np.flatnonzero(kinds == CLAUSE_END), [len(kinds)]])
+    total = np.zeros(len(MARKS))
+    for e in np.unique(np.searchsorted(ends, np.flatnonzero((kinds == INSULT) | (kinds == THREAT)))):
+        at = np.flatnonzero(kinds[ends[e - 1] + 1 : ends[e]])
+        gaps = np.diff(np.concatenate([[-1], at])) - 1
+        total += clause_features(kinds[ends[e - 1] + 1 : ends[e]][at].tolist(), gaps.tolist())
+    return total
+
+
 def _units(text: Column) -> Column:
     """Distinct words of a text and their beginnings."""
     found = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w) > 2))
@@ -188,11 +252,12 @@ def learned_units(sample: DataFrame) -> list[str]:
     The driver gets at most MAX_UNITS units at a time, with at most MAX_ROWS numbers each.  Gains only
     fall, so a choice among them is that among all units while its gain is over what the others had.
     """
-    rows = sample.select("toxic", "row_id", F.explode(_units(F.col("text"))).alias("unit"))
+    rows = written(sample.select("toxic", "row_id", F.explode(_units(F.col("text"))).alias("unit")))
     good = rows.groupBy("unit").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).where(F.col("t") >= LEAST_DOCS).where(F.col("t") >= F.when(F.col("unit").startswith("d:"), SURE_TWICE).otherwise(SURE) * F.col("n"))
     # Most newly explained; then words before beginnings, longer beginnings first.
     rank = (F.desc("gain"), F.desc(F.expr("instr('dpw', left(unit, 1))")), F.desc(F.length("unit")), F.desc("t"), "unit")
     pairs = written(rows.where("toxic = 1").join(good.select("unit", "t"), "unit").select("unit", "t", "row_id").distinct())
+    discard(rows)
     out: list[str] = []
     while True:
         best = pairs.groupBy("unit", "t").agg(F.countDistinct("row_id").alias("gain")).where(F.col("gain") >= LEAST_GAIN).orderBy(*rank).limit(MAX_UNITS + 1).collect()
@@ -240,6 +305,13 @@ def fitted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         w = w - size * step
         if np.abs(size * step).max() < 1e-7:
             break
+    return held(w)
+
+
+def held(w: np.ndarray) -> np.ndarray:
+    """Weights under which a lone insult stays where it must."""
+    w = w.copy()
+    w[1] = min(w[1], LONE_AT_MOST - w[0])
     return w
 
 
