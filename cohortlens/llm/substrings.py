@@ -2,27 +2,32 @@
 
 The words of all documents are compressed in rounds: a round first names maximal
 runs of one symbol, then pairs whose left symbol is of one half of the alphabet
-and whose right symbol is of the other.  A name is a hash of what it stands for,
-so it is the same everywhere without a dictionary.  A symbol's existence depends
-on the words of a known stretch around it; where the same words stand, the same
-symbol stands.  So every window of WIDTH words has symbols that depend on
-nothing outside it, equal windows have the same ones, and the least of them (by
-hash) is the window's anchor.  Consecutive windows share anchors: about one word
-in ten begins one.
-
-1. Anchors are counted by name.  Windows of anchors found once can't repeat.
-2. Of anchors found more often, occurrences whose whole stretch of windows is
-   equal repeat as a whole.
-3. What is left, the edges of repeats, is verified window by window with 128-bit
-   hashes of their words.
+and whose right symbol is of the other.  A name is a hash of the names that it
+stands for, so equal substrings have the same name in every task without a
+dictionary, and the naming rounds need no exchange; what must meet is which
+names are shared.  A symbol depends on a known stretch of words around it; where
+the same words stand, the same symbol stands.  So every window of WIDTH words
+has symbols that depend on nothing outside it, equal windows have the same ones,
+and the least of the highest level (by name) is the window's anchor.
+Consecutive windows share anchors: about one word in ten begins one.
+
+1. A Spark round names the anchors of all documents, (level, name) with a second
+   hash of what the name stands for, and counts them.  Names of one place can't repeat.
+2. A second round brings the places of shared names together.  Places whose whole
+   stretch of windows is equal repeat as a whole.
+3. What is left, the edges of repeats, is verified in a last round window by window
+   with 128-bit hashes of their words.
 
 Windows without such a symbol (inside long runs) are their own anchors, so the
-result is exact but for collisions of the hashes.
+result is exact but for collisions of the hashes; a name that stands for two
+things is noticed by its second hash and fails the job.  Names that many places
+share are broadcast and their places stay where they are (matched()).
 
 Contract.  Null and empty texts have no words and stay as they are; texts of
 fewer than WIDTH words have no windows.  A repeated row is an occurrence like
 any other, so both of its copies lose what they share.  Documents are told
-apart by two hashes of doc_id and text.  Extra columns pass through.
+apart by two hashes of doc_id and text.  Extra columns pass through, whatever
+their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,17 +40,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import discard, matched, written
 from ._text import P1, P2, Words, mix, slices, span_hash
 
 WIDTH, ROUNDS = 35, 3
 _NEVER = np.int64(1) << 40
 
 
-def _symbols(names: np.ndarray, doc_first: np.ndarray, n_docs_words: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each round's symbols, the stretch [low, high) of words that each depends on (outside all if it sees an end)."""
+def _symbols(names: np.ndarray, doc_first: np.ndarray, n_docs_words: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each round's symbols their names, where they begin, and the stretch [low, high) of words that each depends on (outside all if it sees an end)."""
     n = len(names)
     low, high = np.arange(n, dtype=np.int64), np.arange(1, n + 1, dtype=np.int64)
+    begin = low
     first = np.zeros(n, bool)  # the symbol begins a document
     first[doc_first[n_docs_words > 0]] = True
     out = []
@@ -54,7 +60,7 @@ def _symbols(names: np.ndarray, doc_first: np.ndarray, n_docs_words: np.ndarray)
         # Runs: what begins one differs from the symbol before.
         begins = np.ones(len(names), bool)
         begins[1:] = (names[1:] != names[:-1]) | first[1:]
-        names, low, high, first = _merge(names, low, high, first, begins, 2 * r)
+        names, begin, low, high, first = _merge(names, begin, low, high, first, begins, 2 * r)
         # Pairs: a left symbol and the right symbol after it.
         right = (mix(names ^ np.uint64(0x51 + r)) & np.uint64(1)).astype(bool)
         joins = np.zeros(len(names), bool)
@@ -62,8 +68,8 @@ def _symbols(names: np.ndarray, doc_first: np.ndarray, n_docs_words: np.ndarray)
         low_n, high_n = _with_neighbours(low, high, first)
         # A left symbol looks at the next one, a right symbol at the one before.
         low, high = np.where(right, low_n, low), np.where(right, high, high_n)
-        names, low, high, first = _merge(names, low, high, first, ~joins, 2 * r + 1)
-        out.append((low, high))
+        names, begin, low, high, first = _merge(names, begin, low, high, first, ~joins, 2 * r + 1)
+        out.append((names, begin, low, high))
     return out
 
 
@@ -74,16 +80,16 @@ def _with_neighbours(low: np.ndarray, high: np.ndarray, first: np.ndarray) -> tu
     return np.minimum(low, before), np.maximum(high, after)
 
 
-def _merge(names, low, high, first, begins, salt: int):
+def _merge(names, begin, low, high, first, begins, salt: int):
     at = np.flatnonzero(begins)
     if len(at) == len(names):
-        return names, low, high, first
+        return names, begin, low, high, first
     ends = np.append(at[1:], len(names))
     new = span_hash(names, at, ends)
     single = ends - at == 1
     new[single] = names[at[single]]
     new[~single] ^= np.uint64(salt + 1)
-    return new, np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), first[at]
+    return new, begin[at], np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), first[at]
 
 
 def _least_in(low: np.ndarray, high: np.ndarray, rank: np.ndarray, n: int) -> np.ndarray:
@@ -107,7 +113,10 @@ def _least_in(low: np.ndarray, high: np.ndarray, rank: np.ndarray, n: int) -> np
 
 
 class Anchors:
-    """Anchors of a slice of texts: maximal ranges of windows that share one."""
+    """Anchors of a slice of texts: maximal ranges of windows that share one.
+
+    key is the anchor's name at its level, check a second hash of the words that the name stands for.
+    """
 
     def __init__(self, texts: pa.Array, width: int = WIDTH):
         w = self.words = Words(texts)
@@ -117,7 +126,7 @@ class Anchors:
         self.h1, self.h2 = h1, None
         empty = np.zeros(0, np.int64)
         self.doc = self.first = self.size = empty
-        self.key = self.whole = empty.astype(np.uint64)
+        self.key = self.whole = self.check = empty.astype(np.uint64)
         doc_of = np.repeat(np.arange(len(counts)), counts)
         past = w.first[1:][doc_of] if n else empty
         valid = np.arange(n) + width <= past
@@ -125,28 +134,33 @@ class Anchors:
             return
         none = np.iinfo(np.uint64).max
         anchor_key = np.zeros(n, np.uint64)
-        anchor_at = np.full(n, -1, np.int64)  # where the anchor's stretch begins
+        anchor_at = np.full(n, -1, np.int64)  # where the anchor's symbol begins and ends
+        anchor_end = np.zeros(n, np.int64)
         missing = valid.copy()
-        for low, high in reversed(_symbols(h1, w.first[:-1], counts)[-2:]):
+        levels = _symbols(h1, w.first[:-1], counts)
+        for level in range(ROUNDS - 1, ROUNDS - 3, -1):
+            names, begin, low, high = levels[level]
+            end = np.append(begin[1:], n)
             fits = (low >= 0) & (high <= n) & (high - low <= width)
-            low, high = low[fits], high[fits]
+            names, begin, end, low, high = names[fits], begin[fits], end[fits], low[fits], high[fits]
             # Not all of a stretch's windows lie in its document.
             own = np.searchsorted(w.first, low, "right") - 1
             a, b = np.maximum(high - width, w.first[own]), np.minimum(low, w.first[own + 1] - width)
             fits = a <= b
-            low, high, a, b = low[fits], high[fits], a[fits], b[fits]
-            if not len(low):
+            names, begin, end, a, b = names[fits], begin[fits], end[fits], a[fits], b[fits]
+            if not len(names):
                 continue
-            key = span_hash(h1, low, high)
-            bits = int(len(low)).bit_length()
-            rank = (key >> np.uint64(bits)) << np.uint64(bits) | np.arange(len(low), dtype=np.uint64)
+            # Names of different levels are kept apart.
+            key = mix(names + np.uint64(level + 1))
+            bits = int(len(key)).bit_length()
+            rank = (key >> np.uint64(bits)) << np.uint64(bits) | np.arange(len(key), dtype=np.uint64)
             found = _least_in(b, a + width, rank, n)
             take = missing & (found != none)
             which = (found[take] & np.uint64((1 << bits) - 1)).astype(np.int64)
-            anchor_key[take], anchor_at[take] = key[which], low[which]
+            anchor_key[take], anchor_at[take], anchor_end[take] = key[which], begin[which], end[which]
             missing &= ~take
         alone = np.flatnonzero(missing)
-        anchor_key[alone], anchor_at[alone] = span_hash(h1, alone, alone + width), alone
+        anchor_key[alone], anchor_at[alone], anchor_end[alone] = span_hash(h1, alone, alone + width), alone, alone + width
         at = np.flatnonzero(valid)
         new = np.ones(len(at), bool)
         new[1:] = (anchor_at[at[1:]] != anchor_at[at[:-1]]) | (at[1:] != at[:-1] + 1) | (anchor_key[at[1:]] != anchor_key[at[:-1]])
@@ -155,6 +169,7 @@ class Anchors:
         self.key, self.doc = anchor_key[starts], doc_of[starts]
         self.first = starts - w.first[self.doc]
         self.h2 = w.hashes(P2)
+        self.check = span_hash(self.h2, anchor_at[starts], anchor_end[starts], P2)
         whole = span_hash(self.h2, starts, starts + self.size + width - 1, P2)
         self.whole = mix(whole + (anchor_at[starts] - starts).astype(np.uint64))
 
@@ -188,29 +203,25 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         raise ValueError(f"windows have {WIDTH} words; ROUNDS is chosen for that")
     docs = docs.select("text", *_ID)
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [Anchors(batch.column(0)[a:b]).key for a, b in slices(batch.column(0))]
-            own, n = np.unique(np.concatenate(keys), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int64))], names=["key", "n"])
-
-    shared = written(docs.select("text").mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"))
-
-    def occurrences(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def named(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = Anchors(batch.column(0))
         rows = pa.array(x.doc)
-        return pa.RecordBatch.from_arrays([pa.array(x.key.view(np.int64)), pa.array(x.whole.view(np.int64)), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(x.first.astype(np.int32)), pa.array(x.size.astype(np.int32))], names=["key", "whole", *_ID, "first", "size"])
-
-    found = written(_each(docs, occurrences, "key long, whole long, id_a long, id_b long, first int, size int").join(shared, "key", "left_semi"))
+        return pa.RecordBatch.from_arrays([*(pa.array(v.view(np.int64)) for v in (x.key, x.check, x.whole)), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(x.first.astype(np.int32)), pa.array(x.size.astype(np.int32))], names=["key", "check", "whole", *_ID, "first", "size"])
+
+    places = written(_each(docs, named, "key long, check long, whole long, id_a long, id_b long, first int, size int"))
+    names = places.groupBy("key").agg(F.count(F.lit(1)).alias("shared"), F.min("check").alias("least"), F.max("check").alias("most")).where("shared > 1")
+    names = written(names)
+    if not names.where("least <> most").isEmpty():
+        raise RuntimeError("a name stands for two substrings")
+    found = written(matched(places.drop("check"), names.select("key", "shared"), ["key"], "shared"))
     # Of each stretch one occurrence stands for all where others of its anchor differ.
-    stretch = found.groupBy("key", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id_a", "id_b", "first")).alias("one"))
-    stretch = written(stretch)
-    mixed = stretch.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key", F.lit(True).alias("mixed"))
-    stretch = written(stretch.join(mixed, "key", "left").where("n > 1 OR mixed"))
+    stretch = found.groupBy("key", "whole").agg(F.count(F.lit(1)).alias("n"), F.max("shared").alias("all"), F.min(F.struct("id_a", "id_b", "first")).alias("one"))
+    stretch = written(stretch.select("key", "whole", "n", (F.col("n") < F.col("all")).alias("mixed"), "one"))
     is_one = (F.col("one.id_a") == F.col("id_a")) & (F.col("one.id_b") == F.col("id_b")) & (F.col("one.first") == F.col("first"))
-    marked = found.join(stretch, ["key", "whole"]).select(*_ID, "first", "size", (F.col("n") > 1).alias("repeats"), (F.coalesce(F.col("mixed"), F.lit(False)) & is_one).alias("verify"))
+    marked = matched(found, stretch, ["key", "whole"], "n").select(*_ID, "first", "size", (F.col("n") > 1).alias("repeats"), (F.col("mixed") & is_one).alias("verify")).where("repeats OR verify")
     lists = marked.groupBy(*_ID).agg(F.collect_set(F.struct("first", "size", "repeats", "verify")).alias("stretches"))
     own = written(docs.join(lists, _ID).select("text", *_ID, "stretches"))
+    discard(places, names, found, stretch)
 
     def edges(batch: pa.RecordBatch) -> pa.RecordBatch:
         """Windows to verify: (hash, hash, document, place)."""
@@ -278,10 +289,10 @@ def substring_report(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs whose repeated windows are cut out of the text: kept words joined by one space; other texts unchanged.
 
-    Texts of which nothing is left are empty.
+    Texts of which nothing is left are empty; null and empty texts stay so.
     """
     columns = docs.columns
-    keyed = _keyed(docs)
+    keyed = _keyed(docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), "doc_id", "text"))
     spans = repeated_spans(keyed)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -292,4 +303,4 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     changed = _each(spans.select("text", *_ID, "spans"), cut, "id_a long, id_b long, new_text string").dropDuplicates(_ID)
     out = keyed.join(changed, _ID, "left")
-    return out.select(*(F.coalesce("new_text", "text").alias("text") if c == "text" else F.col(c) for c in columns))
+    return out.select(*(F.coalesce("new_text", F.col("row")[c]).alias(c) if c == "text" else F.col("row")[c].alias(c) for c in columns))

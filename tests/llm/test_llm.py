@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cohortlens.llm import near_duplicates as nd
 from cohortlens.llm import packing, substrings, token_file, warc
@@ -52,6 +53,19 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
+CLASHES = ("new_text", "rows", "empty", "again", "__spans", "__items", "stretches", "row", "kept", "n_words", "level_keys", "fit", "set_id", "id_b")
+
+
+def clashing(df):
+    """df with columns named like what operators add."""
+    return df.withColumns({c: F.concat(F.lit(f"own {c} of "), "doc_id") for c in CLASHES})
+
+
+def rest_of(df):
+    """Rows without their texts, counted."""
+    return collections.Counter(map(tuple, df.select(*(F.col(f"`{c}`") for c in df.columns if c != "text")).collect()))
+
+
 def words(t):
     return re.findall(SPACE, t or "")
 
@@ -68,7 +82,12 @@ def test_substrings(docs, empty):
         want.append((r[0], len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()))
     assert collections.Counter(map(tuple, substrings.substring_report(docs).collect())) == collections.Counter(want)
     assert substrings.substring_report(empty).count() == 0
-    assert substrings.without_repeats(docs).columns == docs.columns
+    out = substrings.without_repeats(docs)
+    assert out.columns == docs.columns and rest_of(out) == rest_of(docs)
+    left = collections.Counter((x[0], x[3]) for x in want if x[2])
+    texts = collections.Counter((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in out.collect() if r.text is not None)
+    assert not left - texts and substrings.without_repeats(empty).count() == 0
+    assert substrings.without_repeats(clashing(docs)).columns == clashing(docs).columns
 
 
 @pytest.mark.parametrize("letters", [1, 2, 3, 40])
@@ -234,14 +253,32 @@ def test_outliers_go(spark):
     assert all(r.kept == (r.doc_id < 200) for r in got)
 
 
-def test_grammar(spark, docs):
-    assert clause_features([1], [0])[0] == 1 and clause_features([4, 1], [0, 0])[1] == 1 and clause_features([5, 1], [0, 0])[2] == 1
-    assert clause_features([2, 3], [0, 0])[4] == 1 and clause_features([2], [0])[4] == 0 and clause_features([4, 1], [0, 9])[0] == 1
+def marks(classes, gaps):
+    return dict(zip(tox.MARKS, clause_features(classes, gaps), strict=True))
+
+
+def test_composed_transducers():
+    i, t, you, no, said = tox.INSULT, tox.THREAT, tox.TARGET, tox.NEGATION, tox.REPORT
+    one = lambda classes, gaps=None: {k for k, v in marks(classes, gaps or [0] * len(classes)).items() if v}
+    assert one([i]) == {"insult"} and one([you, i]) == one([i, you]) == {"aimed"}
+    assert one([t]) == set() and one([t, you]) == one([you, t]) == {"threat"}
+    assert one([no, i], [0, 2]) == {"negated"} and one([no, i], [0, 3]) == {"insult"}
+    assert one([said, you, i]) == {"told"} and one([i, said]) == {"insult"} and one([no, said, i]) == {"negated"}
+    assert marks([you, i, i, no, i], [0] * 5) == {"insult": 0, "aimed": 2, "threat": 0, "negated": 1, "told": 0}
+
+
+def test_clauses_decide(spark, docs):
+    """A lone insult stays low; one that is aimed, a threat and several do not; negated and reported ones do."""
     x = Grammar(["p:zork"]).features(pa.array(["You zorkish thing. Fine.", "nothing here", None]))
-    assert x[0, 0] == 1 and x[0, 4] == 1 and not x[1:].any()
+    assert x[0, tox.FEATURES.index("aimed")] == 1 and not x[1:].any()
+    high = ["you are garbage", "i will kill you", "trash and scum, worthless scum"]
+    low = ["the garbage was collected on tuesday morning by the council", "you are not an idiot", "the teacher said you idiot", "they destroyed a wall", None, ""]
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    got = toxicity(docs, labels)
-    assert got.count() == docs.count() and got.where("score < 0 OR score > 1 OR predicted <> int(score >= 0.3)").isEmpty()
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(high + low)], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity(rows, labels).collect()}
+    assert all(got[k].predicted == 1 for k in range(len(high))) and all(got[len(high) + k].predicted == 0 for k in range(len(low)))
+    all_of = toxicity(docs, labels)
+    assert all_of.count() == docs.count() and all_of.where("score < 0 OR score > 1 OR predicted <> int(score >= 0.3)").isEmpty()
 
 
 def test_units_beyond_the_bound(spark, monkeypatch):
