@@ -4,24 +4,30 @@ A document is its set of shingles of five words.  Documents with the same set
 are one class from the start.  In each run every class walks down a tree: a node
 picks one or two of SAMPLES random orders of all shingles, and a class goes to
 the child named by its first shingle in that order, a shingle that it shares
-with whatever else goes there.  Nodes with few classes are compared by brute
-force; larger ones split again, down to DEPTHS[-1] levels.  The number of runs
-follows from the wanted recall of a pair that is just similar enough, for each
-depth by itself: classes of nodes that split walk further runs from the root, as
-many as their new depth needs.
-
-A node's classes are not all paired.  By estimated similarity they gather round
-leaders: who is within the joining distance of a leader is no leader itself and
-is tied to every leader within twice that distance, so two similar classes that
-meet in a node are tied through a leader.  What is tied together is then
-compared exactly, in blocks; only counts and spanning links leave a block.
+with whatever else goes there.  After LEVELS levels nodes are looked at:
+
+* Nodes of up to SMALL classes are compared by brute force: all pairs whose
+  samples agree in a share of ALIKE at least are tied.
+* In larger nodes a class is heavy if its samples agree with those of the node's
+  classes in a share of HEAVY on average, from its part of the node of about PART
+  classes.  Heavy classes are done: they are tied with all that are NEAR the node
+  on average, and whoever is similar to a heavy class is near.  The others split
+  again, LEVELS levels at a time, as deep as it takes.
+
+The number of runs follows from the wanted recall of a pair that is just similar
+enough, for each depth by itself: classes that split walk further runs from the
+root, as many as their new depth needs.
+
+What is tied together is then compared exactly, in blocks of bounded size that
+are shipped whole; only counts and spanning links leave a pair of blocks.
 
 Contract.  Words are runs of anything but ASCII white space, unchanged.  Texts
 of one to four words have one shingle, all their words; texts without words
 (null, empty) have no links and are classes of their own.  class_id is the
 smallest doc_id of the connected documents, nulls last; n_links counts the other
 documents of similarity MIN or more, copies and repeated rows included.  Extra
-columns are not read.  Sets are told apart by 64-bit hashes.
+columns are not read, or kept by one_of_each() whatever their names.  An empty
+table gives no rows.  Sets are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -34,34 +40,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import discard, matched, written
 from ._text import P1, Words, mix, slices, span_hash
 
 SHINGLE = 5
 #: Similarity as a fraction, so that comparisons are of whole numbers.
 NUMERATOR, DENOMINATOR = 4, 5
 SAMPLES = 128
-#: Orders by which similarity to a leader is estimated.
-ESTIMATE = 64
-#: Levels after which nodes are looked at; nodes of up to SMALL classes are not split further.
-DEPTHS, SMALL = (3, 6, 9), 200
+#: Levels between two looks at nodes; nodes of up to SMALL classes are compared by brute force.
+LEVELS, SMALL = 3, 256
 #: Chance that a node picks a second order; the expected similar children of a just similar pair are then 1.
 SECOND = DENOMINATOR / NUMERATOR - 1
 RECALL = 0.9999
-#: Classes of a group of leaders, and of a block of exact comparison.
-GROUP, BLOCK = 256, 128
-#: Estimated similarity from which classes are tied to a leader, and from which they are no leaders.
-TIED, JOINED = 0.5, 0.8
+#: Share of equal samples from which two classes are tied: 5.7 deviations below that of a just similar pair.
+ALIKE = 0.6
+#: Mean shares of heavy and of near classes; a set similar to a heavy one is 0.2 less heavy at most.
+HEAVY, NEAR, PART = 0.7, 0.4, 4096
+#: Shingles and sets of a block of exact comparison.
+BLOCK_SHINGLES, BLOCK_SETS = 250_000, 512
 
 _ORDERS = np.random.default_rng(5).integers(1, 1 << 63, (2, SAMPLES), dtype=np.uint64) | np.uint64(1)
 
 
-def runs_for(recall: float = 1 - (1 - RECALL) / len(DEPTHS), depth: int = DEPTHS[0]) -> int:
+def runs_for(depth: int = LEVELS, recall: float | None = None) -> int:
     """Runs after which a pair of least similarity shares a node at depth with this chance.
 
     All runs pick from the same SAMPLES orders, so they are independent only given the number of orders
-    in which the pair agrees; the loss is the mean over that number.  The depths share what RECALL lets go.
+    in which the pair agrees; the loss is the mean over that number.  The k-th depth may lose 1 / (k (k + 1))
+    of what RECALL lets go, so that all of them together lose no more.
     """
+    if recall is None:
+        look = depth // LEVELS
+        recall = 1 - (1 - RECALL) / (look * (look + 1))
     s, k = NUMERATOR / DENOMINATOR, np.arange(SAMPLES + 1)
     chance = np.array([math.comb(SAMPLES, int(x)) * s**x * (1 - s) ** (SAMPLES - x) for x in k])
     second, lost = SECOND * (1 - 1 / SAMPLES), np.zeros(SAMPLES + 1)
@@ -165,47 +175,6 @@ def _paths(classes: DataFrame, levels: int, runs: range | None) -> DataFrame:
     return classes.select(*columns).mapInArrow(run, "node long, set_id long").dropDuplicates(["node", "set_id"])
 
 
-def _meetings(classes: DataFrame) -> DataFrame:
-    """(node, size, set_id) of nodes that are small or as deep as they get, with two classes at least."""
-    own, out, begun = None, None, 0
-    again = classes
-    for k, depth in enumerate(DEPTHS):
-        runs = runs_for(depth=depth)
-        paths = _paths(again, depth, range(begun, runs))
-        found = written(paths if own is None else paths.unionByName(_paths(own, depth - DEPTHS[k - 1], None)))
-        begun = runs
-        sizes = written(found.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-        last = k == len(DEPTHS) - 1
-        done = found.join(sizes if last else sizes.where(F.col("size") <= SMALL), "node")
-        out = done if out is None else out.unionByName(done)
-        large = sizes.where(F.col("size") > SMALL)
-        if last or large.isEmpty():
-            return out
-        split = found.join(large.select("node"), "node", "left_semi")
-        own = split.join(classes.select("set_id", "sample"), "set_id")
-        # A pair that meets in split nodes alone needs the runs of the next depth.
-        again = classes.join(split.select("set_id").distinct(), "set_id", "left_semi")
-
-
-def leaders(set_id: np.ndarray, sample: np.ndarray) -> tuple[list[int], list[tuple[int, int]]]:
-    """Row numbers of leaders and ties (row, leader's row); rows are taken in order of set_id."""
-    found: list[int] = []
-    ties: list[tuple[int, int]] = []
-    lead = np.zeros((16, sample.shape[1]), np.uint8)
-    for k in np.argsort(set_id, kind="stable"):
-        best = 0.0
-        if found:
-            alike = (lead[: len(found)] == sample[k]).mean(axis=1)
-            ties += [(int(k), found[j]) for j in np.flatnonzero(alike >= TIED)]
-            best = float(alike.max())
-        if best < JOINED:
-            if len(found) == len(lead):
-                lead = np.concatenate([lead, np.zeros_like(lead)])
-            lead[len(found)] = sample[k]
-            found.append(int(k))
-    return found, ties
-
-
 def forest(n: int, edges) -> list[tuple[int, int]]:
     """Edges that join what earlier ones have not joined: at most n - 1, with the same components."""
     root = list(range(n))
@@ -249,35 +218,81 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _ties(meetings: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): classes tied through leaders of the nodes where they meet."""
-    small = classes.select("set_id", F.concat(*[F.expr(f"substring(sample, {2 * k + 1}, 1)") for k in range(ESTIMATE)]).alias("bytes"))
-    rows = meetings.join(small, "set_id")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("set_id"), F.ceil(F.col("size") / GROUP)))
+def alike(sample: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs of rows that agree in a share of ALIKE of their samples."""
+    for i in range(len(sample) - 1):
+        for j in np.flatnonzero((sample[i + 1 :] == sample[i]).sum(axis=1) >= ALIKE * sample.shape[1]):
+            yield i, i + 1 + int(j)
+
+
+def mean_share(sample: np.ndarray) -> np.ndarray:
+    """For each row the mean share of samples in which it agrees with the other rows."""
+    total = np.zeros(len(sample))
+    for column in sample.T:
+        _, place, count = np.unique(column, return_inverse=True, return_counts=True)
+        total += count[place] - 1
+    return total / (sample.shape[1] * max(1, len(sample) - 1))
+
+
+def _looked_at(rows: DataFrame) -> DataFrame:
+    """(node, a, b, kind) of rows (node, part, set_id, size, sample): ties of small nodes have no kind.
+
+    In large nodes a is a class, b what it is tied to if the node has a heavy class, kind 2 for heavy, 1 for near, 0 else.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 2):
             ids = group.column("set_id").to_numpy()
-            sample = np.frombuffer(b"".join(group.column("bytes").to_pylist()), np.uint8).reshape(-1, ESTIMATE)
-            found, ties = leaders(ids, sample)
-            ties = forest(len(ids), ties)
-            a, b = (ids[[t[k] for t in ties]] if ties else ids[:0] for k in (0, 1))
-            nodes = group.column("node").to_numpy()[:1]
-            whole = group.column("size").to_numpy()[0] <= GROUP
-            up = ids[:0] if whole else ids[found]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, len(a) + len(up))), pa.array(np.concatenate([a, up])), pa.array(np.concatenate([b, up]))], names=["node", "a", "b"])
-
-    def dealt(rows: DataFrame) -> DataFrame:
-        # A shuffle by both keys: no more than about GROUP rows share them.
-        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        rows = rows.select("node", "part", "set_id", "size", "bytes")
-        return rows.repartition(n, "node", "part").sortWithinPartitions("node", "part").mapInArrow(run, "node long, a long, b long")
-
-    first = written(dealt(rows).dropDuplicates(["node", "a", "b"]))
-    ties = first.where("a <> b").select("a", "b")
-    # Leaders of the parts of a large node meet once more.
-    up = first.where("a = b").select("node", F.col("a").alias("set_id")).join(small, "set_id").withColumns({"part": F.lit(0).cast("long"), "size": F.lit(1).cast("long")})
-    return ties.unionByName(dealt(up).select("a", "b")).distinct()
+            order = np.argsort(ids, kind="stable")
+            ids = ids[order]
+            sample = np.frombuffer(b"".join(group.column("sample").to_pylist()), "<u2").reshape(-1, SAMPLES)[order]
+            node = group.column("node")[0].as_py()
+            if group.column("size")[0].as_py() <= SMALL:
+                ties = np.array(forest(len(ids), alike(sample)), np.int64).reshape(-1, 2)
+                a, b, kind = pa.array(ids[ties[:, 0]]), pa.array(ids[ties[:, 1]]), pa.nulls(len(ties), pa.int32())
+            else:
+                share = mean_share(sample)
+                kinds = (share >= NEAR).astype(np.int32) + (share >= HEAVY)
+                near = np.flatnonzero(kinds)
+                # Near classes hang on the first of their part, and that on the node itself.
+                to = np.full(len(ids), ids[near[0]] if len(near) else 0)
+                if len(near):
+                    to[near[0]] = mix(np.array([node], np.int64).view(np.uint64)).view(np.int64)[0]
+                a, b, kind = pa.array(ids), pa.array(to, mask=kinds == 0), pa.array(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), node)), a, b, kind], names=["node", "a", "b", "kind"])
+
+    # A shuffle by both keys: no more than about PART rows share them.
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("node", "part", "set_id", "size", "sample")
+    return rows.repartition(n, "node", "part").sortWithinPartitions("node", "part").mapInArrow(run, "node long, a long, b long, kind int")
+
+
+def _ties(classes: DataFrame) -> DataFrame:
+    """(a, b): edges that join classes (set_id, sample) which meet in a node and look alike; ends may be nodes as well."""
+    samples_of = classes.select("set_id", "sample")
+    out, own, begun, depth, again = None, None, 0, 0, samples_of
+    while True:
+        depth += LEVELS
+        runs = runs_for(depth)
+        paths = _paths(again, depth, range(begun, runs))
+        found = written(paths if own is None else paths.unionByName(_paths(own, LEVELS, None)))
+        begun = runs
+        sizes = written(found.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+        rows = matched(found, sizes, ["node"], "size").join(samples_of, "set_id")
+        part = F.when(F.col("size") <= SMALL, F.lit(0)).otherwise(F.pmod(F.xxhash64("set_id", "node"), F.ceil(F.col("size") / PART)))
+        looked = written(_looked_at(rows.withColumn("part", part.cast("long"))))
+        small = looked.where("kind IS NULL").select("a", "b")
+        heavy = written(looked.where("kind > 0").groupBy("node").agg(F.count(F.lit(1)).alias("near"), F.max("kind").alias("most")).where("most = 2").select("node", "near"))
+        hung = matched(looked.where("kind > 0").select("node", "a", "b"), heavy, ["node"], "near").select("a", "b")
+        ties = written(small.unionByName(hung).distinct())
+        out = ties if out is None else out.unionByName(ties)
+        split = written(looked.where("kind < 2").select("node", F.col("a").alias("set_id")))
+        discard(found, sizes, looked, heavy)
+        if split.isEmpty():
+            return out
+        own = split.join(samples_of, "set_id")
+        # A pair that meets in split nodes alone needs the runs of the next depth.
+        again = samples_of.join(split.select("set_id").distinct(), "set_id", "left_semi")
 
 
 def _pairs(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -332,34 +347,60 @@ def similar_pairs(sets: list[np.ndarray]) -> np.ndarray:
     return (NUMERATOR + DENOMINATOR) * common >= NUMERATOR * (sizes[:, None] + sizes[None, :])
 
 
+FOUND = "a long, b long, links long"
+BLOCKS = "root long, blocks int, block int, ids array<long>, copies array<long>, shingles array<binary>"
+
+
+def _links(ids: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], own: np.ndarray | None) -> list[pa.Array]:
+    """Columns a, b, links of the sets of a block, or of two blocks (own tells which): links between those only."""
+    same = similar_pairs(sets)
+    np.fill_diagonal(same, False)
+    if own is not None:
+        same &= own[:, None] != own[None, :]
+    links = same @ copies
+    spanning = np.array(forest(len(ids), zip(*(x.tolist() for x in np.nonzero(np.triu(same))), strict=True)), np.int64).reshape(-1, 2)
+    some = np.flatnonzero(links)
+    a = np.concatenate([ids[some], ids[spanning[:, 0]]])
+    b = np.concatenate([np.zeros(len(some), np.int64), ids[spanning[:, 1]]])
+    counted = np.arange(len(a)) < len(some)
+    return [pa.array(a), pa.array(b, mask=counted), pa.array(np.concatenate([links[some], np.zeros(len(spanning), np.int64)]))]
+
+
 def _verified(rows: DataFrame) -> DataFrame:
     """(a, b, links): with b null, links of class a counted in one block; with b, a link of a spanning forest.
 
-    rows has root, size, set_id, copies and shingles (sorted 64-bit hashes).
+    rows has root, blocks, set_id, copies and shingles (sorted 64-bit hashes).  What is tied together and fits a
+    block is compared where its rows meet.  Of larger groups every block becomes one row, and these rows are paired.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("set_id", F.lit(1)), F.col("blocks")).cast("int"))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    own = own.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_id", "copies", "shingles")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("set_id", F.lit(1)), F.col("blocks")).cast("int")).select("root", "block", "blocks", "set_id", "copies", "shingles")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["a", "b", "links", "root", "blocks", "block", "ids", "copies", "shingles"]
+        types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.list_(pa.int64())] * 2 + [pa.list_(pa.binary())]
+        for group in _groups(batches, 2):
+            ids, copies, blobs = group.column("set_id").to_numpy(), group.column("copies").to_numpy(), group.column("shingles").to_pylist()
+            if group.column("blocks")[0].as_py() == 1:
+                columns = _links(ids, copies, [np.frombuffer(x, "<u8") for x in blobs], None)
+                columns += [pa.nulls(len(columns[0]), t) for t in types[3:]]
+            else:
+                columns = [pa.nulls(1, t) for t in types[:3]]
+                columns += [pa.array([x], t) for x, t in zip([*(group.column(c)[0].as_py() for c in ("root", "blocks", "block")), ids, copies, blobs], types[3:], strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    first = written(dealt.repartition(n, "root", "block").sortWithinPartitions("root", "block").mapInArrow(gathered, f"{FOUND}, {BLOCKS}"))
+    blocks = first.where("ids IS NOT NULL").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = blocks.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "ids", "copies", "shingles")
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
-            ids, copies, own = (group.column(c).to_numpy() for c in ("set_id", "copies", "own"))
-            sets = [np.frombuffer(x, "<u8") for x in group.column("shingles").to_pylist()]
-            alike = similar_pairs(sets)
-            np.fill_diagonal(alike, False)
-            i, j = (group.column(c)[0].as_py() for c in ("i", "j"))
-            if i != j:
-                alike &= own[:, None] != own[None, :]
-            links = alike @ copies
-            spanning = forest(len(ids), zip(*(x.tolist() for x in np.nonzero(np.triu(alike))), strict=True))
-            with_links = np.flatnonzero(links)
-            a = np.concatenate([ids[with_links], ids[[x for x, _ in spanning]] if spanning else ids[:0]])
-            b = pa.array([None] * len(with_links) + [int(ids[y]) for _, y in spanning], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(np.concatenate([links[with_links], np.zeros(len(spanning), np.int64)]))], names=["a", "b", "links"])
-
-    return own.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "a long, b long, links long")
+            ids, copies = (group.column(c).combine_chunks().flatten().to_numpy() for c in ("ids", "copies"))
+            sets = [np.frombuffer(x, "<u8") for blobs in group.column("shingles").to_pylist() for x in blobs]
+            own = np.repeat(np.arange(len(group)), [len(x) for x in group.column("ids").to_pylist()])
+            yield pa.RecordBatch.from_arrays(_links(ids, copies, sets, own if len(group) > 1 else None), names=["a", "b", "links"])
+
+    between = blocks.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(paired, FOUND)
+    return first.where("a IS NOT NULL").select("a", "b", "links").unionByName(between)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -371,11 +412,13 @@ def _classed(keyed: DataFrame) -> DataFrame:
     """keyed (doc_id, id_a, id_b, text) as doc_id, id_a, id_b, set_id, root, links: its set's component and links."""
     sets = written(_sets(keyed))
     one = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "id_a", "id_b")).alias("one")
-    classes = written(sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.count(F.lit(1)).alias("copies"), one, F.first("sample").alias("sample")))
-    ties = written(_ties(_meetings(classes), classes))
+    classes = written(sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.count(F.lit(1)).alias("copies"), one, F.first("sample").alias("sample"), F.first("n").alias("n")))
+    ties = written(_ties(classes))
     near = components(ties)
-    sizes = near.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    members = near.withColumnRenamed("id", "set_id").join(sizes, "root").join(classes.select("set_id", "copies", "one.id_a", "one.id_b"), "set_id")
+    members = written(near.withColumnRenamed("id", "set_id").join(classes.select("set_id", "n", "copies", "one.id_a", "one.id_b"), "set_id"))
+    blocks = F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_SETS)).cast("int")
+    groups = written(members.groupBy("root").agg(F.count(F.lit(1)).alias("size"), blocks.alias("blocks")).where("size > 1"))
+    members = matched(members, groups, ["root"], "size").select("root", "blocks", "set_id", "copies", "id_a", "id_b")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -383,10 +426,10 @@ def _classed(keyed: DataFrame) -> DataFrame:
                 part = batch.slice(a, b - a)
                 h, at = unique_sets(*shingles(Words(part.column(4))))
                 blob = h.astype("<u8").tobytes()
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array([blob[8 * x : 8 * y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["root", "size", "set_id", "copies", "shingles"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array([blob[8 * x : 8 * y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["root", "blocks", "set_id", "copies", "shingles"])
 
-    own = keyed.select("id_a", "id_b", "text").join(members, ["id_a", "id_b"]).select("root", "size", "set_id", "copies", "text")
-    rows = own.mapInArrow(shingled, "root long, size long, set_id long, copies long, shingles binary")
+    own = keyed.select("id_a", "id_b", "text").join(members, ["id_a", "id_b"]).select("root", "blocks", "set_id", "copies", "text")
+    rows = own.mapInArrow(shingled, "root long, blocks int, set_id long, copies long, shingles binary")
     # A repeated row of the same doc_id and text stands once for its class.
     several = not sets.groupBy("id_a", "id_b").count().where("count > 1").isEmpty()
     rows = rows.dropDuplicates(["set_id"]) if several else rows
@@ -407,16 +450,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class: the one of the smallest doc_id; documents without words all stay."""
+    """docs with one document of each class: the one of the smallest doc_id; documents without words all stay.
+
+    Columns of any name are kept as they are.
+    """
     columns = docs.columns
-    keyed = _keyed(docs.withColumnsRenamed({c: f"own_{c}" for c in columns if c in ("id_a", "id_b")}))
-    found = _classed(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "id_a", "id_b", "text"))
+    keyed = _keyed(docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    found = _classed(keyed.select("doc_id", "id_a", "id_b", "text"))
     stays = F.col("set_id").isNull() | ((F.col("head.id_a") == F.col("id_a")) & (F.col("head.id_b") == F.col("id_b")))
     kept = written(found.where(stays).groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("set_id").isNull()).alias("empty")))
     out = keyed.join(kept, ["id_a", "id_b"])
     if not kept.where("rows > 1 AND NOT empty").isEmpty():
         again = F.when(F.col("empty") | (F.col("rows") == 1), F.monotonically_increasing_id()).otherwise(F.lit(-1))
         out = out.withColumn("again", again).dropDuplicates(["id_a", "id_b", "again"])
-    back = {f"own_{c}": c for c in columns if c in ("id_a", "id_b")}
-    out = out.drop("id_a", "id_b", "rows", "empty", "again").withColumnsRenamed(back)
-    return out.select(*columns)
+    return out.select(*(F.col("row")[c].alias(c) for c in columns))

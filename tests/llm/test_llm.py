@@ -172,26 +172,86 @@ def test_near_duplicates(docs, empty):
     assert collections.Counter(map(tuple, nd.near_duplicates(docs).collect())) == want
     assert nd.near_duplicates(empty).count() == 0
     kept = nd.one_of_each(docs)
+    assert not rest_of(kept) - rest_of(docs) and nd.one_of_each(empty).count() == 0
+    odd = nd.one_of_each(clashing(docs))
+    assert odd.columns == clashing(docs).columns and odd.count() == kept.count() and not rest_of(odd) - rest_of(clashing(docs))
     no_words = sum(not s for s in sets)
     assert kept.columns == docs.columns and kept.count() == no_words + len({x for x, s in zip(root, sets, strict=True) if s})
 
 
-def test_pairs_meet_in_split_nodes(spark):
-    """Pairs that are just similar enough, in a group so large that nodes split to the last depth."""
-    r, pairs = np.random.default_rng(11), 400
-    base = r.integers(1 << 16, size=nd.SAMPLES)
-    rows, truth = [], set()
+def joined_by(ties):
+    """The root of each end of ties (a, b)."""
+    root = {}
+
+    def top(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in ties:
+        p, q = top(a), top(b)
+        root[max(p, q)] = min(p, q)
+    return top
+
+
+def planted(base_share, pairs, seed=11):
+    """Samples of pairs of just similar classes, all of which agree with one base in a share of orders."""
+    r = np.random.default_rng(seed)
+    base, rows = r.integers(1 << 16, size=nd.SAMPLES), []
     for p in range(pairs):
-        own = np.where(r.random(nd.SAMPLES) < 0.95, base, r.integers(1 << 16, size=nd.SAMPLES))
+        own = np.where(r.random(nd.SAMPLES) < base_share, base, r.integers(1 << 16, size=nd.SAMPLES))
         other = np.where(r.random(nd.SAMPLES) < 0.8, own, r.integers(1 << 16, size=nd.SAMPLES))
         rows += [(2 * p, own.astype("<u2").tobytes()), (2 * p + 1, other.astype("<u2").tobytes())]
-        truth.add(p)
-    classes = nd.written(spark.createDataFrame(rows, "set_id long, sample binary"))
-    nodes = collections.defaultdict(set)
-    for x in nd._meetings(classes).select("node", "set_id").distinct().toLocalIterator():
-        nodes[x["node"]].add(x["set_id"])
-    met = {x // 2 for own in nodes.values() for x in own if x ^ 1 in own}
-    assert len(truth - met) <= 1, f"{len(truth - met)} of {pairs} pairs never met"
+    return rows
+
+
+@pytest.mark.parametrize(("base_share", "pairs"), [(0.95, 400), (0.75, 1200), (0.0, 400)])
+def test_pairs_meet_in_split_nodes(spark, base_share, pairs):
+    """Pairs that are just similar enough, in groups whose nodes split to some depth or are heavy."""
+    classes = nd.written(spark.createDataFrame(planted(base_share, pairs), "set_id long, sample binary"))
+    top = joined_by(map(tuple, nd._ties(classes).collect()))
+    lost = sum(top(2 * p) != top(2 * p + 1) for p in range(pairs))
+    assert lost <= 1, f"{lost} of {pairs} pairs never met"
+    if not base_share:
+        assert len({top(2 * p) for p in range(pairs)}) > 0.99 * pairs
+
+
+def test_recall_among_half_similar_texts(spark):
+    """4,000 texts that share half of their shingles and 400 planted pairs just similar enough, against brute force."""
+    r = random.Random(21)
+    common = [f"c{k}" for k in range(60)]
+    rows, pairs = [], []
+    for k in range(4000):
+        rows.append((k, " ".join(common + [f"w{r.randrange(10**6)}" for _ in range(56)])))
+    for k in range(400):
+        words_ = rows[r.randrange(4000)][1].split()
+        at = r.randrange(62, len(words_) - 12)
+        words_[at], words_[at + 5] = "x", f"y{k}"
+        rows.append((4000 + k, " ".join(words_)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for _, t in rows for w in [t.split()]]
+    by = collections.defaultdict(list)
+    for k, s in enumerate(sets):
+        for x in s:
+            if x[-1][0] != "c":
+                by[x].append(k)
+    links = collections.Counter()
+    for a, b in {(a, b) for x in by.values() for a in x for b in x if a < b}:
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            links[a] += 1
+            links[b] += 1
+            pairs.append((a, b))
+    got = {x.doc_id: x for x in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(got[a].class_id == got[b].class_id for a, b in pairs)
+    print(f"recall {found} of {len(pairs)}")
+    assert len(pairs) > 300 and found >= 0.99 * len(pairs) and sum(x.n_links for x in got.values()) >= 0.99 * sum(links.values())
+
+
+def test_blocks_give_the_same_links(docs, monkeypatch):
+    want = collections.Counter(map(tuple, nd.near_duplicates(docs).collect()))
+    monkeypatch.setattr(nd, "BLOCK_SETS", 2)
+    assert collections.Counter(map(tuple, nd.near_duplicates(docs).collect())) == want
 
 
 def test_warc(spark):
