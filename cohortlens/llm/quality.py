@@ -35,7 +35,7 @@ FLOORS = {"symbols": 0.06, "word_length": 0.05, "capitals": 0.03, "marks": 0.03}
 PULL = 60.0
 LEAST_GROUP, CUT = 60, 7.5
 #: Steps go on until no group's log determinant falls by more than SETTLED, MAX_STEPS at most.
-MAX_STEPS, SETTLED = 15, 0.01
+MAX_STEPS, SETTLED = 12, 0.02
 STARTS = ("medians", "signs", "squashed")
 #: Median of the chi-squared distribution with as many degrees of freedom as features.
 CHI2_MEDIAN = 3.3567
@@ -190,13 +190,13 @@ def fits(statistics: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
     rows = rows.select("group_key", *FEATURES)
     for step in range(MAX_STEPS):
         near = _beside(rows, fit, few).withColumn("d2", _distance({a: F.col(a) for a in FEATURES})).select("group_key", "start", "d2", *FEATURES)
-        half = written(near.groupBy("group_key", "start").agg(F.percentile_approx("d2", 0.5, 2000).alias("half")))
+        half = near.groupBy("group_key", "start").agg(F.percentile_approx("d2", 0.5, 2000).alias("half"))
         inner = near.join(F.broadcast(half) if few else half, ["group_key", "start"]).where(F.col("d2") <= F.col("half"))
         sums = inner.groupBy("group_key", "start").agg(*(F.avg(a).alias(f"m_{a}") for a in FEATURES), *(F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c_{i}{j}") for i, j in _PAIRS))
         after = written(_factor(sums).select("group_key", "start", *_fitted()).withColumn("log_determinant", _log_determinant()))
         before = fit.select("group_key", "start", F.col("log_determinant").alias("last")) if step else None
         fell = after.join(before, ["group_key", "start"]).agg(F.max(F.col("last") - F.col("log_determinant"))).first()[0] if step else None
-        discard(half, fit)
+        discard(fit)
         fit = after
         if step and (fell is None or fell < SETTLED):
             break
