@@ -43,18 +43,18 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path.getParent(), True)
 
 
-def matched(rows: DataFrame, groups: DataFrame, keys: list[str], n: str) -> DataFrame:
+def matched(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
     """rows joined with their group, of which groups has one row by keys; n is how many rows a group has.
 
-    Groups that hold much of all rows are broadcast, and their rows stay where they are; the others are shuffled.
+    how is inner or left.  Groups that hold much of all rows are broadcast, and their rows stay where they are; the others are shuffled.
     rows is read twice if there are such groups, so it should be a table.
     """
     total = groups.agg(F.sum(n)).first()[0] or 0
     limit = max(LEAST_HOT, int(total * HOT_SHARE))
     hot = groups.where(F.col(n) > limit)
     if hot.isEmpty():
-        return rows.join(groups, keys)
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.where(F.col(n) <= limit), keys)
+        return rows.join(groups, keys, how)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.where(F.col(n) <= limit), keys, how)
     return rows.join(F.broadcast(hot), keys).unionByName(rest)
 
 

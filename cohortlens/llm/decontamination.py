@@ -8,8 +8,8 @@ are skipped by array operations.
 
 Contract.  Null texts have no words and no hits; items without words are
 ignored; equal items count once each by item_id (a null item_id reads "null").
-Equal documents each get their row.  Extra columns stay as they are, but for
-those named like the result's.  Items of more than MAX_WORDS words together are
+Equal documents each get their row.  Extra columns stay as they are, whatever
+their names.  An empty table of documents or of items gives no hits.  Items of more than MAX_WORDS words together are
 taken in blocks, one pass over the documents each.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import own_name, written
 from ._text import ALNUM, Words, slices
 
 #: Item words of one automaton (a few hundred bytes each on the driver and in every worker).
@@ -187,7 +187,8 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, n: int, max_words: int, fini
     rows = benchmark.where(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
     total = rows.agg(F.sum(words)).first()[0] or 0
     blocks = max(1, -(-int(total) // max_words))
-    held = docs.withColumns({_SPANS: F.lit(None).cast("array<struct<first:int,past:int>>"), _ITEMS: F.lit(None).cast("array<string>")})
+    spans_name, items_name = (own_name(x, docs.columns) for x in ("spans", "items"))
+    held = docs.withColumns({spans_name: F.lit(None).cast("array<struct<first:int,past:int>>"), items_name: F.lit(None).cast("array<string>")})
     carried = held.schema
     for block in range(blocks):
         own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
@@ -218,7 +219,6 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, n: int, max_words: int, fini
     return held
 
 
-_SPANS, _ITEMS = "__spans", "__items"
 _SPAN_TYPE = pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))
 
 

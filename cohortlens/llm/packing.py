@@ -3,9 +3,9 @@
 For every residual gap the packer knows how many open bins have it.  A piece
 goes where the sum of the squares of these counts becomes smallest, by the
 largest pieces first, ties to the smallest gap.  A new bin is opened only if no
-open bin has room, since the aim is few sequences.  Pieces are dealt by hash to
-shards of about PER_SHARD documents, each packed by itself: a shard loses about
-its last bin.
+open bin has room, since the aim is few sequences.  Full pieces are sequences of
+their own.  The others are dealt by hash to shards of about PER_SHARD pieces,
+each packed by itself: a shard loses about its last bin.
 
 Contract.  Null texts are empty; an empty document is its end id alone.  Every
 document, equal rows included, is packed; documents with more tokens than a
@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import written
 from ._text import slices
 from ._tokens import encoder
 
-#: Documents of a shard.
+#: Pieces of a shard.
 PER_SHARD = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
@@ -82,18 +83,22 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
 
 
 def pack(pieces: DataFrame, size: int, shards: int) -> DataFrame:
-    """pieces with sequence_id and offset."""
+    """A table of pieces with sequence_id and offset; sequences of full pieces have numbers below zero."""
 
     def of_shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         bins, offsets = sum_of_squares(rows["length"].to_numpy(), size)
         return rows.drop(columns="shard").assign(sequence_id=bins + (int(key[0]) << 40), offset=offsets)
 
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(of_shard, PACKED)
+    place = F.monotonically_increasing_id()
+    # Equal rows are spread, too: pieces is a table, so that a row's place stays.
+    dealt = pieces.where(F.col("length") < size).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", place), F.lit(shards)))
+    full = pieces.where(F.col("length") == size).withColumns({"sequence_id": -1 - place, "offset": F.lit(0).cast("long")})
+    return dealt.groupBy("shard").applyInPandas(of_shard, PACKED).unionByName(full)
 
 
 def packed(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, per_shard: int = PER_SHARD) -> DataFrame:
     """Documents as pieces with their places in sequences."""
-    shards = max(1, -(-docs.count() // per_shard))
-    return pack(token_pieces(docs, tokenizer, end_id, size), size, shards)
+    pieces = written(token_pieces(docs, tokenizer, end_id, size))
+    shards = max(1, -(-pieces.where(F.col("length") < size).count() // per_shard))
+    return pack(pieces, size, shards)

@@ -9,7 +9,8 @@ Contract.  Null texts are empty; an empty text is its end id alone.  Documents
 are in ascending (doc_id, hash of the text) order, nulls first; equal rows are
 kept, each with its own tokens.  Other columns are not read.  An empty table
 gives no files and no rows.  Memory of a task follows one shard, of which there
-are spark.sql.shuffle.partitions unless n_shards says otherwise.
+are as many as keep a shard's texts at about SHARD_BYTES, but no fewer than
+spark.sql.shuffle.partitions, unless n_shards says otherwise.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from ._text import slices
 from ._tokens import encoder
 
 MAGIC, CHUNK, BLOCK = b"DACT", 8, 512
+#: Bytes of text of a shard.
+SHARD_BYTES = 64 << 20
 _HEAD = struct.Struct("<4sIQQ")
 SHARDS = "shard int, path string, n_docs long, n_tokens long"
 
@@ -112,7 +115,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
     What the driver gets is one small row per shard.
     """
     spark = docs.sparkSession
-    n = n_shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    n = n_shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))

@@ -12,8 +12,8 @@ Contract.  Null html is empty, a null url is urn:page:<page_id>.  Of equal
 payloads of at least LEAST bytes every row with the smallest page_id is a
 response (so repeated rows are all responses if theirs is smallest), others are
 revisits of it; null page_ids are never referred to unless all are null.  Rows
-are kept as they are, repeated or not; extra columns are not read.  Files are as
-large as the partitions that wrote them and are read one at a time in a task.
+are kept as they are, repeated or not; extra columns are not read.  Files hold
+PER_FILE records at most, about 250 MB, and are read one at a time in a task.
 """
 
 from __future__ import annotations
@@ -22,15 +22,18 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import shared_dir
+from ._shared import matched, shared_dir, written
 
 #: Bytes of a segment's block, of a chunk, and of a payload that a revisit may stand for.
 SEGMENT, CHUNK, LEAST = 32 << 10, 8 << 10, 100
+#: Records of an archive: of SEGMENT bytes at most and little more, so that a file stays well below a row's limit.
+PER_FILE = 8_000
 END = "\r\n"
 RECORDS = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, origin string, number int, total long, block binary"
 
@@ -77,13 +80,13 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> str:
 
 def records_of(page_id: object, url: str | None, payload: bytes, digest: str, refers_to: object) -> list[str]:
     """The records of one page, each without the four bytes that end it."""
-    name = "null" if page_id is None else str(page_id)
+    name = _name(page_id)
     origin = f"<urn:page:{name}:{uuid.uuid4().hex}>"
     target = "".join(c if "!" <= c <= "~" else f"%{ord(c):02X}" for c in url or "") or f"urn:page:{name}"
     common = [("WARC-Date", "2020-01-01T00:00:00Z"), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha256:{digest}")]
     if refers_to is not None:
         head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Payload-Length: {len(payload)}\r\n\r\n".encode()
-        fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", origin), *common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+        fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", origin), *common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{_name(refers_to)}>")]
         return [_record(fields, head)]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     parts = _cut(block, SEGMENT)
@@ -104,8 +107,8 @@ def write_archives(pages: DataFrame, folder: str) -> None:
     base = pages.select(F.col("page_id").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"), F.col("page_id").alias("order_id"))
     ids = pages.select("page_id", html.alias("html")).where(F.octet_length("html") >= LEAST).select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("digest"))
     # Counts before the shuffle, so that equal payloads meet as one row per task.
-    first = ids.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
-    rows = base.join(first, "digest", "left").select("page_id", "url", "html", "digest", F.when(F.col("order_id") != F.col("first_id"), F.col("first_id").cast("string")).when(F.col("order_id").isNull(), F.col("first_id").cast("string")).alias("refers_to"))
+    first = ids.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    rows = matched(base, written(first), ["digest"], "copies", "left").select("page_id", "url", "html", "digest", F.when(F.col("order_id") != F.col("first_id"), F.col("first_id").cast("string")).when(F.col("order_id").isNull(), F.col("first_id").cast("string")).alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", "2020-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")])], names=["value"])
@@ -117,7 +120,7 @@ def write_archives(pages: DataFrame, folder: str) -> None:
                     out += records_of(page_id, url, text.encode(), digest, refers_to)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    rows.mapInArrow(write, "value string").write.option("lineSep", END * 2).option("compression", "gzip").text(folder)
+    rows.mapInArrow(write, "value string").write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(folder)
 
 
 def parse(blob: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -143,9 +146,14 @@ def parse(blob: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = past + 4
 
 
+def _name(page_id: object) -> str:
+    """A page_id as part of a URN; null is told apart from any text."""
+    return "null" if page_id is None else "id-" + quote(str(page_id), safe="")
+
+
 def _page(origin: str) -> str | None:
     name = origin.strip("<>").split(":")[2]
-    return None if name == "null" else name
+    return None if name == "null" else unquote(name[3:])
 
 
 def _finished(origin: str, fields: dict, block: bytes) -> tuple:

@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import html
+import os
 import random
 import re
 import struct
@@ -13,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.llm import near_duplicates as nd
-from cohortlens.llm import packing, substrings, token_file, warc
+from cohortlens.llm import packing, quality, substrings, token_file, warc
 from cohortlens.llm import toxicity as tox
 from cohortlens.llm._tokens import Encoder, load, token_path
 from cohortlens.llm.attribution import section_tokens
@@ -66,6 +68,15 @@ def rest_of(df):
     return collections.Counter(map(tuple, df.select(*(F.col(f"`{c}`") for c in df.columns if c != "text")).collect()))
 
 
+def table_of(scale, name):
+    """The path of a table of the test data, beside that of BENCH_SF_DIR; without it the test is skipped."""
+    base = os.path.dirname(os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/"))
+    path = f"{base}/{scale}/{name}.parquet"
+    if not os.path.exists(path):
+        pytest.skip(f"no {path}")
+    return path
+
+
 def words(t):
     return re.findall(SPACE, t or "")
 
@@ -152,7 +163,10 @@ def test_decontamination(spark, docs, empty):
     assert collections.Counter(map(tuple, contamination_report(docs, bench).collect())) == collections.Counter(want)
     assert contamination_report(empty, bench).count() == 0
     kept = decontaminate(docs, bench, max_coverage=0.9)
-    assert kept.columns == docs.columns and kept.count() < docs.count()
+    assert kept.columns == docs.columns and kept.count() < docs.count() and not rest_of(kept) - rest_of(docs)
+    odd = decontaminate(clashing(docs), bench, max_coverage=0.9)
+    assert odd.columns == clashing(docs).columns and odd.count() == kept.count() and not rest_of(odd) - rest_of(clashing(docs))
+    assert decontaminate(empty, bench).count() == 0 and decontaminate(docs, bench.limit(0)).count() == docs.count()
     assert collections.Counter(decontaminate(docs, bench, max_words=20).select("text").collect()) == collections.Counter(decontaminate(docs, bench).select("text").collect())
 
 
@@ -258,11 +272,14 @@ def test_warc(spark):
     pages = [(1, "http://a/x y", "<p>é" * 30), (2, None, "<p>é" * 30), (0, "u", "short"), (3, "u", "short"), (4, "u", None), (5, "v", "漢\r\n\r\n" * 40_000), (None, "w", "<p>é" * 30), (1, "dup", "<p>é" * 30)]
     got = collections.Counter(map(tuple, warc.archived(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()))
     want = collections.Counter()
-    for page_id, _, html in pages:
-        blob = (html or "").encode()
-        again = html == pages[0][2] and page_id != 1
+    for page_id, _, page in pages:
+        blob = (page or "").encode()
+        again = page == pages[0][2] and page_id != 1
         want[(page_id, len(blob), hashlib.sha256(blob).hexdigest(), "revisit" if again else "response", 1 if again else None)] += 1
     assert got == want
+    named = [("a:b", "u", "<p>1</p>" * 20), ("null", "u", "x"), ("é /", "u", "<p>1</p>" * 20), (None, "u", "y")]
+    found = {(r.page_id, r.record_type, r.refers_to) for r in warc.archived(spark.createDataFrame(named, "page_id string, url string, html string")).collect()}
+    assert found == {("a:b", "response", None), ("null", "response", None), ("é /", "revisit", "a:b"), (None, "response", None)}
     assert warc.archived(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
@@ -279,30 +296,149 @@ def test_extraction(spark):
     assert texts[1] == ["1th own words only"] and texts[7] == [""] and texts[8] == [""] and texts[9] == ["H & h\n\na b c\n\ntail"] * 2
 
 
+ODD_PAGES = [
+    ("<article><h1>T</h1><p class=ad>x<p>one<p>two</article>", ["T", "one", "two"]),
+    ("<article><div class='entry-header'><h1>Title</h1></div><p>body</p></article>", ["Title", "body"]),
+    ("<article><div class=header><h1>Title</h1></div><section aria-label='Related work'><p>w</p></section><p class='notice period'>n</p></article>", ["Title", "w", "n"]),
+    ("<article><p title='it's'>q</p><p title=\"a>b\">r</p></article>", ["q", "r"]),
+    ("<article><ul><li class=share>s<li>a<li>b</ul><p>c</article><p>d", ["a", "b", "c"]),
+    ("<article><table><tr><td>a<td class=ad>x<td>b<tr><td>c</table></article>", ["a", "b", "c"]),
+    ("<nav><ul><li>m<article><p>t</p></article>", ["t"]),
+    ("<nav>m<article>teaser</article></nav><article>t</article>", ["t"]),
+    ("<form><article>t</article></form>", ["t"]),
+    ("<head><title>x</title><article>t<span class=ad>u<span>v</span>w</span> z</article>", ["t z"]),
+    ("<article>a</div></div><p>b &lt;c&gt; &eacute;&nbsp;d</p></article>", ["a", "b <c> é d"]),
+    ("<div class='site-header'>h</div><main><p>m</p></main><div class='ad-1'>x</div>", ["m"]),
+    ("<article><script>if (a < b) '</p>'</script><p>1 < 2</p><style>p{}</style></article>", ["1 < 2"]),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), ODD_PAGES)
+def test_blocks_of_odd_pages(page, want):
+    article, main, _ = blocks_of(page)
+    assert (article or main) == want
+
+
+def test_given_pages(spark):
+    """Pages of the test data against a plain reading of their one article."""
+    rows = spark.read.parquet(table_of("sf0.001", "pages"))
+    got = {r.page_id: r.text for r in main_text(rows).collect()}
+    for r in rows.collect():
+        body = re.search("<article>(.*)</article>", r.html, re.S)[1]
+        parts = (re.sub("<[^>]*>", "", re.sub("<br>", " ", x)) for x in re.split("</?(?:p|h1)>", body))
+        assert got[r.page_id] == "\n\n".join(y for x in parts if (y := " ".join(html.unescape(x).split())))
+
+
+def test_copied_pages_count_once(spark):
+    """Two copies of an open page don't make each other's own words boilerplate."""
+    shared = "<div>all of these words stand on every page of the host here</div>"
+    own = lambda k: " ".join(f"own{k // 2}x{j}" for j in range(12))
+    rows = [(k, "http://h/x", f"<body>{shared}<div>{own(k)}</div>") for k in range(6)]
+    got = main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.text == own(r.page_id) for r in got) and len(got) == 6
+
+
+def word_ids(text, end=0):
+    return [*load(token_path("word_bpe_49k.json")).encode(text or "", add_special_tokens=False).ids, end]
+
+
 def test_packing(docs, empty):
-    got = packing.packed(docs, token_path("word_bpe_49k.json"), size=256).toPandas()
-    n = sum(-(-(len(load(token_path("word_bpe_49k.json")).encode(r[1] or "", add_special_tokens=False).ids) + 1) // 256) for r in made())
-    assert len(got) == n and got.sequence_id.nunique() <= -(-got.length.sum() // 256) + 1
-    for _, rows in got.sort_values("offset").groupby("sequence_id"):
-        assert rows.offset.tolist() == [0, *rows.length.cumsum().tolist()[:-1]] and rows.length.sum() <= 256
+    rows, size = made(), 256
+    want = collections.Counter()
+    for r in rows:
+        ids = word_ids(r[1])
+        for k in range(0, len(ids), size):
+            part = ids[k : k + size]
+            want[(r[0], k // size, k, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part)))] += 1
+    for per_shard in (packing.PER_SHARD, 20):
+        got = packing.packed(docs, token_path("word_bpe_49k.json"), size=size, per_shard=per_shard).toPandas()
+        assert collections.Counter(tuple(None if x != x else int(x) for x in r) for r in got[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False)) == want
+        shards = -(-(got.length < size).sum() // per_shard)
+        assert got.sequence_id.nunique() <= -(-got.length.sum() // size) + shards
+        for _, own in got.sort_values("offset").groupby("sequence_id"):
+            assert own.offset.tolist() == [0, *own.length.cumsum().tolist()[:-1]] and own.length.sum() <= size
     assert packing.packed(empty, token_path("word_bpe_49k.json")).count() == 0
 
 
 @pytest.mark.parametrize("rule", ["start", "end", "most"])
-def test_sections(docs, rule):
-    got = section_tokens(docs, token_path("byte_bpe_50k.json"), rule).groupBy("doc_id").sum("n_tokens").collect()
-    want = collections.Counter()
+def test_sections(docs, empty, rule):
+    """Sections and their tokens from the tokenizer's own offsets."""
+    tokenizer, want = load(token_path("byte_bpe_50k.json")), collections.Counter()
     for r in made():
-        want[r[0]] += len(load(token_path("byte_bpe_50k.json")).encode(r[1] or "", add_special_tokens=False).ids)
-    assert {r[0]: r[1] for r in got} == dict(want)
+        text = r[1] or ""
+        lines = text.splitlines(keepends=True) if text.count("\n") else [text]
+        edges = [0]
+        for x in lines:
+            edges.append(edges[-1] + len(x.encode()))
+        found, crossing = [0] * len(lines), [0] * len(lines)
+        byte = [len(c.encode()) for c in text]
+        at = [0, *np.cumsum(byte).tolist()]
+        done = 0
+        for k, (a, b) in enumerate(tokenizer.encode(text, add_special_tokens=False).offsets):
+            ids = tokenizer.encode(text, add_special_tokens=False).ids if k == 0 else ids
+            n = len(tokenizer.id_to_token(ids[k]))
+            first, last = done, done + n - 1
+            assert at[a] <= first and last < at[b]
+            done += n
+            place = lambda x: int(np.searchsorted(edges, x, "right")) - 1
+            one, two = place(first), place(last)
+            share = {s: min(last + 1, edges[s + 1]) - max(first, edges[s]) for s in range(one, two + 1)}
+            own = {"start": one, "end": two, "most": max(share, key=lambda s: (share[s], -s))}[rule]
+            found[own] += 1
+            crossing[own] += one != two
+        for k, (x, n, c) in enumerate(zip(lines, found, crossing, strict=True)):
+            want[(r[0], k, edges[k], len(x.encode()), n, c)] += 1
+    assert collections.Counter(map(tuple, section_tokens(docs, token_path("byte_bpe_50k.json"), rule).collect())) == want
+    assert section_tokens(empty, token_path("byte_bpe_50k.json"), rule).count() == 0
+
+
+def counts_of(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words by plain Python."""
+    text = text or ""
+    w = words(text)
+    lines = [x for x in text.split("\n") if words(x)]
+    places = collections.defaultdict(list)
+    for i in range(len(w) - 4):
+        places[tuple(w[i : i + 5])].append(i)
+    covered = {i + k for own in places.values() if len(own) > 1 for i in own for k in range(5)}
+    return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
 
 
 def test_quality(docs, empty):
-    for r in quality_report(docs).collect():
+    want = collections.Counter((r[0], *counts_of(r[1])) for r in made())
+    got = quality_report(docs)
+    assert collections.Counter(map(tuple, got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").collect())) == want
+    for r in got.collect():
         assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and r.n_words is not None
         assert not (r.base_failed and r.kept)
     kept = keep_clean(docs)
-    assert kept.columns == docs.columns and quality_report(empty).count() == 0
+    assert kept.columns == docs.columns and not rest_of(kept) - rest_of(docs)
+    assert collections.Counter(r.doc_id for r in kept.collect()) == collections.Counter(r.doc_id for r in got.collect() if r.kept)
+    odd = keep_clean(clashing(docs))
+    assert odd.columns == clashing(docs).columns and not rest_of(odd) - rest_of(clashing(docs)) and odd.count() == kept.count()
+    assert quality_report(empty).count() == 0 and keep_clean(empty).count() == 0
+
+
+def test_small_groups_use_their_language(spark):
+    """Documents of a source below the least size are judged by the fit of their language."""
+    rng = random.Random(9)
+    text = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(9)) for _ in range(90))
+    rows = [(k, text(), "en", "big") for k in range(150)] + [(150 + k, text(), "en", "small") for k in range(40)]
+    statistics = quality.written(quality.with_statistics(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
+    keys = lambda least: {r.group_key.split(":")[0] for r in quality.fits(statistics, least).collect()}
+    n = lambda least: quality.fits(statistics, least).where("group_key like '0:%'").count()
+    assert n(60) == 1 and n(40) == 2 and keys(60) == {"0", "1", "2"}
+
+
+def test_the_least_determinant_wins(spark):
+    """Of a group with a tight cluster of outliers the fit is that of the start with the least determinant."""
+    rng = np.random.default_rng(5)
+    good = rng.normal(0, 1, (240, 4)) @ np.array([[1, 0.8, 0, 0], [0, 0.6, 0, 0], [0, 0, 1, 0.5], [0, 0, 0, 0.8]])
+    bad = rng.normal(6, 0.3, (90, 4))
+    rows = [("en", "s", 1000, *map(float, r)) for r in np.vstack([good, bad])]
+    fit = quality.fits(spark.createDataFrame(rows, "lang string, source string, n_words long, " + ", ".join(f"{c} double" for c in quality.FEATURES))).where("group_key like '0:%'").first()
+    means = np.array([fit[f"m_{c}"] for c in quality.FEATURES])
+    assert np.abs(means).max() < 0.5 and fit.start in quality.STARTS and fit.log_determinant < np.log(np.linalg.det(np.cov(np.vstack([good, bad]).T)))
 
 
 def test_outliers_go(spark):
@@ -354,9 +490,8 @@ def test_units_beyond_the_bound(spark, monkeypatch):
 
 
 def test_toxic_held_out(spark):
-    sf = "/root/testdata/sf0.1"
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
-    got = toxicity(spark.read.parquet(f"{sf}/documents.parquet"), labels).join(labels, "doc_id").where("held_out").toPandas()
+    labels = spark.read.parquet(table_of("sf0.1", "labels"))
+    got = toxicity(spark.read.parquet(table_of("sf0.1", "documents")), labels).join(labels, "doc_id").where("held_out").toPandas()
     hit = got[(got.predicted == 1) & (got.toxic == 1)]
     assert len(hit) > 0.85 * got.toxic.sum() and len(hit) > 0.9 * got.predicted.sum()
 
