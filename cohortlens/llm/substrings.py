@@ -8,20 +8,20 @@ dictionary, and the naming rounds need no exchange; what must meet is which
 names are shared.  A symbol depends on a known stretch of words around it; where
 the same words stand, the same symbol stands.  So every window of WIDTH words
 has symbols that depend on nothing outside it, equal windows have the same ones,
-and the least of the highest level (by name) is the window's anchor.
+and of those of the highest level the longest (then the least by name) is the window's anchor.
 Consecutive windows share anchors: about one word in ten begins one.
 
-1. A Spark round names the anchors of all documents, (level, name) with a second
-   hash of what the name stands for, and counts them.  Names of one place can't repeat.
+1. A Spark round names the anchors of all documents, each name with the context
+   that it depends on, and counts them.  Names of one place can't repeat.
 2. A second round brings the places of shared names together.  Places whose whole
    stretch of windows is equal repeat as a whole.
 3. What is left, the edges of repeats, is verified in a last round window by window
    with 128-bit hashes of their words.
 
 Windows without such a symbol (inside long runs) are their own anchors, so the
-result is exact but for collisions of the hashes; a name that stands for two
-things is noticed by its second hash and fails the job.  Names that many places
-share are broadcast and their places stay where they are (matched()).
+result is exact but for collisions of 128 bits: names of two hash families tell
+stretches apart, and a name that stands for two things only costs a verification.
+Names that many places share are broadcast and their places stay where they are (matched()).
 
 Contract.  Null and empty texts have no words and stay as they are; texts of
 fewer than WIDTH words have no windows.  A repeated row is an occurrence like
@@ -115,7 +115,7 @@ def _least_in(low: np.ndarray, high: np.ndarray, rank: np.ndarray, n: int) -> np
 class Anchors:
     """Anchors of a slice of texts: maximal ranges of windows that share one.
 
-    key is the anchor's name at its level, check a second hash of the words that the name stands for.
+    key is the anchor's name at its level with its context, whole a second hash of all words of the windows.
     """
 
     def __init__(self, texts: pa.Array, width: int = WIDTH):
@@ -126,7 +126,7 @@ class Anchors:
         self.h1, self.h2 = h1, None
         empty = np.zeros(0, np.int64)
         self.doc = self.first = self.size = empty
-        self.key = self.whole = self.check = empty.astype(np.uint64)
+        self.key = self.whole = empty.astype(np.uint64)
         doc_of = np.repeat(np.arange(len(counts)), counts)
         past = w.first[1:][doc_of] if n else empty
         valid = np.arange(n) + width <= past
@@ -134,8 +134,7 @@ class Anchors:
             return
         none = np.iinfo(np.uint64).max
         anchor_key = np.zeros(n, np.uint64)
-        anchor_at = np.full(n, -1, np.int64)  # where the anchor's symbol begins and ends
-        anchor_end = np.zeros(n, np.int64)
+        anchor_at = np.full(n, -1, np.int64)  # where the anchor's symbol begins
         missing = valid.copy()
         levels = _symbols(h1, w.first[:-1], counts)
         for level in range(ROUNDS - 1, ROUNDS - 3, -1):
@@ -147,20 +146,22 @@ class Anchors:
             own = np.searchsorted(w.first, low, "right") - 1
             a, b = np.maximum(high - width, w.first[own]), np.minimum(low, w.first[own + 1] - width)
             fits = a <= b
-            names, begin, end, a, b = names[fits], begin[fits], end[fits], a[fits], b[fits]
+            names, begin, end, low, high, a, b = (x[fits] for x in (names, begin, end, low, high, a, b))
             if not len(names):
                 continue
-            # Names of different levels are kept apart.
-            key = mix(names + np.uint64(level + 1))
+            # A name by its level and in its context: the words of the stretch that it depends on.
+            key = mix(names + np.uint64(level + 1)) ^ span_hash(h1, low, high)
+            # Symbols of more words come first: fewer places share their names.  Then the name decides.
             bits = int(len(key)).bit_length()
-            rank = (key >> np.uint64(bits)) << np.uint64(bits) | np.arange(len(key), dtype=np.uint64)
+            rank = np.uint64(63) - np.minimum(end - begin, 63).astype(np.uint64) << np.uint64(58)
+            rank |= (key >> np.uint64(6 + bits)) << np.uint64(bits) | np.arange(len(key), dtype=np.uint64)
             found = _least_in(b, a + width, rank, n)
             take = missing & (found != none)
             which = (found[take] & np.uint64((1 << bits) - 1)).astype(np.int64)
-            anchor_key[take], anchor_at[take], anchor_end[take] = key[which], begin[which], end[which]
+            anchor_key[take], anchor_at[take] = key[which], begin[which]
             missing &= ~take
         alone = np.flatnonzero(missing)
-        anchor_key[alone], anchor_at[alone], anchor_end[alone] = span_hash(h1, alone, alone + width), alone, alone + width
+        anchor_key[alone], anchor_at[alone] = span_hash(h1, alone, alone + width), alone
         at = np.flatnonzero(valid)
         new = np.ones(len(at), bool)
         new[1:] = (anchor_at[at[1:]] != anchor_at[at[:-1]]) | (at[1:] != at[:-1] + 1) | (anchor_key[at[1:]] != anchor_key[at[:-1]])
@@ -169,7 +170,6 @@ class Anchors:
         self.key, self.doc = anchor_key[starts], doc_of[starts]
         self.first = starts - w.first[self.doc]
         self.h2 = w.hashes(P2)
-        self.check = span_hash(self.h2, anchor_at[starts], anchor_end[starts], P2)
         whole = span_hash(self.h2, starts, starts + self.size + width - 1, P2)
         self.whole = mix(whole + (anchor_at[starts] - starts).astype(np.uint64))
 
@@ -206,14 +206,11 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def named(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = Anchors(batch.column(0))
         rows = pa.array(x.doc)
-        return pa.RecordBatch.from_arrays([*(pa.array(v.view(np.int64)) for v in (x.key, x.check, x.whole)), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(x.first.astype(np.int32)), pa.array(x.size.astype(np.int32))], names=["key", "check", "whole", *_ID, "first", "size"])
-
-    places = written(_each(docs, named, "key long, check long, whole long, id_a long, id_b long, first int, size int"))
-    names = places.groupBy("key").agg(F.count(F.lit(1)).alias("shared"), F.min("check").alias("least"), F.max("check").alias("most")).where("shared > 1")
-    names = written(names)
-    if not names.where("least <> most").isEmpty():
-        raise RuntimeError("a name stands for two substrings")
-    found = written(matched(places.drop("check"), names.select("key", "shared"), ["key"], "shared"))
+        return pa.RecordBatch.from_arrays([*(pa.array(v.view(np.int64)) for v in (x.key, x.whole)), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(x.first.astype(np.int32)), pa.array(x.size.astype(np.int32))], names=["key", "whole", *_ID, "first", "size"])
+
+    places = written(_each(docs, named, "key long, whole long, id_a long, id_b long, first int, size int"))
+    names = written(places.groupBy("key").agg(F.count(F.lit(1)).alias("shared")).where("shared > 1"))
+    found = written(matched(places, names, ["key"], "shared"))
     # Of each stretch one occurrence stands for all where others of its anchor differ.
     stretch = found.groupBy("key", "whole").agg(F.count(F.lit(1)).alias("n"), F.max("shared").alias("all"), F.min(F.struct("id_a", "id_b", "first")).alias("one"))
     stretch = written(stretch.select("key", "whole", "n", (F.col("n") < F.col("all")).alias("mixed"), "one"))
