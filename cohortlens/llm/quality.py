@@ -35,7 +35,7 @@ FLOORS = {"symbols": 0.06, "word_length": 0.05, "capitals": 0.03, "marks": 0.03}
 PULL = 60.0
 LEAST_GROUP, CUT = 60, 7.5
 #: Steps go on until no group's log determinant falls by more than SETTLED, MAX_STEPS at most.
-MAX_STEPS, SETTLED = 12, 0.02
+MAX_STEPS, SETTLED = 8, 0.02
 STARTS = ("medians", "signs", "squashed")
 #: Median of the chi-squared distribution with as many degrees of freedom as features.
 CHI2_MEDIAN = 3.3567
