@@ -39,6 +39,21 @@ def level_for(base: Column, target: float, downsamples: Column) -> Column:
     return F.when(base + 1e-9 >= target, F.array_min(far)["level"])
 
 
+def output_length(length: Column, base: Column, target: float) -> Column:
+    """Pixels of a side at the target magnification, rounded half to even, one at least."""
+    return F.greatest(F.bround(length * target / base, 0), F.lit(1)).cast("int")
+
+
+def to_level0(place: Column, base: Column, target: float) -> Column:
+    """A place on the target's grid in pixels of the full resolution."""
+    return F.bround(place * (base / target), 0).cast("int")
+
+
+def read_length(length: Column, native: Column, target: float) -> Column:
+    """Pixels to read at a native magnification for a length at the target's, one at least."""
+    return F.greatest(F.bround(length * (native / target), 0), F.lit(1)).cast("int")
+
+
 def optical_density(v: Column) -> Column:
     """Density that tissue masks sum over the channels."""
     return -F.ln((v + 1.0) / 255.0 + 1e-6)

@@ -57,14 +57,24 @@ def _number(v: Value) -> Column:
 class Compiler:
     def __init__(self, df: DataFrame):
         self.df, self.fields = df, {f.name: f.dataType for f in df.schema.fields}
+        self.percentiles: dict[tuple[str, float], float | None] = {}
 
     def compile(self, text: str) -> Column:
         try:
             tree = ast.parse(text.strip(), mode="eval")
         except SyntaxError as e:
             raise RuleError(f"not an expression: {text!r}") from e
+        self._measure(tree)
         return truthy(self.of(tree.body))
 
+    def _measure(self, tree: ast.AST) -> None:
+        """All percentiles of a rule from one aggregation over the manifest."""
+        calls = [n for n in ast.walk(tree) if isinstance(n, ast.Call) and isinstance(n.func, ast.Name) and n.func.id == "percentile"]
+        wanted = sorted({x for x in map(self._percentile_of, calls) if x})
+        if wanted:
+            found = self.df.agg(*(F.percentile(F.col(f"`{field}`").cast("double"), F.lit(q / 100)) for field, q in wanted)).first()
+            self.percentiles = dict(zip(wanted, found, strict=True))
+
     def of(self, node: ast.AST) -> Value:
         method = getattr(self, f"_{type(node).__name__.lower()}", None)
         if method is None:
@@ -146,8 +156,19 @@ class Compiler:
                 out = out & ~F.isnan(c)
         return F.coalesce(out, F.lit(False))
 
+    #: What may stand on the right of `in` beside text.
+    LITERALS = (ast.List, ast.Tuple, ast.Set)
+
+    def _collection(self, node: ast.AST) -> Value:
+        """A list, tuple or set by itself is true if it has members, and equal to nothing that a manifest holds."""
+        for x in node.elts:
+            self.of(x)
+        return Value(F.lit(True) if node.elts else F.lit(None), "other")
+
+    _list = _tuple = _set = _collection
+
     def _member(self, a: Value, node: ast.AST) -> Column:
-        if isinstance(node, (ast.List, ast.Tuple)):
+        if isinstance(node, self.LITERALS):
             out = F.lit(False)
             for x in node.elts:
                 out = out | self._equal(a, self.of(x))
@@ -163,9 +184,10 @@ class Compiler:
             if isinstance(op, (ast.In, ast.NotIn)):
                 found = self._member(left, right)
                 if isinstance(op, ast.NotIn):
-                    null = not isinstance(right, (ast.List, ast.Tuple)) and self.of(right).kind == "null"
+                    null = not isinstance(right, self.LITERALS) and self.of(right).kind == "null"
                     found = F.lit(False) if null else ~found
-                out, left = out & found, left
+                # The chain goes on with what stands on the right, as in Python.
+                out, left = out & found, self.of(right)
                 continue
             b = self.of(right)
             if isinstance(op, ast.Eq):
@@ -192,17 +214,18 @@ class Compiler:
             return self._percentile(node)
         raise RuleError(f"function {name}")
 
-    def _percentile(self, node: ast.Call) -> Value:
+    def _percentile_of(self, node: ast.Call) -> tuple[str, float] | None:
+        """(field, q) of a call, null where the field has no numbers."""
         given = dict(zip(("field", "q"), node.args, strict=False)) | {k.arg: k.value for k in node.keywords}
         try:
             field, q = ast.literal_eval(given["field"]), float(ast.literal_eval(given.get("q", ast.Constant(50))))
         except (KeyError, ValueError) as e:
             raise RuleError("percentile takes a field's name and a number") from e
-        if _kind(self.fields.get(field, T.NullType()))[0] != "num":
-            return Value(F.lit(None), "null")
-        # One number, from one aggregation over the manifest.
-        q = min(100.0, max(0.0, q))
-        value = self.df.agg(F.percentile(F.col(f"`{field}`").cast("double"), F.lit(q / 100))).first()[0]
+        return (field, min(100.0, max(0.0, q))) if _kind(self.fields.get(field, T.NullType()))[0] == "num" else None
+
+    def _percentile(self, node: ast.Call) -> Value:
+        wanted = self._percentile_of(node)
+        value = self.percentiles.get(wanted) if wanted else None
         return Value(F.lit(value), "null" if value is None else "num", True)
 
 

@@ -18,10 +18,50 @@ def decoded(files: DataFrame, pattern: str = NAME) -> DataFrame:
 
 
 def slides(files: DataFrame) -> DataFrame:
-    """Decoded slides, the first path of each uid."""
+    """Decoded slides, the first path of each uid, in one shuffle."""
     known = decoded(files).where("slide_uid IS NOT NULL")
-    first = known.groupBy("slide_uid").agg(F.min("path").alias("path"))
-    return known.join(first, ["slide_uid", "path"], "left_semi").dropDuplicates(["slide_uid"])
+    rest = [c for c in known.columns if c != "slide_uid"]
+    first = known.groupBy("slide_uid").agg(F.min_by(F.struct(*rest), F.col("path")).alias("row"))
+    return first.select(*(F.col("slide_uid") if c == "slide_uid" else F.col("row")[c].alias(c) for c in known.columns))
+
+
+def declared(slide_rows: DataFrame, stains: dict[str, dict], overrides: DataFrame | None = None) -> DataFrame:
+    """Slides with role, source_magnification, excluded and note.
+
+    stains is what a descriptor says of each stain (role, source_magnification); others are moving.  overrides is
+    (slide_uid, source_magnification, exclude, note), any of the last three may be missing; a null there decides nothing.
+    """
+    rows = slide_rows
+    table = [(k, v.get("role") or "moving", v.get("source_magnification")) for k, v in sorted(stains.items())]
+    known = rows.sparkSession.createDataFrame([(k, r, None if m is None else float(m)) for k, r, m in table], "stain string, role string, stain_magnification double")
+    rows = rows.join(F.broadcast(known), "stain", "left")  # as many rows as a descriptor has stains
+    given = dict.fromkeys(("source_magnification", "exclude", "note"))
+    if overrides is not None:
+        given = {c: F.col(f"own.{c}") if c in overrides.columns else None for c in given}
+        rows = rows.join(overrides.select("slide_uid", F.struct(*(c for c in given if c in overrides.columns)).alias("own")), "slide_uid", "left")
+    own = {c: F.lit(None) if v is None else v for c, v in given.items()}
+    out = {"role": F.coalesce("role", F.lit("moving")), "source_magnification": F.coalesce(own["source_magnification"].cast("double"), "stain_magnification"), "excluded": F.coalesce(own["exclude"].cast("boolean"), F.lit(False)), "note": own["note"].cast("string")}
+    return rows.select(*slide_rows.columns, *(v.alias(c) for c, v in out.items()))
+
+
+def pairs_of(records: DataFrame, biomarkers: list[str] | None = None, include_excluded: bool = False) -> DataFrame:
+    """(pair_uid, case_id, stain, moving_uid, reference_uid) of declared slides: each moving one with its case's first reference.
+
+    The first is by stain and section among references that are not excluded; cases without one give no pair.
+    """
+    usable = records if include_excluded else records.where("NOT excluded")
+    ref = usable.where("role = 'reference'").groupBy("case_id").agg(F.min(F.struct("stain", "section", "slide_uid")).alias("r"))
+    moving = usable.where("role = 'moving'")
+    if biomarkers:
+        moving = moving.where(F.col("stain").isin([b.strip().lower() for b in biomarkers]))
+    out = moving.join(ref, "case_id").select("case_id", "stain", F.col("slide_uid").alias("moving_uid"), F.col("r.slide_uid").alias("reference_uid"), F.col("r.stain").alias("reference_stain"))
+    return out.withColumn("pair_uid", F.concat_ws("__", "reference_uid", "moving_uid"))
+
+
+def cases(records: DataFrame) -> DataFrame:
+    """Per case its number of slides and their uids by stain and section."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("stain", "section", "slide_uid"))), lambda x: x["slide_uid"])
+    return records.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_slides"), listed.alias("slide_uids"))
 
 
 def warnings(files: DataFrame, stains: list[str]) -> DataFrame:

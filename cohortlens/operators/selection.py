@@ -46,3 +46,10 @@ def summary(rows: DataFrame, by: str, field: str) -> DataFrame:
     x = F.col(field).cast("double")
     own = {"n": F.count(x), "total": F.sum(x), "mean": F.avg(x), "median": F.percentile(x, F.lit(0.5)), "std": F.stddev_pop(x), "least": F.min(x), "most": F.max(x)}
     return rows.groupBy(by).agg(*((v if k == "n" else F.round(v, 6)).alias(k) for k, v in own.items()))
+
+
+def aggregate(rows: DataFrame, by: list[str], sums: list[str] = (), means: list[str] = ()) -> DataFrame:
+    """n, the sums and the means (as field_mean) of fields by keys; what is no number counts as missing."""
+    numeric = {f.name for f in rows.schema.fields if f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double") or f.dataType.typeName().startswith("decimal")}
+    x = lambda f: F.col(f).cast("double") if f in numeric else F.lit(None).cast("double")
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.sum(x(f)).alias(f) for f in sums), *(F.avg(x(f)).alias(f"{f}_mean") for f in means))

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.functions import naming
-from cohortlens.functions.optics import level_for, snapped
+from cohortlens.functions.optics import level_for, output_length, read_length, snapped, to_level0
 from cohortlens.functions.rules import compile_rule
-from cohortlens.operators import grid, images, index, pixels, selection, stain
+from cohortlens.operators import discovery, grid, images, index, patches, pixels, selection, stain
+from cohortlens.plans.recipe import source_magnifications, usable_slides
 from cohortlens.sources import domain
 from cohortlens.streaming.manifests import cell_counts
 
@@ -204,10 +205,10 @@ def mag_plan_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domain.survey(spark, sf_dir).where("base IS NOT NULL").select("slide", level_for(F.col("base"), 10.0, F.col("downsamples")).alias("level"))
 
 
-@query(f"WITH {SURVEY} SELECT slide, round_even(width * 10 / base, 0)::INT AS out_width, round_even(height * 10 / base, 0)::INT AS out_height, base + 1e-9 >= 20 AS supported FROM v WHERE base IS NOT NULL")
+@query(f"WITH {SURVEY} SELECT slide, greatest(round_even(width * 10 / base, 0), 1)::INT AS out_width, greatest(round_even(height * 10 / base, 0), 1)::INT AS out_height, base + 1e-9 >= 20 AS supported FROM v WHERE base IS NOT NULL")
 def mag_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = domain.survey(spark, sf_dir).where("base IS NOT NULL")
-    return v.select("slide", *(F.bround(F.col(c) * 10 / F.col("base"), 0).cast("int").alias(f"out_{c}") for c in ("width", "height")), (F.col("base") + 1e-9 >= 20).alias("supported"))
+    return v.select("slide", *(output_length(F.col(c), F.col("base"), 10.0).alias(f"out_{c}") for c in ("width", "height")), (F.col("base") + 1e-9 >= 20).alias("supported"))
 
 
 @query(f"WITH {SURVEY} SELECT CASE WHEN base IS NULL THEN 'missing' ELSE regexp_replace(CAST(base AS VARCHAR), '\\.0$', '') || 'x' END AS label, count(*) AS n FROM v GROUP BY 1")
@@ -375,7 +376,7 @@ def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domain.table(spark, sf_dir, "pages").select("url").orderBy(naming.natural_key(F.col("url")))
 
 
-@query()
+@query(f"WITH RECURSIVE {PX}, d AS (SELECT tile, i FROM px WHERE r < 150), nb AS (SELECT a.tile, a.i, b.i AS j FROM d a JOIN d b ON a.tile = b.tile AND abs(a.i // 8 - b.i // 8) + abs(a.i % 8 - b.i % 8) = 1), w AS (SELECT tile, i, i AS j FROM d UNION SELECT w.tile, w.i, nb.j FROM w JOIN nb ON nb.tile = w.tile AND nb.i = w.j), l AS (SELECT tile, i, min(j) AS root FROM w GROUP BY tile, i), k AS (SELECT tile, root, count(*) AS n FROM l GROUP BY tile, root) SELECT t.tile, count(root)::INT AS regions, coalesce(max(n), 0)::INT AS largest FROM (SELECT DISTINCT tile FROM px) t LEFT JOIN k ON k.tile = t.tile GROUP BY t.tile")
 def components_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.components(domain.pixels(spark, sf_dir), 150)
 
@@ -408,3 +409,120 @@ def macenko_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def vahadane_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stain.vahadane_fit(domain.pixels(spark, sf_dir))
+
+
+_ruled("rule_set", "stain in {'cd8', 'he'} and positive_cells not in {1, 2}", "stain IN ('cd8', 'he') AND positive_cells NOT IN (1, 2)")
+_ruled("rule_in_chain", "'d' in stain in ['cd8'] and 'c' in stain not in ('cd31',)", "stain = 'cd8'")
+_ruled("rule_two_percentiles", "percentile('blur', 10) <= blur < percentile('blur', 90) and blur > percentile('blur', 10)", "coalesce(blur > (SELECT quantile_cont(blur, 0.1) FROM m) AND blur < (SELECT quantile_cont(blur, 0.9) FROM m), false)")
+
+STAINS = {"he": {"role": "reference"}, "cd8": {"role": "moving", "source_magnification": 40}}
+RECORDS = """o AS (SELECT slide_uid, CASE WHEN section = 2 THEN 80.0::DOUBLE END AS mag, section = 3 AND case_id LIKE '%5' AS ex FROM s WHERE section IN (2, 3)),
+x AS (SELECT s.slide_uid, case_id, stain, section, CASE stain WHEN 'he' THEN 'reference' ELSE 'moving' END AS role, coalesce(o.mag, CASE stain WHEN 'cd8' THEN 40.0::DOUBLE END) AS source_magnification, coalesce(o.ex, false) AS excluded FROM s LEFT JOIN o ON o.slide_uid = s.slide_uid)"""
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = index.slides(domain.files(spark, sf_dir))
+    own = rows.where("section IN (2, 3)").select("slide_uid", F.when(F.col("section") == 2, 80.0).alias("source_magnification"), ((F.col("section") == 3) & F.col("case_id").like("%5")).alias("exclude"))
+    return index.declared(rows, STAINS, own)
+
+
+@query(f"WITH {FILES}, {RECORDS} SELECT slide_uid, role, source_magnification, excluded FROM x")
+def index_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _records(spark, sf_dir).select("slide_uid", "role", "source_magnification", "excluded")
+
+
+@query(f"WITH {FILES}, {RECORDS}, r AS (SELECT case_id, slide_uid FROM x WHERE role = 'reference' AND NOT excluded QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY stain, section) = 1) SELECT r.slide_uid || '__' || x.slide_uid AS pair_uid, x.case_id, x.stain, x.slide_uid AS moving_uid, r.slide_uid AS reference_uid FROM x JOIN r ON r.case_id = x.case_id WHERE role = 'moving' AND NOT excluded")
+def pairs_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.pairs_of(_records(spark, sf_dir)).drop("reference_stain")
+
+
+@query(f"WITH {FILES} SELECT case_id, count(*) AS n_slides, string_agg(slide_uid, ',' ORDER BY stain, section, slide_uid) AS slide_uids FROM s GROUP BY case_id")
+def cases_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.cases(index.slides(domain.files(spark, sf_dir))).withColumn("slide_uids", F.concat_ws(",", "slide_uids"))
+
+
+def _surveyed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = index.slides(domain.files(spark, sf_dir))
+    base = F.when(F.col("section") == 3, 10.0).when(F.col("section") != 2, 40.0)
+    return rows, rows.where("case_id NOT LIKE '%9'").select("slide_uid", base.alias("base"), (~F.col("case_id").like("%7")).alias("readable"))
+
+
+@query(f"WITH {FILES}, {SEEN}, z AS (SELECT slide_uid, CASE WHEN NOT readable THEN 'unreadable' WHEN base IS NULL THEN 'no magnification' WHEN base + 1e-9 < 20 THEN 'below target' END AS reason FROM m) SELECT slide_uid, reason, reason IS NULL AS usable FROM z")
+def recipe_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usable_slides(_surveyed(spark, sf_dir)[1], 20.0).select("slide_uid", "reason", "usable")
+
+
+@query(f"WITH {FILES}, {PAIRS}, {SEEN} SELECT moving_uid, reference_uid, a.base AS reference_magnification, b.base AS moving_magnification, a.base IS NULL OR b.base IS NULL AS missing FROM p LEFT JOIN m a ON a.slide_uid = reference_uid LEFT JOIN m b ON b.slide_uid = moving_uid")
+def pair_magnifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, survey = _surveyed(spark, sf_dir)
+    return source_magnifications(index.pairs(rows), survey).select("moving_uid", "reference_uid", "reference_magnification", "moving_magnification", "missing")
+
+
+@query(f"WITH {M} SELECT case_id, stain, count(*) AS n, sum(positive_cells)::DOUBLE AS positive_cells, round(avg(positive_cells), 6) AS positive_cells_mean, round(avg(tissue_fraction), 6) AS tissue_fraction_mean FROM m GROUP BY case_id, stain")
+def results_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = selection.aggregate(domain.manifest(spark, sf_dir), ["case_id", "stain"], ["positive_cells"], ["positive_cells", "tissue_fraction"])
+    return out.withColumns({c: F.round(c, 6) for c in ("positive_cells_mean", "tissue_fraction_mean")})
+
+
+@query(f"WITH {SURVEY} SELECT slide, round_even(size * (base / 10), 0)::INT AS x0, greatest(round_even(size * (base / 2 / 10), 0), 1)::INT AS n_read FROM v WHERE base IS NOT NULL")
+def mag_read_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = domain.survey(spark, sf_dir).where("base IS NOT NULL")
+    return v.select("slide", to_level0(F.col("size"), F.col("base"), 10.0).alias("x0"), read_length(F.col("size"), F.col("base") / 2, 10.0).alias("n_read"))
+
+
+LISTED = """l AS (SELECT '/cohort/P' || (o_custkey % 50) || '/' || lab || '/S' || (o_orderkey % 40) || '_' || CASE WHEN o_orderkey % 23 = 0 THEN 'moving' ELSE lab END || '.svs' AS path, 'P' || (o_custkey % 50) AS folder, 'S' || (o_orderkey % 40) AS sample, lab, o_orderkey % 23 = 0 AND lab <> 'moving' AS odd
+  FROM (SELECT *, CASE o_orderstatus WHEN 'F' THEN 'reference' WHEN 'O' THEN 'moving' ELSE 'other' END AS lab FROM orders))"""
+
+
+@query(f"WITH {LISTED}, k AS (SELECT folder, sample, max(path) FILTER (lab = 'reference') AS reference, max(path) FILTER (lab = 'moving') AS moving FROM l WHERE lab <> 'other' AND NOT odd GROUP BY folder, sample) SELECT *, CASE WHEN reference IS NULL THEN 'reference' WHEN moving IS NULL THEN 'moving' END AS missing FROM k")
+def sample_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("o_orderstatus") == "F", "reference").when(F.col("o_orderstatus") == "O", "moving").otherwise("other")
+    text = lambda c, n: (F.col(c) % n).cast("string")
+    path = F.concat(F.lit("/cohort/P"), text("o_custkey", 50), F.lit("/"), label, F.lit("/S"), text("o_orderkey", 40), F.lit("_"), F.when(F.col("o_orderkey") % 23 == 0, "moving").otherwise(label), F.lit(".svs"))
+    return discovery.sample_pairs(discovery.indexed_pairs(domain.table(spark, sf_dir, "orders").select(path.alias("path"))))
+
+
+@query("SELECT '/out/' || (p_size % 7) || '/p' || p_partkey || '_reference.png' AS reference, '/out/' || (p_size % 7) || '/p' || p_partkey || '_moving.png' AS moving, 'p' || p_partkey || '_reference.png' AS name FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 5 <> 0")
+def patch_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("p_partkey")
+    stem = F.concat(F.lit("/out/"), (F.col("p_size") % 7).cast("string"), F.lit("/p"), p.cast("string"))
+    files = F.filter(F.array(F.when(p % 5 != 0, F.concat(stem, F.lit("_reference.png"))), F.when(p % 3 != 0, F.concat(stem, F.lit("_moving.png")))), lambda x: x.isNotNull())
+    return discovery.patch_pairs(domain.table(spark, sf_dir, "part").select(F.explode(files).alias("path")))
+
+
+@query(f"WITH {PX}, {BROWN}, k AS (SELECT tile, avg(((r + g + b) / 3.0::DOUBLE < 235)::INT) AS grey, avg(({OD} > 0.15::DOUBLE)::INT) AS density, avg(brown::INT) AS brown FROM z GROUP BY tile) SELECT tile, round(grey, 6) AS grey, round(density, 6) AS density, round(brown, 6) AS brown, grey >= 0.9::DOUBLE AS tissue FROM k")
+def tile_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shares = {"grey": patches.grey_share(), "density": patches.density_share(), "brown": patches.brown_share()}
+    return domain.tiles(spark, sf_dir).select("tile", *(F.round(v, 6).alias(k) for k, v in shares.items()), patches.is_tissue("grey", 0.9).alias("tissue"))
+
+
+@query(f"WITH {PX}, k AS (SELECT tile, avg(((r + g + b) / 3.0::DOUBLE < 235)::INT) AS share FROM px GROUP BY tile), n AS (SELECT printf('S%02d', tile % 20) AS slide_uid, ((tile // 20) % 4 * 8)::INT AS x0, ((tile // 80) * 8)::INT AS y0, share FROM k) SELECT slide_uid, count(*) AS n_tiles, count(*) FILTER (share >= 0.9::DOUBLE) AS n_tissue, round(avg(share), 6) AS tissue_fraction, min(x0) FILTER (share >= 0.9::DOUBLE) AS \"left\", min(y0) FILTER (share >= 0.9::DOUBLE) AS top, max(x0) FILTER (share >= 0.9::DOUBLE) AS \"right\", max(y0) FILTER (share >= 0.9::DOUBLE) AS bottom FROM n GROUP BY slide_uid")
+def stage_tissue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patches.tissue(domain.tiles(spark, sf_dir), 0.9).withColumn("tissue_fraction", F.round("tissue_fraction", 6))
+
+
+def _tile_pairs(spark: SparkSession) -> DataFrame:
+    k = F.col("id")
+    return spark.range(10).select(F.concat(F.lit("C"), k.cast("string")).alias("case_id"), F.when(k % 2 == 0, "cd8").otherwise("cd31").alias("stain"), F.format_string("S%02d", k * 2 + 1).alias("moving_uid"), F.format_string("S%02d", k * 2).alias("reference_uid"))
+
+
+CUT = f"{PX}, k AS (SELECT tile, avg(((r + g + b) / 3.0::DOUBLE < 235)::INT) AS share FROM px GROUP BY tile), c AS (SELECT tile, 'C' || (tile % 20 // 2) AS case_id, CASE WHEN tile % 2 = 0 THEN 'he' WHEN tile % 20 // 2 % 2 = 0 THEN 'cd8' ELSE 'cd31' END AS stain, share, printf('S%02d__x%06d_y%06d', tile % 20, (tile // 20) % 4 * 8, (tile // 80) * 8) AS uid FROM k)"
+
+
+@query(f"WITH {CUT} SELECT uid, case_id, stain, round(share, 6) AS tissue_fraction, share >= 0.9::DOUBLE AS passes FROM c")
+def stage_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = patches.patches(domain.tiles(spark, sf_dir), _tile_pairs(spark), 0.9)
+    return rows.select("uid", "case_id", "stain", F.round("tissue_fraction", 6).alias("tissue_fraction"), "passes")
+
+
+@query(f"WITH {CUT}, q AS (SELECT stain, " + ", ".join(f"-ln(({x} + 1) / 255.0::DOUBLE + 1e-6::DOUBLE) AS {x}" for x in "rgb") + " FROM px JOIN c ON c.tile = px.tile WHERE share >= 0.8) SELECT stain, " + ", ".join(f"round({f}({x}), 6) AS {n}_{x}" for n, f in (("mean", "avg"), ("std", "stddev_pop")) for x in "rgb") + " FROM q GROUP BY stain")
+def stage_stain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tiles = domain.tiles(spark, sf_dir)
+    fit = patches.stain_fits(tiles, patches.patches(tiles, _tile_pairs(spark)), 0.8)
+    return fit.select("stain", *(F.round(f"{n}_{x}", 6).alias(f"{n}_{x}") for n in ("mean", "std") for x in "rgb"))
+
+
+@query()
+def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tiles = domain.tiles(spark, sf_dir)
+    return patches.counts(tiles, patches.patches(tiles, _tile_pairs(spark)), 8, least=2)

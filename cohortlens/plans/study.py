@@ -11,9 +11,11 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.functions.checks import number_or_none, text_or_none
 from cohortlens.functions.rules import thresholds_to_rule
 from cohortlens.operators import index, selection
 from cohortlens.plans import recipe as plans
+from cohortlens.plans.stages import DEFAULT_STAGES
 from cohortlens.sources.manifests import load_descriptor, read_listing
 
 TEMPLATE = """# What is known about the cohort {name}.
@@ -48,7 +50,8 @@ class Study:
     """
     A study below a home folder on a file system that driver and executors share.
 
-    Stages are functions (study, recipe) -> DataFrame put in `stages`; the result is the stage's manifest.
+    Stages are functions (study, recipe) -> DataFrame put in `stages`; the result is the stage's manifest.  Those of
+    stages.py work on the study's tiles (put_tiles()); put your own in for other images.
     """
 
     def __init__(self, spark: SparkSession, home: str, name: str):
@@ -56,7 +59,7 @@ class Study:
         if not (self.folder / "study.toml").is_file():
             raise FileNotFoundError(f"no study in {self.folder}")
         self.descriptor = {"name": name} | load_descriptor((self.folder / "study.toml").read_text())
-        self.stages: dict[str, Callable[[Study, dict], DataFrame]] = {}
+        self.stages: dict[str, Callable[[Study, dict], DataFrame]] = dict(DEFAULT_STAGES)
 
     @classmethod
     def create(cls, spark: SparkSession, home: str, name: str, sources: list[str] = (), stains: list[str] = ("he", "cd8"), magnification: float = 20.0, overwrite: bool = False) -> Study:
@@ -100,9 +103,30 @@ class Study:
     def slides(self) -> DataFrame:
         return self._table("index")
 
-    def pairs(self, stains: list[str] | None = None) -> DataFrame:
-        out = index.pairs(self.slides(), (plans.with_role(self.descriptor, "reference") or ["he"])[0])
-        return out if stains is None else out.where(F.col("stain").isin(list(stains)))
+    def records(self) -> DataFrame:
+        """Slides with role, magnification, exclusion and note, as the descriptor declares and overrides them."""
+        given = [(uid, number_or_none(o.get("source_magnification")), bool(o.get("exclude", False)), text_or_none(o.get("note"))) for uid, o in sorted(self.descriptor.get("overrides", {}).items())]
+        own = self.spark.createDataFrame(given, "slide_uid string, source_magnification double, exclude boolean, note string")
+        return index.declared(self.slides(), self.descriptor["stains"], own)
+
+    def pairs(self, stains: list[str] | None = None, include_excluded: bool = False) -> DataFrame:
+        return index.pairs_of(self.records(), stains, include_excluded)
+
+    def cases(self) -> DataFrame:
+        return index.cases(self.records())
+
+    def summary(self) -> dict:
+        """What there is: slides, cases and pairs, stages that have run, selections."""
+        have = (self.folder / "index").exists()
+        facts = {"name": self.descriptor["name"], "folder": str(self.folder), "n_slides": self.slides().count() if have else 0, "n_cases": self.cases().count() if have else 0, "n_pairs": self.pairs().count() if have else 0}
+        return facts | {"stages": [s for s in plans.STAGES if (self.folder / "manifests" / s).exists()], "selections": self.selections()}
+
+    def put_tiles(self, tiles: DataFrame) -> DataFrame:
+        """Keep tiles (slide_uid, x0, y0, r, g, b as flat arrays) for the stages that read pixels."""
+        return self._put(tiles.select("slide_uid", "x0", "y0", "r", "g", "b"), "tiles")
+
+    def tiles(self) -> DataFrame:
+        return self._table("tiles")
 
     def survey(self, measure: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """Measured slides (slide_uid, base, readable, ...); measure opens the files, which needs an image library."""
@@ -120,7 +144,8 @@ class Study:
         return own.unionByName(found).orderBy(F.col("severity") != "error", "scope", "kind")
 
     def plan(self, overrides: dict[str, dict] | None = None) -> dict:
-        made = plans.build(self.descriptor, overrides)
+        seen = self._table("survey") if (self.folder / "survey").exists() else None
+        made = plans.build(self.descriptor, overrides, seen)
         (self.folder / "recipe.json").write_text(json.dumps(made, indent=2, sort_keys=True))
         return made
 
@@ -140,6 +165,7 @@ class Study:
 
     def _run(self, stage: str, made: dict, dry_run: bool) -> StageResult:
         key = made["recipe_hash"]
+        self.unusable = [uid for uid, x in made.get("slides", {}).items() if not x["usable"]]
         if not made["stages"].get(stage, {}).get("enabled", True):
             return StageResult(stage, "skipped", key, warnings=[f"{stage} is disabled in the recipe"])
         missing = [s for s in plans.STAGES[stage] if not (self.folder / "manifests" / s).exists()]

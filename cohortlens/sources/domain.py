@@ -42,3 +42,12 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     grey = F.transform("embedding", lambda v: F.floor(F.least(F.greatest(v.cast("double") * 400 + 160, F.lit(0.0)), F.lit(255.0))).cast("int"))
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("tile"), grey.alias("v")).select("tile", "v", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
     return rows.select("tile", "i", F.get("v", F.col("i")).alias("r"), F.get("v", (F.col("i") + 7) % 64).alias("g"), F.get("v", (F.col("i") + 13) % 64).alias("b"))
+
+
+def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tiles of pixels() with arrays, a row per tile, as tiles of slides: 20 slides, four tiles in a row."""
+    grey = F.transform("embedding", lambda v: F.floor(F.least(F.greatest(v.cast("double") * 400 + 160, F.lit(0.0)), F.lit(255.0))).cast("int"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("tile"), grey.alias("r"))
+    turned = lambda k: F.concat(F.slice("r", k + 1, 64 - k), F.slice("r", 1, k))
+    t = F.col("tile")
+    return rows.select("tile", F.format_string("S%02d", t % 20).alias("slide_uid"), (F.floor(t / 20) % 4 * 8).cast("int").alias("x0"), (F.floor(t / 80) * 8).cast("int").alias("y0"), "r", turned(7).alias("g"), turned(13).alias("b"))

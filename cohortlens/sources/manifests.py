@@ -40,10 +40,54 @@ def read_listing(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = (
     return rows.withColumn("name", name).where(F.lower(F.regexp_extract("name", r"(\.[^.]+)$", 1)).isin(list(suffixes)))
 
 
-def head_digests(spark: SparkSession, folder: str) -> DataFrame:
-    """path and the first 16 hex digits of the SHA-256 of each file's first MiB."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return rows.select("path", F.substring(F.sha2(F.substring("content", 1, 1 << 20), 256), 1, 16).alias("digest"))
+def head_digests(spark: SparkSession, folder: str, head: int = 1 << 20) -> DataFrame:
+    """path and the first 16 hex digits of the SHA-256 of each file's first MiB; no more of a file is read."""
+    from pyarrow import fs
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for path in frame["path"]:
+                system, name = fs.FileSystem.from_uri("file:///" + path[5:].lstrip("/") if path.startswith("file:") else path)
+                with system.open_input_file(name) as f:
+                    out.append(hashlib.sha256(f.read(head)).hexdigest()[:16])
+            yield frame.assign(digest=out)
+
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    return rows.mapInPandas(run, "path string, digest string")
+
+
+def read_manifest_info(spark: SparkSession, path: str) -> dict:
+    """The sidecar of a manifest: stage, recipe_hash, n_rows, fields, and error where its writing failed."""
+    return spark.read.json(f"{path}/info").first().asDict()
+
+
+class ManifestWriter:
+    """Appends batches of rows to a manifest and leaves a sidecar, also when the writing fails.
+
+    Use it in a with block; write() takes DataFrames, close() writes the sidecar from the rows that are there.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, stage: str, recipe: dict | None = None, append: bool = False):
+        self.spark, self.path, self.stage, self.key = spark, path, stage, recipe_hash(recipe or {})
+        self.mode, self.fields, self.written = "append" if append else "overwrite", [], append
+
+    def write(self, df: DataFrame) -> None:
+        df.write.mode(self.mode).json(f"{self.path}/rows")
+        self.fields += [c for c in df.columns if c not in self.fields]
+        self.mode, self.written = "append", True
+
+    def close(self, error: str | None = None) -> None:
+        # Lines are counted as text: a manifest that is empty or whose last batch failed has no schema to read.
+        n = self.spark.read.text(f"{self.path}/rows").where("value <> ''").count() if self.written else 0
+        info = [(self.stage, self.key, n, self.fields, error)]
+        self.spark.createDataFrame(info, "stage string, recipe_hash string, n_rows long, fields array<string>, error string").coalesce(1).write.mode("overwrite").json(f"{self.path}/info")
+
+    def __enter__(self) -> ManifestWriter:
+        return self
+
+    def __exit__(self, kind, error, trace) -> None:
+        self.close(None if error is None else f"{kind.__name__}: {error}")
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
