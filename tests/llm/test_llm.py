@@ -7,6 +7,7 @@ import os
 import random
 import re
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
@@ -419,6 +420,82 @@ def test_quality(docs, empty):
     assert quality_report(empty).count() == 0 and keep_clean(empty).count() == 0
 
 
+def low_median(x):
+    """The value of rank ceil(n / 2)."""
+    return np.sort(x, axis=0)[(len(x) - 1) // 2]
+
+
+def plain_fits(groups, n_words, features, least_group):
+    """A fit per group with enough documents: middle, mean, inverse covariance and scale."""
+    floors = np.array([quality.FLOORS[a] for a in quality.FEATURES])
+    widened = lambda c: c + np.diag(floors**2)
+    d2 = lambda x, m, c: np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(c), x - m)
+    state, own = {}, {}
+    for key, rows in groups.items():
+        if len(rows) < least_group:
+            continue
+        x = features[rows]
+        q = low_median(x)
+        x = q + (x - q) * np.sqrt(n_words[rows] / (n_words[rows] + quality.PULL))[:, None]
+        spread = np.maximum(low_median(abs(x - q)) * 1.4826, floors)
+        z = (x - q) / spread
+        signs = z / np.maximum(np.sqrt((z * z).sum(1)), 1e-9)[:, None]
+        own[key] = q, x
+        for start, shape in (("medians", np.eye(len(q))), ("signs", signs.T @ signs / len(x)), ("squashed", np.tanh(z).T @ np.tanh(z) / len(x))):
+            state[key, start] = q, widened(shape * np.outer(spread, spread)), None
+    for step in range(quality.MAX_STEPS):
+        fell = []
+        for (key, start), (m, c, last) in state.items():
+            x = own[key][1]
+            d = d2(x, m, c)
+            x = x[d <= low_median(d)]
+            c = widened(np.cov(x.T, bias=True))
+            det = np.linalg.slogdet(c)[1]
+            fell.append(last - det if step else np.inf)
+            state[key, start] = x.mean(0), c, det
+        if max(fell, default=0) < quality.SETTLED:
+            break
+    out = {}
+    for key, (q, x) in own.items():
+        _, (m, c, _) = min(((state[key, s][2], s), state[key, s]) for s in quality.STARTS)
+        out[key] = q, m, c, max(low_median(d2(x, m, c)) / quality.CHI2_MEDIAN, 1.0)
+    return out
+
+
+def plain_features(t):
+    """n_words and the features of a text."""
+    t = t or ""
+    n, chars = len(words(t)), max(1, sum(map(len, words(t))))
+    kinds = collections.Counter(unicodedata.category(c) for c in t)
+    letters = sum(k for c, k in kinds.items() if c[0] == "L")
+    return n, (sum(c in quality.SYMBOLS for c in t) / max(1, n)) ** 0.5, np.log(max(1.0, chars / max(1, n))), (kinds["Lu"] / max(1, letters)) ** 0.5, (max(0, sum(map(len, words(t))) - letters) / chars) ** 0.5
+
+
+@pytest.mark.parametrize("least_group", [10, 60, 1000])
+def test_verdicts_of_given_documents(spark, least_group):
+    """Distances and verdicts against a plain search for the least determinant, exact medians included."""
+    docs = spark.read.parquet(table_of("sf0.001", "documents"))
+    rows = docs.select("doc_id", "text", "lang", "source").collect()
+    table = np.array([plain_features(r.text) for r in rows], float)
+    n_words, features = table[:, 0], table[:, 1:]
+    groups = collections.defaultdict(list)
+    levels = [[(r.lang, r.source), (r.lang,), ()] for r in rows]
+    for k, keys in enumerate(levels):
+        for key in keys if n_words[k] >= 10 else ():
+            groups[key].append(k)
+    fits = plain_fits(groups, n_words, features, least_group)
+    got = {r.doc_id: r for r in quality_report(docs, least_group=least_group).collect()}
+    for k, r in enumerate(rows):
+        fit, distance = next((fits[x] for x in levels[k] if x in fits), None), 0.0
+        if fit:
+            q, m, c, scale = fit
+            x = q + (features[k] - q) * np.sqrt(n_words[k] / (n_words[k] + quality.PULL)) - m
+            distance = float(np.sqrt(x @ np.linalg.inv(c) @ x / scale))
+            assert got[r.doc_id].distance == pytest.approx(distance, rel=1e-6)
+        assert got[r.doc_id].kept == (not got[r.doc_id].base_failed and distance <= quality.CUT)
+    assert (len(fits) > 3) if least_group == 10 else (not fits) == (least_group == 1000)
+
+
 def test_small_groups_use_their_language(spark):
     """Documents of a source below the least size are judged by the fit of their language."""
     rng = random.Random(9)
