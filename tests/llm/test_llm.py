@@ -13,6 +13,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from cohortlens.llm import near_duplicates as nd
@@ -548,6 +549,72 @@ def test_composed_transducers():
     assert marks([you, i, i, no, i], [0] * 5) == {"insult": 0, "aimed": 2, "threat": 0, "negated": 1, "told": 0}
 
 
+def plain_marks(clause):
+    """MARKS of one clause (a list of classes), by what stands before and beside each word."""
+    out = collections.Counter()
+    aimed = tox.TARGET in clause
+    for k, c in enumerate(clause):
+        if c == tox.INSULT or (c == tox.THREAT and aimed):
+            mark = "threat" if c == tox.THREAT else "aimed" if aimed else "insult"
+            if tox.NEGATION in clause[max(0, k - tox.REACH) : k]:
+                mark = "negated"
+            elif tox.REPORT in clause[:k]:
+                mark = "told"
+            out[mark] += 1
+    return out
+
+
+def plain_toxic_features(text, units):
+    """FEATURES of a text, word by word."""
+    kinds = ((tox.INSULTS, tox.INSULT), (tox.THREATS, tox.THREAT), (tox.REPORTS, tox.REPORT), (tox.NEGATIONS, tox.NEGATION), (tox.TARGETS, tox.TARGET))
+    pieces = regex.split(r"[^\p{L}'.]+", re.sub(r"[.!?;:\n]+", " . ", (text or "").lower()))
+    starts = {u[2:]: u[0] for u in units if u[0] != "w"}
+    doubtful = collections.defaultdict(set)
+
+    def kind(w):
+        if "w:" + w in units:
+            return tox.INSULT
+        if found := [k for group, k in kinds if w in group]:
+            return found[0]
+        own = [x for x in starts if len(w) > len(x) and w.startswith(x)]
+        if any(starts[x] == "p" for x in own):
+            return tox.INSULT
+        if own:
+            x = min(own, key=[u[2:] for u in units if u[0] == "d"].index)
+            doubtful[x].add(w)
+            return x
+        return tox.OTHER
+
+    classes = ["." if w == "." else kind(w) for w in pieces]
+    classes = [(tox.INSULT if len(doubtful[c]) > 1 else tox.OTHER) if c in doubtful else c for c in classes]
+    marks, clause = collections.Counter(), []
+    for c in [*classes, "."]:
+        if c == ".":
+            marks += plain_marks(clause)
+            clause = []
+        else:
+            clause.append(c)
+    if not {tox.INSULT, tox.THREAT} & set(classes) and not any(len(x) == 1 for x in doubtful.values()):
+        return [0.0] * len(tox.FEATURES)
+    some = marks["insult"] + marks["aimed"]
+    dense = np.log1p(1000 * some / max(50, len(classes))) if some > 1 or marks["aimed"] else 0
+    lone = some == 1 and not marks["aimed"] and not marks["threat"]
+    return [lone, some > 1, np.log(max(1, some)), marks["aimed"] > 0, marks["threat"] > 0, np.log1p(marks["negated"]), np.log1p(marks["told"]), dense, any(len(x) == 1 for x in doubtful.values())]
+
+
+def test_features_of_random_clauses():
+    rng = random.Random(8)
+    units = ["w:zork", "p:grum", "d:blat", "d:blatt", "d:quim"]
+    special = [*tox.INSULTS, *tox.THREATS, *tox.TARGETS * 2, *tox.NEGATIONS * 3, *tox.REPORTS * 2, "zork", "zorks", "grum", "Grumble", "blata", "blato", "blatter", "quimby", "quim"]
+    texts = [None, "", " ", "...", "zork", "you zork"]
+    for _ in range(3000):
+        share = rng.random()
+        texts.append("".join((rng.choice(special) if rng.random() < share else rng.choice(["the", "été", "o'clock", "7", "Haus"])) + rng.choice([" ", " ", " ", ", ", ". ", "!\n", "; "]) for _ in range(rng.randrange(1, 25))))
+    got = Grammar(units).features(pa.array(texts))
+    want = np.array([plain_toxic_features(t, units) for t in texts], float)
+    assert np.allclose(got, want) and (want != 0).any(0).all()
+
+
 def test_clauses_decide(spark, docs):
     """A lone insult stays low; one that is aimed, a threat and several do not; negated and reported ones do."""
     x = Grammar(["p:zork"]).features(pa.array(["You zorkish thing. Fine.", "nothing here", None]))
