@@ -53,7 +53,7 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: The stages are beyond SQL; no brute-force version of run() exists, tests run its stages again and compare doc_ids.
+#: The quality fits and the tokenizer are beyond SQL; tests hold the pieces of run() against plain versions of all stages.
 ORACLE_SQL = None
 
 
