@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions import naming
 from cohortlens.functions.optics import level_for, output_length, read_length, snapped, to_level0
 from cohortlens.functions.rules import compile_rule
-from cohortlens.operators import discovery, grid, images, index, patches, pixels, selection, stain
+from cohortlens.operators import discovery, grid, images, index, patches, pixels, regions, selection, stain
 from cohortlens.plans.recipe import source_magnifications, usable_slides
 from cohortlens.sources import domain
 from cohortlens.streaming.manifests import cell_counts
@@ -526,3 +526,43 @@ def stage_stain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiles = domain.tiles(spark, sf_dir)
     return patches.counts(tiles, patches.patches(tiles, _tile_pairs(spark)), 8, least=2)
+
+
+REGIONS = """b AS (SELECT slide, width, height, k, (slide * 37 + k * 13) % 120 / 100::DOUBLE AS rx, (slide * 91 + k * 7) % 110 / 100::DOUBLE AS ry, (slide + k) % 40 / 100::DOUBLE AS rw, (slide * 3 + k) % 50 / 100::DOUBLE AS rh FROM (SELECT *, unnest(range(size % 4)) AS k FROM v)),
+a AS (SELECT *, greatest(0, least(trunc(rx * width)::INT, width - 1)) AS x, greatest(0, least(trunc(ry * height)::INT, height - 1)) AS y FROM b),
+n AS (SELECT slide, (k + 1)::INT AS region_number, 'region_' || lpad((k + 1)::VARCHAR, 3, '0') AS region_tag, x, y, greatest(1, least(trunc(rw * width)::INT, width - x)) AS w, greatest(1, least(trunc(rh * height)::INT, height - y)) AS h FROM a)"""
+
+
+def _slides_with_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return domain.survey(spark, sf_dir).withColumn("path", F.format_string("/archive/%d.svs", "slide"))
+
+
+def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to three boxes on each slide of the survey, some of them over its edge."""
+    k = F.explode(F.slice(F.array(*map(F.lit, range(3))), F.lit(1), F.col("size") % 4))
+    share = lambda a, b, m: (F.col("slide") * a + F.col("box") * b) % m / F.lit(100.0)
+    boxes = _slides_with_path(spark, sf_dir).withColumn("box", k).withColumns({"rx": share(37, 13, 120), "ry": share(91, 7, 110), "rw": share(1, 1, 40), "rh": share(3, 1, 50)})
+    return regions.region_manifests(boxes, "tissue")
+
+
+@query(f"WITH {SURVEY}, {REGIONS} SELECT slide AS sample_id, slide || '.svs' AS source_file, region_number, region_tag, x, y, w, h FROM n")
+def region_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _regions(spark, sf_dir).select("sample_id", "source_file", "region_number", "region_tag", "coordinates.absolute_pixels.*")
+
+
+@query(f"WITH {SURVEY}, {REGIONS}, l AS (SELECT slide, count(*)::INT AS n_regions, string_agg(concat_ws(' ', region_tag, x, y, w, h), ',' ORDER BY region_number) AS regions FROM n GROUP BY slide) SELECT v.slide AS sample_id, v.slide || '.svs' AS source_file, coalesce(n_regions, 0) AS n_regions, coalesce(regions, '') AS regions FROM v LEFT JOIN l ON l.slide = v.slide")
+def slide_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = regions.slide_manifests(_slides_with_path(spark, sf_dir), _regions(spark, sf_dir), "tissue")
+    line = F.transform("regions", lambda r: F.concat_ws(" ", r["region_tag"], *(r["absolute_box"][c].cast("string") for c in "xywh")))
+    return rows.select("sample_id", "source_file", "n_regions", F.concat_ws(",", line).alias("regions"))
+
+
+@query(f"WITH {FILES} SELECT slide_uid || '.svs' AS name, path FROM s WHERE section <> 3")
+def staged_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.staged_slides(index.slides(domain.files(spark, sf_dir)).withColumn("excluded", F.col("section") == 3))
+
+
+@query(f"WITH {FILES}, {PAIRS}, u AS (SELECT case_id, stain, 'reference' AS role, reference_uid AS uid FROM p UNION ALL SELECT case_id, stain, 'moving', moving_uid FROM p) SELECT u.stain || '/' || role || '/' || u.case_id || '_' || role || '.svs' AS name, max_by(path, uid) AS path FROM u JOIN s ON s.slide_uid = uid GROUP BY 1")
+def staged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slides = index.slides(domain.files(spark, sf_dir))
+    return regions.staged_pairs(index.pairs(slides), slides)
