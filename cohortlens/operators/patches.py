@@ -50,6 +50,42 @@ def brown_share() -> Column:
     return _share(is_brown)
 
 
+def marker_mask(hues: tuple[int, int], saturation: int, least: int = 10) -> Column:
+    """Per pixel whether a marker of these hues (ends included) and at least that saturation stains it.
+
+    Of the pixels that have its colour those darker than their own threshold of largest variance between classes; all of them
+    if they are equally dark, none if there are fewer than least.
+    """
+
+    def inverse(p: Column) -> Column:
+        h, s, v = hsv(p["r"], p["g"], p["b"])
+        return F.when(h.between(*hues) & (s >= saturation), 255 - v)
+
+    def masked(dark: Column) -> Column:
+        own = F.array_sort(F.filter(dark, lambda v: v.isNotNull()))
+        threshold = F.transform(F.array(own), lambda x: F.when(F.size(x) >= least, _otsu(x)))[0]
+        return F.transform(F.array(threshold), lambda t: F.transform(dark, lambda v: F.coalesce(v > t, F.lit(False))))[0]
+
+    # Arrays are bound as lambda variables, so each is computed once.
+    return F.transform(F.array(F.transform(_pixels(), inverse)), masked)[0]
+
+
+def _otsu(ranked: Column) -> Column:
+    """The threshold of sorted values in one pass over them, the smallest on a tie; -1 where they are all equal."""
+
+    def up(state: Column, x: Column) -> Column:
+        count, below = state["n"] + 1, state["s"] + x["v"]
+        rest = F.size(ranked) - count
+        between = F.when(x["ends"], F.round(count * rest * F.pow(below / count - (state["all"] - below) / rest, 2), 3)).otherwise(F.lit(0.0))
+        better = between > state["most"]
+        return F.struct(count.alias("n"), below.alias("s"), state["all"].alias("all"), F.when(better, between).otherwise(state["most"]).alias("most"), F.when(better, x["v"]).otherwise(state["t"]).alias("t"))
+
+    steps = F.transform(ranked, lambda v, k: F.struct(v.cast("double").alias("v"), F.coalesce(F.get(ranked, k + 1) > v, F.lit(False)).alias("ends")))
+    total = F.aggregate(ranked, F.lit(0.0), lambda s, v: s + v)
+    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("s"), total.alias("all"), F.lit(0.0).alias("most"), F.lit(-1.0).alias("t"))
+    return F.aggregate(steps, start, up)["t"]
+
+
 #: Gates by name: the share of tissue that a threshold is held against.
 GATES = {"grey": grey_share, "density": density_share, "saturation": saturated_share}
 

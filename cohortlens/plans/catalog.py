@@ -566,3 +566,21 @@ def staged_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
 def staged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     slides = index.slides(domain.files(spark, sf_dir))
     return regions.staged_pairs(index.pairs(slides), slides)
+
+
+#: Colours of markers: hues and least saturation.
+MARKERS = {"brown": ((5, 20), 30), "magenta": ((140, 175), 40)}
+MASKS = """x AS (SELECT tile, i, greatest(r, g, b) AS v, greatest(r, g, b) - least(r, g, b) AS d, r, g, b FROM px),
+y AS (SELECT *, floor(coalesce(CASE WHEN v = r THEN 30 * (g - b) / nullif(d, 0)::DOUBLE WHEN v = g THEN 60 + 30 * (b - r) / nullif(d, 0)::DOUBLE ELSE 120 + 30 * (r - g) / nullif(d, 0)::DOUBLE END, 0) + 0.5) AS turn, coalesce(floor(255 * d::DOUBLE / nullif(v, 0) + 0.5), 0) AS sat FROM x),
+k(marker, low, high, least_sat) AS (VALUES ('brown', 5, 20, 30), ('magenta', 140, 175, 40)),
+z AS (SELECT tile, marker, (255 - v)::DOUBLE AS dark FROM (SELECT *, CASE WHEN turn < 0 THEN turn + 180 ELSE turn END AS hue FROM y) JOIN k ON hue BETWEEN low AND high AND sat >= least_sat),
+h AS (SELECT tile, marker, dark, count(*) AS n FROM z GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER u AS n0, sum(n * dark) OVER u AS s0, sum(n) OVER e AS n1, sum(n * dark) OVER e AS s1 FROM h WINDOW u AS (PARTITION BY tile, marker ORDER BY dark ROWS UNBOUNDED PRECEDING), e AS (PARTITION BY tile, marker)),
+t AS (SELECT tile, marker, coalesce(arg_max(dark, (between_, -dark)) FILTER (between_ > 0), -1) AS t FROM (SELECT *, CASE WHEN n1 > n0 THEN round(n0 * (n1 - n0) * pow(s0 / n0 - (s1 - s0) / (n1 - n0), 2), 3) END AS between_ FROM c) GROUP BY ALL),
+w AS (SELECT z.tile, z.marker, CASE WHEN count(*) >= 10 THEN count(*) FILTER (dark > t) ELSE 0 END AS n FROM z JOIN t ON t.tile = z.tile AND t.marker = z.marker GROUP BY ALL)"""
+
+
+@query(f"WITH {PX}, {MASKS} SELECT tile, coalesce(max(n) FILTER (marker = 'brown'), 0)::INT AS brown, coalesce(max(n) FILTER (marker = 'magenta'), 0)::INT AS magenta FROM (SELECT DISTINCT tile FROM px) LEFT JOIN w USING (tile) GROUP BY tile")
+def marker_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks = {name: patches.marker_mask(*colour) for name, colour in MARKERS.items()}
+    return domain.tiles(spark, sf_dir).select("tile", *(F.size(F.filter(m, lambda x: x)).alias(name) for name, m in masks.items()))

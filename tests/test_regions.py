@@ -1,6 +1,10 @@
-"""Region manifests and staged names on planted rows."""
+"""Region manifests, staged names and marker masks on planted rows."""
 
-from cohortlens.operators import regions
+import numpy as np
+from pyspark.sql import functions as F
+
+from cohortlens.functions import shapes
+from cohortlens.operators import patches, regions
 
 
 def test_regions_lie_inside_their_slides(spark):
@@ -22,3 +26,17 @@ def test_staged_names(spark):
     pairs = spark.createDataFrame([("c", "cd8", "u1", "u2"), ("c", "cd8", "u1", "u3"), ("c", "cd31", "u1", "u2")], "case_id string, stain string, reference_uid string, moving_uid string")
     want = {("cd8/reference/c_reference.tif", "/x/1.ome.tif"), ("cd8/moving/c_moving", "/y.z/2"), ("cd8/moving/c_moving.svs", "/x/3.svs"), ("cd31/reference/c_reference.tif", "/x/1.ome.tif"), ("cd31/moving/c_moving", "/y.z/2")}
     assert {tuple(r) for r in regions.staged_pairs(pairs, records).collect()} == want
+
+
+def test_marker_masks(spark):
+    """Brown pixels of two shades on white; few, equal, none, and a tile of many pixels against its histogram."""
+    light, dark, white = (200, 140, 90), (120, 70, 40), (255, 255, 255)
+    tiles = {"two": [light] * 30 + [dark] * 20 + [white] * 14, "few": [dark] * 9 + [white], "equal": [dark] * 12 + [white], "none": [white] * 20, "empty": []}
+    shades = np.random.default_rng(4).integers(60, 230, 40_000)
+    tiles["many"] = [(int(v), int(v) * 6 // 10, int(v) * 3 // 10) for v in shades]
+    rows = spark.createDataFrame([(k, *([p[c] for p in v] for c in range(3))) for k, v in tiles.items()], "tile string, r array<int>, g array<int>, b array<int>")
+    got = {r.tile: r.mask for r in rows.select("tile", patches.marker_mask((5, 20), 30).alias("mask")).collect()}
+    assert got["two"] == [False] * 30 + [True] * 20 + [False] * 14 and got["few"] == [False] * 10 and got["equal"] == [True] * 12 + [False]
+    assert got["none"] == [False] * 20 and got["empty"] == []
+    assert got["many"] == (255 - shades > shapes.otsu(255 - shades)).tolist()
+    assert rows.where(F.lit(False)).select(patches.marker_mask((5, 20), 30)).count() == 0
