@@ -7,6 +7,7 @@ import json
 
 from pyspark.sql import SparkSession
 
+from cohortlens.functions.checks import REQUIRED, diagnostics
 from cohortlens.plans.study import Study
 from cohortlens.sources.manifests import as_text, write_csv
 
@@ -31,10 +32,16 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="cohortlens")
     top.add_argument("home")
     sub = top.add_subparsers(dest="command", required=True)
-    add = {c: sub.add_parser(c) for c in "init index pairs verify plan run select results show".split()}
+    add = {c: sub.add_parser(c) for c in "init index survey tiles pairs verify plan run select results show align extract stain count compare".split()}
     for p in add.values():
         p.add_argument("name")
     sub.add_parser("list")
+    sub.add_parser("doctor").add_argument("--json", action="store_true")
+    add["tiles"].add_argument("--size", type=int, default=512)
+    add["tiles"].add_argument("--magnification", type=float)
+    add["tiles"].add_argument("--overview", type=int, default=512)
+    add["compare"].add_argument("--zoom", action="append", default=[], help="LABEL=SIDE")
+    add["compare"].add_argument("--to")
     add["init"].add_argument("--source", action="append", default=[])
     add["init"].add_argument("--stain", action="append")
     add["init"].add_argument("--magnification", type=float, default=20.0)
@@ -56,12 +63,25 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+#: Commands that run one stage.
+STAGE_COMMANDS = {"align": "alignment", "extract": "patches", "stain": "stain", "count": "counts"}
+
+
+def _ran(done: list) -> int:
+    print("\n".join(f"{r.stage}: {r.status} {r.error or '; '.join(r.warnings)}".rstrip() for r in done))
+    return int(any(r.status == "failed" for r in done))
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     """Run a command; 1 if verify finds errors or a stage fails."""
     a = parser().parse_args(argv)
     if a.command == "list":
         print("\n".join(Study.list(a.home)))
         return 0
+    if a.command == "doctor":
+        facts = diagnostics()
+        print(json.dumps(facts) if a.json else "\n".join(f"{k}: {v or 'missing'}" for k, v in facts.items()))
+        return int(any(facts[k] is None for k in REQUIRED))
     spark = spark or SparkSession.builder.appName("cohortlens").getOrCreate()
     if a.command == "init":
         print(Study.create(spark, a.home, a.name, a.source, a.stain or ["he", "cd8"], a.magnification, a.overwrite).folder)
@@ -76,9 +96,19 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif a.command == "plan":
         print(study.plan(_settings(a.settings))["recipe_hash"])
     elif a.command == "run":
-        done = study.run(a.stages or None, a.dry_run, not a.continue_on_error)
-        print("\n".join(f"{r.stage}: {r.status} {r.error or '; '.join(r.warnings)}".rstrip() for r in done))
-        return int(any(r.status == "failed" for r in done))
+        return _ran(study.run(a.stages or None, a.dry_run, not a.continue_on_error))
+    elif a.command in STAGE_COMMANDS:
+        return _ran(study.run([STAGE_COMMANDS[a.command]]))
+    elif a.command == "survey":
+        print(as_text(study.survey().select("slide_uid", "width", "height", "base", "origin", "error").orderBy("slide_uid"), 1000))
+    elif a.command == "tiles":
+        print(study.read_tiles(a.size, a.magnification, a.overview).count(), study.unread().count())
+    elif a.command == "compare":
+        zooms = {k: int(v) for k, _, v in (z.partition("=") for z in a.zoom or ["full=512"])}
+        rows = study.crops(zooms)
+        if a.to:
+            rows.write.mode("overwrite").parquet(a.to)
+        print(as_text(rows.select("output", "slide_uid", "x0", "y0", "side").orderBy("output"), 1000))
     elif a.command == "select":
         print(json.dumps(study.select(a.selection, a.rule, a.stage)))
     elif a.command == "results":

@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 import importlib
 import math
+import os
 from pathlib import Path
 from typing import Any
 
@@ -76,3 +77,24 @@ def from_mapping(kind: type, values: dict) -> Any:
     known = {f.name for f in dataclasses.fields(kind)}
     require(set(values) <= known, f"unknown settings: {', '.join(sorted(set(values) - known))}")
     return kind(**values)
+
+
+#: Packages that every operator needs, and those that one source or sink needs.
+REQUIRED, OPTIONAL = ("python", "java", "pyspark", "numpy", "pandas", "pyarrow"), ("openpyxl", "openslide", "pyvips", "matplotlib")
+
+
+def diagnostics() -> dict[str, str | None]:
+    """Versions of what runs here, None for what is missing; nothing is imported or started for it."""
+    import platform
+    import shutil
+    from importlib import metadata
+
+    def version(name: str) -> str | None:
+        try:
+            return metadata.version(name)
+        except metadata.PackageNotFoundError:
+            return None
+
+    java = os.path.join(os.environ["JAVA_HOME"], "bin", "java") if "JAVA_HOME" in os.environ else "java"
+    found = {"python": platform.python_version(), "java": shutil.which(java)}
+    return found | {k: version(k) for k in REQUIRED[2:] + OPTIONAL}

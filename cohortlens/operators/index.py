@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: case, stain and an optional section of a slide's file name.
-NAME = r"^(.+?)_([A-Za-z0-9]+?)(?:_s(\d+))?\.svs$"
+from cohortlens.functions.naming import SLIDE_ENDINGS
+
+#: case, stain and an optional section of a slide's file name, with any ending that slides have.
+NAME = r"^(.+?)_([A-Za-z0-9]+?)(?:_s(\d+))?(?i:" + "|".join(e.replace(".", r"\.") for e in SLIDE_ENDINGS) + ")$"
 
 
 def decoded(files: DataFrame, pattern: str = NAME) -> DataFrame:

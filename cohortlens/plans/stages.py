@@ -25,18 +25,18 @@ def tissue(study: Study, recipe: dict) -> DataFrame:
 
 
 def alignment(study: Study, recipe: dict) -> DataFrame:
-    """Pairs registered by their overviews, the tiles at the origin; a pair that can't be is a row with its error."""
+    """Pairs registered by their overviews; a pair that can't be is a row with its error."""
     settings = recipe["stages"]["alignment"]
-    view = study.tiles().where("x0 = 0 AND y0 = 0").select("slide_uid", F.flatten(F.transform(F.arrays_zip("r", "g", "b"), lambda p: F.array(p["r"], p["g"], p["b"]))).alias("image"))
+    view = study.overviews().select("slide_uid", F.flatten(F.transform(F.arrays_zip("r", "g", "b"), lambda p: F.array(p["r"], p["g"], p["b"]))).alias("image"))
     pairs = usable_pairs(study, settings)
     rows = pairs.join(view.select(F.col("slide_uid").alias("reference_uid"), F.col("image").alias("ref")), "reference_uid").join(view.select(F.col("slide_uid").alias("moving_uid"), F.col("image").alias("moving")), "moving_uid")
-    found = images.registered(rows.select(F.col("pair_uid").alias("pair"), "ref", "moving"), int(settings.get("overview_side", 0)) or side_of(study))
+    found = images.registered(rows.select(F.col("pair_uid").alias("pair"), "ref", "moving"), int(settings.get("overview_side", 0)) or side_of(study.overviews()))
     return pairs.join(found.withColumnRenamed("pair", "pair_uid"), "pair_uid", "left")
 
 
-def side_of(study: Study) -> int:
-    """The side of the study's tiles, which are squares."""
-    row = study.tiles().select(F.sqrt(F.size("r")).cast("int").alias("side")).first()
+def side_of(squares: DataFrame) -> int:
+    """The side of tiles, which are squares."""
+    row = squares.select(F.sqrt(F.size("r")).cast("int").alias("side")).first()
     return row["side"] if row else 1
 
 
@@ -51,7 +51,7 @@ def stain(study: Study, recipe: dict) -> DataFrame:
 
 def counts(study: Study, recipe: dict) -> DataFrame:
     settings = recipe["stages"]["counts"]
-    return patches.counts(study.tiles(), study.manifest("patches"), side_of(study), settings["chromogen_stains"] or None, settings["min_cell_area"], settings["max_cell_area"], settings["tissue_threshold"])
+    return patches.counts(study.tiles(), study.manifest("patches"), side_of(study.tiles()), settings["chromogen_stains"] or None, settings["min_cell_area"], settings["max_cell_area"], settings["tissue_threshold"])
 
 
 DEFAULT_STAGES = {"tissue": tissue, "alignment": alignment, "patches": cut, "stain": stain, "counts": counts}

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.checks import number_or_none, text_or_none
 from cohortlens.functions.rules import thresholds_to_rule
-from cohortlens.operators import index, selection
+from cohortlens.operators import grid, index, selection
 from cohortlens.plans import recipe as plans
 from cohortlens.plans.stages import DEFAULT_STAGES
+from cohortlens.sources import slides as images
 from cohortlens.sources.manifests import load_descriptor, read_listing
 
 TEMPLATE = """# What is known about the cohort {name}.
@@ -51,7 +52,7 @@ class Study:
     A study below a home folder on a file system that driver and executors share.
 
     Stages are functions (study, recipe) -> DataFrame put in `stages`; the result is the stage's manifest.  Those of
-    stages.py work on the study's tiles (put_tiles()); put your own in for other images.
+    stages.py work on the study's tiles (read_tiles() or put_tiles()); put your own in for other images.
     """
 
     def __init__(self, spark: SparkSession, home: str, name: str):
@@ -128,9 +129,46 @@ class Study:
     def tiles(self) -> DataFrame:
         return self._table("tiles")
 
-    def survey(self, measure: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """Measured slides (slide_uid, base, readable, ...); measure opens the files, which needs an image library."""
-        return self._put(measure(self.slides()), "survey")
+    def survey(self, measure: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """Measured slides (slide_uid, base, readable, ...): what measure finds, else what the files' TIFF headers say."""
+        return self._put((measure or images.surveyed)(self.records()), "survey")
+
+    def read_tiles(self, size: int = 512, magnification: float | None = None, overview: int = 512) -> DataFrame:
+        """Tiles and overviews of the surveyed slides from their files, kept for the stages; what can't be decoded is in unread()."""
+        target = magnification or float(self.descriptor.get("default_magnification", plans.DEFAULTS["default_magnification"]))
+        seen = self._table("survey")
+        self._put(images.overviews(seen, overview).select("slide_uid", "r", "g", "b", "error"), "overviews")
+        read = self._put(images.read(images.windows(seen, target, size)), "read")
+        self._put(read.where("error IS NOT NULL").select("slide_uid", "x0", "y0", "error"), "unread")
+        return self.put_tiles(read.where("error IS NULL"))
+
+    def unread(self) -> DataFrame:
+        return self._table("unread")
+
+    def overviews(self) -> DataFrame:
+        """A square picture per slide: those of read_tiles(), else the tiles at the origin."""
+        if (self.folder / "overviews").exists():
+            return self._table("overviews").where("error IS NULL").select("slide_uid", "r", "g", "b")
+        return self.tiles().where("x0 = 0 AND y0 = 0").select("slide_uid", "r", "g", "b")
+
+    def crops(self, zooms: dict[str, int], margin: float = 0.05) -> DataFrame:
+        """Both slides of every pair at the five named places and each zoom (label to side in pixels), with the path that each crop is laid out at.
+
+        Places are shares of each slide, so sides of a pair that differ in size are cut where they correspond.
+        """
+        sides = F.explode(F.array(*(F.struct(F.lit(r).alias("role"), F.col(c).alias("slide_uid")) for r, c in (("reference", "reference_uid"), ("moving", "moving_uid")))))
+        pairs = self.pairs().select("pair_uid", sides.alias("side")).select("pair_uid", "side.*")
+        seen = self._table("survey").where("readable")
+        rows = None
+        for zoom, size in sorted(zooms.items()):
+            boxes = grid.named_boxes(seen.select(F.col("slide_uid").alias("slide"), "width", "height"), size, margin).withColumnRenamed("slide", "slide_uid").withColumns({"zoom": F.lit(zoom), "side": F.lit(size)})
+            rows = boxes if rows is None else rows.unionByName(boxes)
+        one = seen.select("slide_uid", "path").join(rows, "slide_uid").repartition("slide_uid", "zoom", "region")
+        names = {"x_full": F.col("x0"), "y_full": F.col("y0"), "level": F.lit(0), "downsample": F.lit(1.0), "read": F.col("side")}
+        pixels = images.read(one.withColumns(names).select("slide_uid", "path", "x0", "y0", *names, "side"))
+        place = F.concat(F.concat_ws("/", "pair_uid", "zoom", "region", "role"), F.lit(".png")).alias("output")
+        spots = rows.select("slide_uid", "zoom", "region", "side", "x0", "y0").join(pairs, "slide_uid")
+        return spots.join(pixels.withColumn("side", F.sqrt(F.size("r")).cast("int")).dropDuplicates(["slide_uid", "side", "x0", "y0"]), ["slide_uid", "side", "x0", "y0"], "left").select("pair_uid", "role", "slide_uid", "zoom", "region", "x0", "y0", "side", place, "r", "g", "b")
 
     def verify(self) -> DataFrame:
         """Findings, errors first; without a survey, slides count as measured."""
