@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions import naming
 from cohortlens.functions.optics import level_for, output_length, read_length, snapped, to_level0
 from cohortlens.functions.rules import compile_rule
-from cohortlens.operators import discovery, grid, images, index, patches, pixels, regions, selection, stain
+from cohortlens.operators import cores, discovery, grid, images, index, patches, pixels, regions, selection, stain
 from cohortlens.plans.recipe import source_magnifications, usable_slides
 from cohortlens.sources import domain
 from cohortlens.streaming.manifests import cell_counts
@@ -584,3 +584,136 @@ w AS (SELECT z.tile, z.marker, CASE WHEN count(*) >= 10 THEN count(*) FILTER (da
 def marker_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     masks = {name: patches.marker_mask(*colour) for name, colour in MARKERS.items()}
     return domain.tiles(spark, sf_dir).select("tile", *(F.size(F.filter(m, lambda x: x)).alias(name) for name, m in masks.items()))
+
+
+CORES = """o AS (SELECT *, unnest(range(size % 4)) AS box FROM v WHERE slide % 3 <> 0), o1 AS (SELECT slide, slide // 3 AS case_id, width, height, box, (slide * 37 + box * 13) % 120 / 100::DOUBLE AS rx, (slide * 91 + box * 7) % 110 / 100::DOUBLE AS ry, (slide + box) % 40 / 100::DOUBLE AS rw, (slide * 3 + box) % 50 / 100::DOUBLE AS rh FROM o),
+f AS (SELECT *, unnest(range(2)) AS box FROM v WHERE slide % 3 = 0), f1 AS (SELECT slide // 3 AS case_id, box, (slide * 37 + box * 13) % 120 / 100::DOUBLE AS rx, (slide * 91 + box * 7) % 110 / 100::DOUBLE AS ry, (slide + box) % 40 / 100::DOUBLE AS rw, (slide * 3 + box) % 50 / 100::DOUBLE AS rh FROM f),
+c AS (SELECT slide, slide // 3 AS case_id, width, height, (SELECT count(*) FROM o1 WHERE o1.slide = v.slide) = 2 AS own FROM v WHERE slide % 3 <> 0),
+b AS (SELECT c.slide, c.width, c.height, box, rx, ry, rw, rh, 'per_stain_otsu' AS detection_source FROM c JOIN o1 ON o1.slide = c.slide WHERE own UNION ALL SELECT c.slide, c.width, c.height, box, rx, ry, rw, rh, 'he_fallback' FROM c JOIN f1 ON f1.case_id = c.case_id WHERE NOT own)"""
+
+
+def _core_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of slides whose number 3 doesn't divide, and two on each slide that it does, the reference of the next two."""
+    v = domain.survey(spark, sf_dir).withColumn("case_id", F.floor(F.col("slide") / 3))
+    share = lambda a, b, m: (F.col("slide") * a + F.col("box") * b) % m / F.lit(100.0)
+    shares = {"rx": share(37, 13, 120), "ry": share(91, 7, 110), "rw": share(1, 1, 40), "rh": share(3, 1, 50)}
+    own = v.where("slide % 3 <> 0").withColumn("box", F.explode(F.slice(F.array(*map(F.lit, range(3))), F.lit(1), F.col("size") % 4))).withColumns(shares)
+    reference = v.where("slide % 3 = 0").withColumn("box", F.explode(F.array(F.lit(0), F.lit(1)))).withColumns(shares)
+    return cores.chosen_boxes(v.where("slide % 3 <> 0"), own, reference).join(v.select("slide", "width", "height"), "slide")
+
+
+@query(f"WITH {SURVEY}, {CORES} SELECT slide, box::INT AS box, detection_source, rx, ry FROM b")
+def core_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _core_boxes(spark, sf_dir).select("slide", "box", "detection_source", "rx", "ry")
+
+
+@query(
+    f"WITH {SURVEY}, {CORES}, a AS (SELECT *, trunc(rx * width)::INT AS x, trunc(ry * height)::INT AS y, trunc(rw * width)::INT AS w, trunc(rh * height)::INT AS h FROM b), s AS (SELECT slide, box, width, height, x + w // 2 AS cx, y + h // 2 AS cy, trunc(w * 1.2::DOUBLE)::INT AS w, trunc(h * 1.2::DOUBLE)::INT AS h FROM a), "
+    "t AS (SELECT slide, box, width, height, w, h, greatest(0, least(cx - w // 2, width - 1)) AS x, greatest(0, least(cy - h // 2, height - 1)) AS y FROM s) SELECT slide, box::INT AS box, x::INT AS x, y::INT AS y, greatest(1, least(w, width - x))::INT AS w, greatest(1, least(h, height - y))::INT AS h FROM t"
+)
+def core_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cores.scaled_boxes(_core_boxes(spark, sf_dir), 1.2)
+
+
+def _draw(length: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws('|', '5', slide, region, attempt, '{length}')), 1, 8))::BIGINT)"
+
+
+RANDOM = f"""m AS (SELECT slide, width, height, greatest(trunc(width * 0.05::DOUBLE)::INT, 300) AS iw, greatest(trunc(height * 0.05::DOUBLE)::INT, 300) AS ih FROM v), k AS (SELECT *, width - 2 * iw - 600 AS rw, height - 2 * ih - 600 AS rh, width - 2 * iw - 600 <= 0 OR height - 2 * ih - 600 <= 0 AS tight FROM m),
+n AS (SELECT *, unnest([1, 2]) AS region FROM k), q AS (SELECT *, unnest(generate_series(1, CASE WHEN tight THEN 1 ELSE 20 END)) AS attempt FROM n),
+d AS (SELECT *, CASE WHEN tight THEN greatest(0, floor((width - 600) / 2.0)) ELSE iw + {_draw("width")} % (rw + 1) END AS left_, CASE WHEN tight THEN greatest(0, floor((height - 600) / 2.0)) ELSE ih + {_draw("height")} % (rh + 1) END AS top_ FROM q),
+e AS (SELECT slide, region, attempt::INT AS attempt, greatest(0, least(left_ + 600, width) - 600)::INT AS x0, greatest(0, least(top_ + 600, height) - 600)::INT AS y0, width, height FROM d),
+s AS (SELECT *, (attempt * 37 + slide * 11 + x0) % 60 / 100::DOUBLE + 0.4 AS brightness, (y0 + attempt) % 20 / 100::DOUBLE AS saturation FROM e),
+t AS (SELECT *, brightness <= 220 / 255::DOUBLE AND saturation >= 0.05::DOUBLE AS tissue FROM s)"""
+
+
+@query(f"WITH {SURVEY}, {RANDOM} SELECT slide, region, attempt, x0, y0, least(x0 + 600, width)::INT AS x1, least(y0 + 600, height)::INT AS y1, tissue FROM t QUALIFY row_number() OVER (PARTITION BY slide, region ORDER BY NOT tissue, CASE WHEN tissue THEN 0 ELSE brightness END, attempt) = 1")
+def random_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = cores.candidate_regions(domain.survey(spark, sf_dir), 600, 2, 5, tries=20)
+    scores = {"brightness": (F.col("attempt") * 37 + F.col("slide") * 11 + F.col("x0")) % 60 / F.lit(100.0) + 0.4, "saturation": (F.col("y0") + F.col("attempt")) % 20 / F.lit(100.0)}
+    return cores.random_regions(places.withColumns(scores))
+
+
+@query(f"WITH {PX} SELECT tile, round(avg(((r * 19595 + g * 38470 + b * 7471 + 32768)::INT >> 16)) / 255, 6) AS brightness, round(avg(CASE WHEN greatest(r, g, b) > 0 THEN floor(255.0::DOUBLE * (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b)) ELSE 0 END) / 255, 6) AS saturation FROM px GROUP BY tile")
+def crop_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    brightness, saturation = cores.crop_scores()
+    return domain.tiles(spark, sf_dir).select("tile", F.round(brightness, 6).alias("brightness"), F.round(saturation, 6).alias("saturation"))
+
+
+PATCH_NAMES = """f AS (SELECT '/patches/' || CASE o_orderkey % 3 WHEN 0 THEN 'case-' || (o_custkey % 20) WHEN 1 THEN 'he' ELSE 'x' END || '_' || lpad((o_orderkey % 500)::VARCHAR, 6, '0') || '_' || lpad((o_orderkey % 7)::VARCHAR, 6, '0') || CASE WHEN o_orderkey % 11 = 0 THEN '.txt' ELSE '.PNG' END AS path FROM orders),
+g AS (SELECT DISTINCT path, unnest(regexp_extract_all(path, '\\d{6}')) AS patch_id FROM f WHERE path LIKE '%.PNG')"""
+
+
+def _patch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    start = F.when(k % 3 == 0, F.concat(F.lit("case-"), (c % 20).cast("string"))).when(k % 3 == 1, "he").otherwise("x")
+    path = F.concat(F.lit("/patches/"), start, F.format_string("_%06d_%06d", k % 500, k % 7), F.when(k % 11 == 0, ".txt").otherwise(".PNG"))
+    return cores.patch_files(domain.table(spark, sf_dir, "orders").select(path.alias("path")).distinct())
+
+
+@query(f"WITH {PATCH_NAMES} SELECT patch_id, count(*) AS n_files, min(path) AS first FROM g GROUP BY patch_id")
+def patch_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _patch_files(spark, sf_dir).groupBy("patch_id").agg(F.count(F.lit(1)).alias("n_files"), F.min("path").alias("first"))
+
+
+@query(f"WITH {PATCH_NAMES}, w AS (SELECT lpad(c_custkey::VARCHAR, 6, '0') AS patch_id, 'CASE-' || (c_custkey % 20) AS case_id, 'he' AS tag FROM customer) SELECT patch_id, case_id, path FROM w LEFT JOIN g USING (patch_id) QUALIFY row_number() OVER (PARTITION BY patch_id, case_id ORDER BY NOT coalesce(contains(lower(path), lower(case_id)) OR contains(lower(split_part(path, '/', 3)), tag), false), path) = 1")
+def patch_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    wanted = domain.table(spark, sf_dir, "customer").select(F.format_string("%06d", key).alias("patch_id"), F.concat(F.lit("CASE-"), (key % 20).cast("string")).alias("case_id"), F.lit("he").alias("tag"))
+    return cores.picked_patches(wanted, _patch_files(spark, sf_dir)).select("patch_id", "case_id", "path")
+
+
+@query("SELECT round(avg(l_quantity)::DOUBLE * (8112 / 1024::DOUBLE) * (SELECT avg(l_discount)::DOUBLE FROM lineitem WHERE l_linenumber <> 3), 4) AS error, 'um' AS unit, 'non_rigid_D' AS column, avg(l_quantity)::DOUBLE * (8112 / 1024::DOUBLE) * (SELECT avg(l_discount)::DOUBLE FROM lineitem WHERE l_linenumber <> 3) <= 5 AS accepted FROM lineitem")
+def registration_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = domain.table(spark, sf_dir, "lineitem").select(F.col("l_tax").cast("double").alias("rigid_D"), F.col("l_quantity").cast("double").alias("non_rigid_D"), F.when(F.col("l_linenumber") != 3, F.col("l_discount").cast("double")).alias("resolution"))
+    return cores.registration_error(rows, 8112, 1024, 5.0).withColumn("error", F.round("error", 4))
+
+
+@query(
+    f"WITH {SURVEY} SELECT slide, round(greatest(greatest(width, size * 100) / greatest(1, least(width, size * 100))::DOUBLE, greatest(height, size * 90) / greatest(1, least(height, size * 90))::DOUBLE), 6) AS ratio, width / 20.0::DOUBLE >= 128 AND height / 20.0::DOUBLE >= 128 AS viable, greatest(least(trunc(50 / (size / 10::DOUBLE))::INT, trunc(width * 0.4::DOUBLE)::INT), 20) AS bar FROM v"
+)
+def slide_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, h, size = F.col("width"), F.col("height"), F.col("size")
+    ratio = F.round(cores.field_ratio((w, h), (size * 100, size * 90)), 6)
+    return domain.survey(spark, sf_dir).select("slide", ratio.alias("ratio"), cores.grid_is_viable(w, h, 20, 128).alias("viable"), cores.bar_length(w, 50, size / 10).alias("bar"))
+
+
+@query(
+    f"WITH {SURVEY}, l AS (SELECT slide, width, height, CASE WHEN even THEN 4 ELSE 8 END AS d FROM v), x AS (SELECT *, greatest(0, width // 2 - 500) AS x0, greatest(0, height // 2 - 500) AS y0 FROM l) SELECT slide, x0::INT AS x0, y0::INT AS y0, least(greatest(1, round_even(1000 / d::DOUBLE, 0)), greatest(1, width // d - x0 // d))::INT AS w, least(greatest(1, round_even(1000 / d::DOUBLE, 0)), greatest(1, height // d - y0 // d))::INT AS h FROM x"
+)
+def centre_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    window = cores.centre_window(F.col("width"), F.col("height"), F.get("downsamples", F.lit(2)), 1000)
+    return domain.survey(spark, sf_dir).select("slide", *(v.alias(k) for k, v in window.items()))
+
+
+@query(
+    f"WITH {SURVEY}, m AS (SELECT slide, 1 + size / 100::DOUBLE AS a, size / 200::DOUBLE AS b, size::DOUBLE AS c, -size / 300::DOUBLE AS d, 1::DOUBLE AS e, -size / 2::DOUBLE AS f FROM v), i AS (SELECT *, a * e - b * d AS det FROM m), "
+    "j AS (SELECT slide, [12 / 4.0::DOUBLE * (e / det) * 2 / 10, 12 / 4.0::DOUBLE * (-b / det) * 2 / 11, 12 / 4.0::DOUBLE * ((b * f - c * e) / det), 13 / 4.0::DOUBLE * (-d / det) * 2 / 10, 13 / 4.0::DOUBLE * (a / det) * 2 / 11, 13 / 4.0::DOUBLE * ((c * d - a * f) / det)] AS m FROM i) "
+    "SELECT slide, unnest([0, 1, 2, 3, 4, 5]) AS k, round(unnest(m), 6) AS v FROM j"
+)
+def level_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("size").cast("double")
+    matrix = F.array(1 + size / 100, size / 200, size, -size / 300, F.lit(1.0), -size / 2)
+    n = lambda v: F.lit(float(v))
+    out = cores.level_matrix(matrix, (n(12), n(13)), (n(10), n(11)), n(4), n(2))
+    return domain.survey(spark, sf_dir).select("slide", F.posexplode(out).alias("k", "v")).select("slide", "k", F.round("v", 6).alias("v"))
+
+
+@query(f"WITH {PX} SELECT tile, i::INT AS i, CASE WHEN g > 200 THEN 0 WHEN r > 170 THEN 255 ELSE r END AS red, CASE WHEN g > 200 THEN 114 WHEN r > 170 THEN 0 ELSE g END AS green, CASE WHEN g > 200 THEN 178 WHEN r > 170 THEN 0 ELSE b END AS blue FROM px")
+def painted_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layers = [(F.col("r") > 170, (255, 0, 0)), (F.col("g") > 200, (0, 114, 178))]
+    out = cores.painted([F.col(c) for c in "rgb"], layers)
+    return domain.pixels(spark, sf_dir).select("tile", "i", *(v.alias(n) for v, n in zip(out, ("red", "green", "blue"), strict=True)))
+
+
+@query(f"WITH {FILES}, m AS (SELECT *, CASE WHEN section % 3 = 1 THEN 20 WHEN section % 3 = 2 THEN 40 END::DOUBLE AS source_magnification FROM s) SELECT stain, arg_min(source_magnification, slide_uid) AS source_magnification FROM m WHERE source_magnification > 0 GROUP BY stain")
+def first_magnifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("section") % 3
+    return cores.first_magnifications(index.slides(domain.files(spark, sf_dir)).withColumn("source_magnification", F.when(s == 1, 20.0).when(s == 2, 40.0)))
+
+
+@query(f"WITH {FILES}, {PAIRS}, a AS (SELECT DISTINCT case_id, stain FROM s WHERE stain = 'cd8') SELECT p.case_id, p.stain, p.moving_uid, CASE WHEN a.case_id IS NULL THEN 'missing' ELSE 'aligned' END AS status FROM p LEFT JOIN a ON a.case_id = p.case_id AND a.stain = p.stain")
+def alignment_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slides = index.slides(domain.files(spark, sf_dir))
+    results = slides.where("stain = 'cd8'").select("case_id", "stain").distinct().withColumn("status", F.lit("aligned"))
+    return cores.aligned_manifest(index.pairs(slides), results).select("case_id", "stain", "moving_uid", "status")

@@ -147,3 +147,39 @@ def test_magnification_comes_from_the_first_that_is_known(spark):
     df = spark.createDataFrame(rows, "o double, p string, m string, f double")
     value, origin = magnification(F.col("o"), [F.col("p")], [F.col("m")], F.col("f"))
     assert [tuple(r) for r in df.select(value, origin).collect()] == [(40.0, "property 0"), (80.0, "override"), (40.0, "mpp 0"), (5.0, "fallback"), (None, "missing")]
+
+
+def test_random_regions_are_repeatable_and_stay_inside(spark):
+    from cohortlens.operators import cores
+
+    slides = spark.createDataFrame([("a", 3000, 2000), ("tiny", 40, 30), ("narrow", 5000, 90)], "slide string, width int, height int")
+    rows = sorted(cores.candidate_regions(slides, 100, 2, 7, tries=5).collect())
+    assert rows == sorted(cores.candidate_regions(slides.repartition(7), 100, 2, 7, tries=5).collect())
+    assert {r.slide: sum(x.slide == r.slide for x in rows) for r in rows} == {"a": 10, "tiny": 2, "narrow": 2}
+    assert all(0 <= r.x0 < r.x1 <= 5000 and 0 <= r.y0 < r.y1 for r in rows)
+    assert {(r.x0, r.y0, r.x1, r.y1) for r in rows if r.slide == "tiny"} == {(0, 0, 40, 30)}
+    stored = {"seed": 7, "size": [3000, 2000], "zooms": {"near": 100}, "regions": {"near": [[1], [2]]}}
+    assert cores.same_regions(stored, 7, {"near": 100}, 2, (3000, 2000)) and not cores.same_regions(stored, 8, {"near": 100}, 2, (3000, 2000)) and not cores.same_regions(stored, 7, {"near": 100}, 3, (3000, 2000))
+
+
+def test_registration_error_prefers_non_rigid_columns_and_knows_its_unit(spark):
+    from cohortlens.operators import cores
+
+    rows = spark.createDataFrame([(1.0, 2.0, float("nan")), (3.0, 6.0, 0.5)], "rigid_D double, non_rigid_D double, resolution double")
+    assert cores.registration_error(rows, 2048, 1024, 3.0).collect() == [(4.0, "um", "non_rigid_D", False)]
+    assert cores.registration_error(rows.drop("resolution"), 2048, 1024, 3.0).collect() == [(4.0, "px", "non_rigid_D", True)]
+    assert cores.registration_error(rows.select("resolution"), 2048, 1024).collect() == []
+    assert cores.registration_error(rows.limit(0), 2048, 1024).collect() == []
+
+
+def test_boxes_come_from_the_slide_or_its_reference(spark):
+    from cohortlens.operators import cores
+
+    box = "box int, rx double, ry double, rw double, rh double"
+    slides = spark.createDataFrame([("s1", "c"), ("s2", "c"), ("s3", "none")], "slide string, case_id string")
+    own = spark.createDataFrame([("s1", 0, 0.1, 0.1, 0.2, 0.2)], "slide string, " + box)
+    reference = spark.createDataFrame([("c", 0, 0.3, 0.3, 0.2, 0.2)], "case_id string, " + box)
+    found = lambda **k: sorted((r.slide, r.rx, r.detection_source) for r in cores.chosen_boxes(slides, own, reference, **k).collect())
+    assert found() == [("s1", 0.1, "per_stain_otsu"), ("s2", 0.3, "he_fallback")]
+    assert found(fall_back=False) == [("s1", 0.1, "per_stain_otsu")]
+    assert found(detect=False) == [("s1", 0.3, "he_reference"), ("s2", 0.3, "he_reference")]
