@@ -262,7 +262,7 @@ def correlation(a: np.ndarray, b: np.ndarray, mask: np.ndarray | None = None) ->
     return float(a @ b / (np.linalg.norm(a) * np.linalg.norm(b) + 1e-8))
 
 
-def registered(ref: np.ndarray, other: np.ndarray, most: int = 8, share: float = 0.001) -> dict:
+def registered(ref: np.ndarray, other: np.ndarray, most: int = 8, share: float = 0.001, refine: bool = False) -> dict:
     """Matrix from ref's pixels to other's, the number of matched outlines and the correlation after warping other (nearest pixel)."""
     ref, other = np.asarray(ref), np.asarray(other)
     masks = tissue(ref), tissue(other)
@@ -272,12 +272,87 @@ def registered(ref: np.ndarray, other: np.ndarray, most: int = 8, share: float =
     h, w = min(ref.shape[0], other.shape[0]), min(ref.shape[1], other.shape[1])
     dx, dy = phase_shift(grey[0][:h, :w], grey[1][:h, :w])
     matrix = alignment([sides[0][i].centre for i, _, _ in pairs], [sides[1][j].centre for _, j, _ in pairs], (-dx, -dy))
-    y, x = np.mgrid[: ref.shape[0], : ref.shape[1]]
+    if refine:
+        matrix = refined(matrix, grey[0], grey[1], 1.0)
+    view, seen = warped(grey[1], matrix, ref.shape[:2])
+    return {"matrix": matrix, "pairs": len(pairs), "ncc": correlation(grey[0], view, seen)}
+
+
+def warped(image: np.ndarray, matrix: np.ndarray, shape: tuple[int, int], fill: float = 255.0) -> tuple[np.ndarray, np.ndarray]:
+    """A grey image seen through a matrix from places of `shape` to its own (nearest pixel), and where there is one."""
+    y, x = np.mgrid[: shape[0], : shape[1]]
     tx, ty = (np.rint(row[0] * x + row[1] * y + row[2]).astype(int) for row in matrix)
-    seen = (tx >= 0) & (ty >= 0) & (tx < other.shape[1]) & (ty < other.shape[0])
-    warped = np.full(ref.shape[:2], 255.0)
-    warped[seen] = grey[1][ty[seen], tx[seen]]
-    return {"matrix": matrix, "pairs": len(pairs), "ncc": correlation(grey[0], warped, seen)}
+    seen = (tx >= 0) & (ty >= 0) & (tx < image.shape[1]) & (ty < image.shape[0])
+    out = np.full(shape, fill)
+    out[seen] = image[ty[seen], tx[seen]]
+    return out, seen
+
+
+def refined(matrix: np.ndarray, ref: np.ndarray, other: np.ndarray, up: float) -> np.ndarray:
+    """
+    matrix (2 x 3, between coarse overviews) with the shift that is left at views `up` times as large, found by phase correlation.
+
+    The other view is brought onto the reference's, so that both lie on one grid; a shift that makes their correlation worse is not taken.
+    """
+    fine = np.array(matrix, float)
+    fine[:, 2] *= up
+    now, seen = warped(other, fine, ref.shape)
+    dx, dy = phase_shift(ref, now)
+    moved = fine.copy()
+    moved[:, 2] -= fine[:, :2] @ (dx, dy)
+    then, seen_then = warped(other, moved, ref.shape)
+    best = moved if correlation(ref, then, seen_then) > correlation(ref, now, seen) else fine
+    best[:, 2] /= up
+    return best
+
+
+def equalised(light: np.ndarray, clip: float = 2.0, grid: tuple[int, int] = (8, 8)) -> np.ndarray:
+    """Adaptive equalisation of 8-bit values: clipped histograms of grid (columns, rows) cells, interpolated between their centres."""
+    h, w = light.shape
+    across, down = grid
+    ch, cw = -(-h // down), -(-w // across)
+    whole = np.pad(light, ((0, ch * down - h), (0, cw * across - w)), mode="symmetric")
+    tables = np.empty((down, across, 256))
+    limit = max(int(clip * ch * cw / 256), 1)
+    for j in range(down):
+        for i in range(across):
+            count = np.bincount(whole[j * ch : (j + 1) * ch, i * cw : (i + 1) * cw].ravel(), minlength=256)
+            over = int(np.maximum(count - limit, 0).sum())
+            count = np.minimum(count, limit) + over // 256
+            rest = over % 256
+            if rest:
+                step = max(256 // rest, 1)
+                count[np.arange(0, 256, step)[:rest]] += 1
+            tables[j, i] = np.clip(np.rint(np.cumsum(count) * (255 / (ch * cw))), 0, 255)
+    y, x = (np.arange(h) / ch - 0.5), (np.arange(w) / cw - 0.5)
+    y1, x1 = np.floor(y).astype(int), np.floor(x).astype(int)
+    ay, ax = (y - y1)[:, None], (x - x1)[None, :]
+    of = lambda j, i: tables[np.clip(j, 0, down - 1)[:, None], np.clip(i, 0, across - 1)[None, :], light]
+    top, bottom = (of(y1 + k, x1) * (1 - ax) + of(y1 + k, x1 + 1) * ax for k in (0, 1))
+    return np.clip(np.rint(top * (1 - ay) + bottom * ay), 0, 255).astype(np.uint8)
+
+
+#: Hues of brown, least saturation and value, largest value, and how much more saturated it gets.
+BROWN_HUES, BROWN_LEAST, BROWN_MOST, BROWN_GAIN = (5, 22), 40, 220, 1.5
+
+
+def enhanced(image: np.ndarray, clip: float = 2.0, grid: tuple[int, int] = (8, 8)) -> np.ndarray:
+    """An overview whose lightness is equalised and whose brown is more saturated, so that pale cores stand out.
+
+    Lightness is luma; colours are scaled with it, which keeps hue and saturation.
+    """
+    rgb = np.asarray(image, float)
+    luma = rgb @ (0.299, 0.587, 0.114)
+    light = equalised(np.rint(luma).astype(np.uint8), clip, grid).astype(float)
+    rgb = np.clip(rgb * ((light + 1) / (luma + 1))[..., None], 0, 255)
+    most, least = rgb.max(2), rgb.min(2)
+    spread = np.where(most > least, most - least, 1)
+    r, g, b = np.moveaxis(rgb, 2, 0)
+    hue = np.where(most == r, (g - b) / spread, np.where(most == g, 2 + (b - r) / spread, 4 + (r - g) / spread)) * 30 % 180
+    saturation = np.where(most > 0, (most - least) / np.where(most > 0, most, 1), 0) * 255
+    brown = (most > least) & (hue >= BROWN_HUES[0]) & (hue <= BROWN_HUES[1]) & (saturation >= BROWN_LEAST) & (most >= BROWN_LEAST) & (most <= BROWN_MOST)
+    gain = np.where(brown, np.minimum(BROWN_GAIN, 255 / np.maximum(saturation, 1)), 1.0)[..., None]
+    return np.clip(np.rint(most[..., None] - (most[..., None] - rgb) * gain), 0, 255).astype(np.uint8)
 
 
 def regions(image: np.ndarray, share: float, round_only: bool = False, roundness: float = 0.0) -> list[tuple[float, float, float, float]]:

@@ -81,11 +81,12 @@ def detected(tiles: DataFrame, share: float, side: int, round_only: bool = False
     return each(tiles, lambda v: shapes.regions(v, share, round_only, roundness), "rx double, ry double, rw double, rh double", side)
 
 
-def registered(pairs: DataFrame, side: int, least_ncc: float = 0.0) -> DataFrame:
+def registered(pairs: DataFrame, side: int, least_ncc: float = 0.0, refine: bool = False) -> DataFrame:
     """
     Alignment of overviews (pair, ref and moving: flat RGB arrays of a width of side).
 
-    A pair that can't be aligned is a row with an error and nulls, never a failed job; below least_ncc it is rejected.
+    A pair that can't be aligned is a row with an error and nulls, never a failed job; below least_ncc it is rejected. refine corrects the
+    shift that the outlines leave, where that raises the correlation.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,7 +94,7 @@ def registered(pairs: DataFrame, side: int, least_ncc: float = 0.0) -> DataFrame
             out = []
             for pair, ref, moving in frame[["pair", "ref", "moving"]].itertuples(index=False, name=None):
                 try:
-                    got = shapes.registered(*(np.asarray(v, np.uint8).reshape(-1, side, 3) for v in (ref, moving)))
+                    got = shapes.registered(*(np.asarray(v, np.uint8).reshape(-1, side, 3) for v in (ref, moving)), refine=refine)
                     out.append((pair, "aligned" if got["ncc"] >= least_ncc else "rejected", got["matrix"].ravel().tolist(), got["pairs"], got["ncc"], None))
                 except (ValueError, TypeError) as e:
                     out.append((pair, "failed", None, None, None, str(e)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions import naming
 from cohortlens.functions.optics import level_for, output_length, read_length, snapped, to_level0
 from cohortlens.functions.rules import compile_rule
-from cohortlens.operators import cores, discovery, grid, images, index, patches, pixels, regions, selection, stain
+from cohortlens.operators import cores, discovery, grid, images, index, patches, pixels, reassembly, regions, selection, stain
 from cohortlens.plans.recipe import source_magnifications, usable_slides
 from cohortlens.sources import domain
 from cohortlens.streaming.manifests import cell_counts
@@ -717,3 +717,32 @@ def alignment_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     slides = index.slides(domain.files(spark, sf_dir))
     results = slides.where("stain = 'cd8'").select("case_id", "stain").distinct().withColumn("status", F.lit("aligned"))
     return cores.aligned_manifest(index.pairs(slides), results).select("case_id", "stain", "moving_uid", "status")
+
+
+@query(f"WITH {PX}, q AS (SELECT 'S' || lpad((tile % 20)::VARCHAR, 2, '0') AS slide_uid, tile // 20 % 4 * 4 + i % 8 AS x, tile // 80 * 4 + i // 8 AS y, r FROM px) SELECT slide_uid, x::INT AS x, y::INT AS y, trunc(avg(r))::INT AS r FROM q GROUP BY ALL HAVING trunc(avg(r)) > 0")
+def reassembled_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = domain.tiles(spark, sf_dir).withColumns({c: (F.col(c) / 2).cast("int") for c in ("x0", "y0")})
+    rows = reassembly.reassembled(cut, 8, 4, 16).select("slide_uid", "x0", "y0", F.posexplode("r").alias("i", "r")).where("r > 0")
+    return rows.select("slide_uid", (F.col("x0") + F.col("i") % 16).alias("x"), (F.col("y0") + F.floor(F.col("i") / 16)).cast("int").alias("y"), "r")
+
+
+def _turns() -> str:
+    middle = [(1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, 1), (1, -1), (-1, -1)]
+    rows = [(f"'{name}'", sx, sy, k, tx, ty) for name, (sx, sy) in grid.PLACES.items() for k, (tx, ty) in enumerate(middle if name == "center" else [(-sx, -sy)])]
+    return "u(region, sx, sy, turn, tx, ty) AS (VALUES " + ", ".join(f"({', '.join(map(str, r))})" for r in rows) + ")"
+
+
+def _end(length: str, side: str, turn: str, away: str) -> str:
+    anchor = f"CASE {side} WHEN 0 THEN {length} // 2 WHEN -1 THEN trunc({length} * 0.05::DOUBLE) + 150 ELSE {length} - trunc({length} * 0.05::DOUBLE) - 150 END"
+    return f"least({length}, {anchor} + {turn} * {away} + 150)"
+
+
+SEARCH = f"""{_turns()}, a AS (SELECT slide, width, height, u.*, unnest(generate_series(0, trunc(width * 0.15::DOUBLE)::INT, greatest(1, trunc(width * 0.02::DOUBLE)::INT))) AS dx FROM v CROSS JOIN u), b AS (SELECT *, unnest(generate_series(0, trunc(height * 0.15::DOUBLE)::INT, greatest(1, trunc(height * 0.02::DOUBLE)::INT))) AS dy FROM a),
+c AS (SELECT slide, region, turn, dx, dy, {_end("width", "sx", "tx", "dx")}::INT AS x1, {_end("height", "sy", "ty", "dy")}::INT AS y1 FROM b), d AS (SELECT *, greatest(0, x1 - 300) AS x0, greatest(0, y1 - 300) AS y0 FROM c QUALIFY row_number() OVER (PARTITION BY slide, region, x1, y1 ORDER BY turn, dx, dy) = 1),
+e AS (SELECT *, (x0 * 7 + y0 * 13) % 97 / 100::DOUBLE AS fraction FROM d)"""
+
+
+@query(f"WITH {SURVEY}, {SEARCH} SELECT slide, region, x0, y0, x1, y1, fraction, fraction >= 0.9::DOUBLE AS found FROM e QUALIFY row_number() OVER (PARTITION BY slide, region ORDER BY fraction < 0.9::DOUBLE, CASE WHEN fraction < 0.9::DOUBLE THEN -fraction END, dx * dx + dy * dy, turn, dx, dy) = 1")
+def nearest_tissue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = reassembly.search_boxes(domain.survey(spark, sf_dir), 300)
+    return reassembly.nearest_tissue(boxes.withColumn("fraction", (F.col("x0") * 7 + F.col("y0") * 13) % 97 / F.lit(100.0)), 0.9)

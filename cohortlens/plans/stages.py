@@ -30,7 +30,7 @@ def alignment(study: Study, recipe: dict) -> DataFrame:
     view = study.overviews().select("slide_uid", F.flatten(F.transform(F.arrays_zip("r", "g", "b"), lambda p: F.array(p["r"], p["g"], p["b"]))).alias("image"))
     pairs = usable_pairs(study, settings)
     rows = pairs.join(view.select(F.col("slide_uid").alias("reference_uid"), F.col("image").alias("ref")), "reference_uid").join(view.select(F.col("slide_uid").alias("moving_uid"), F.col("image").alias("moving")), "moving_uid")
-    found = images.registered(rows.select(F.col("pair_uid").alias("pair"), "ref", "moving"), int(settings.get("overview_side", 0)) or side_of(study.overviews()))
+    found = images.registered(rows.select(F.col("pair_uid").alias("pair"), "ref", "moving"), int(settings.get("overview_side", 0)) or side_of(study.overviews()), refine=True)
     return pairs.join(found.withColumnRenamed("pair", "pair_uid"), "pair_uid", "left")
 
 

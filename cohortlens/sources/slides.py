@@ -53,16 +53,20 @@ def _header(uid: str, path: str, declared: float | None) -> tuple:
         return uid, path, declared, None, None, None, None, False, f"{type(e).__name__}: {e}"
 
 
-def windows(survey: DataFrame, target: float, size: int, band: int = 8) -> DataFrame:
+def windows(survey: DataFrame, target: float, size: int, band: int = 8, stride: int | None = None, whole: bool = False) -> DataFrame:
     """A row per tile of a slide's grid at the target magnification, with where to read it; slides that would be enlarged have none.
 
+    Tiles overlap where stride is less than their size; whole leaves out those that reach over the slide's edge.
+
     Bands of tile rows are dealt to tasks, so that one slide keeps many tasks busy and a task opens few files.
     """
     base = F.col("base")
     rows = survey.where("readable AND base IS NOT NULL").withColumn("level", optics.level_for(base, target, F.col("downsamples"))).where("level IS NOT NULL")
     rows = rows.withColumns({"out_width": optics.output_length(F.col("width"), base, target), "out_height": optics.output_length(F.col("height"), base, target), "native": base / F.get("downsamples", F.col("level"))})
-    rows = rows.withColumn("y0", F.explode(F.sequence(F.lit(0), F.col("out_height") - 1, F.lit(size)))).repartition("slide_uid", F.floor(F.col("y0") / (size * band)))
-    rows = rows.withColumn("x0", F.explode(F.sequence(F.lit(0), F.col("out_width") - 1, F.lit(size))))
+    step, edge = F.lit(stride or size), size if whole else 1
+    rows = rows.where((F.col("out_width") >= edge) & (F.col("out_height") >= edge))
+    rows = rows.withColumn("y0", F.explode(F.sequence(F.lit(0), F.col("out_height") - edge, step))).repartition("slide_uid", F.floor(F.col("y0") / (size * band)))
+    rows = rows.withColumn("x0", F.explode(F.sequence(F.lit(0), F.col("out_width") - edge, step)))
     place = {f"{c}_full": optics.to_level0(F.col(f"{c}0"), base, target) for c in "xy"}
     return rows.select("slide_uid", "path", "x0", "y0", "level", F.get("downsamples", F.col("level")).alias("downsample"), *(v.alias(k) for k, v in place.items()), optics.read_length(F.lit(size), F.col("native"), target).alias("read"), F.lit(size).alias("side"))
 
@@ -123,6 +127,56 @@ def overviews(survey: DataFrame, longest: int) -> DataFrame:
     return read(rows.select("slide_uid", "path", F.lit(0).alias("x0"), F.lit(0).alias("y0"), "best.level", F.col("best.d").alias("downsample"), F.lit(0).alias("x_full"), F.lit(0).alias("y_full"), F.ceil(full / F.col("best.d")).cast("int").alias("read"), F.lit(longest).alias("side")).repartition("slide_uid"))
 
 
+def aligned(reference: DataFrame, moving: DataFrame, matrices: DataFrame, target: float, size: int) -> DataFrame:
+    """
+    Tiles of moving slides on the grid of their references at the target magnification: slide_uid (the moving one's), x0, y0, r, g, b, error.
+
+    reference and moving are surveys, matrices is (reference_uid, moving_uid, matrix): six numbers that take a place on the reference's grid to
+    one on the moving slide's.  Only what a tile shows is read, and sampled between its four nearest pixels; white outside the slide.
+    """
+    base = F.col("base")
+    mov = moving.where("readable AND base IS NOT NULL").withColumn("level", optics.level_for(base, target, F.col("downsamples"))).where("level IS NOT NULL")
+    mov = mov.select(F.col("slide_uid").alias("moving_uid"), F.col("path").alias("moving_path"), F.col("level").alias("moving_level"), (base / F.get("downsamples", F.col("level")) / target).alias("zoom"))
+    grid = windows(reference, target, size).select(F.col("slide_uid").alias("reference_uid"), "x0", "y0")
+    rows = grid.join(matrices.join(mov, "moving_uid"), "reference_uid")
+    rows = rows.repartition("moving_uid", F.floor(F.col("y0") / (8 * size))).select("moving_uid", "moving_path", "moving_level", "zoom", "matrix", "x0", "y0")
+    schema = "slide_uid string, x0 int, y0 int, r array<int>, g array<int>, b array<int>, error string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, path, pyramid = None, None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                try:
+                    if row["moving_path"] != path:
+                        if f is not None:
+                            f.close()
+                        f, path = tiff.opened(row["moving_path"]), None
+                        pyramid, path = tiff.levels_of(tiff.directories(f)), row["moving_path"]
+                    pixels = _warped(f, pyramid[row["moving_level"]], np.array(row["matrix"], float).reshape(2, 3) * row["zoom"], row["x0"], row["y0"], size)
+                    flat = pixels.reshape(-1, 3).astype(np.int32)
+                    yield _batch([(row["moving_uid"], row["x0"], row["y0"], *(flat[:, k] for k in range(3)), None)])
+                except Exception as e:  # any failure is the row's, not the job's
+                    yield _batch([(row["moving_uid"], row["x0"], row["y0"], None, None, None, f"{type(e).__name__}: {e}")])
+        if f is not None:
+            f.close()
+
+    return rows.mapInArrow(run, schema)
+
+
+def _warped(f, level: tiff.Level, matrix: np.ndarray, x0: int, y0: int, side: int) -> np.ndarray:
+    y, x = np.mgrid[y0 : y0 + side, x0 : x0 + side]
+    tx, ty = (row[0] * x + row[1] * y + row[2] for row in matrix)
+    left, top = int(np.floor(tx.min())), int(np.floor(ty.min()))
+    w, h = int(np.floor(tx.max())) - left + 2, int(np.floor(ty.max())) - top + 2
+    if w * h > 64 * side * side:
+        raise ValueError(f"a tile would show {w} x {h} pixels")
+    part = level.window(f, left, top, w, h).astype(float)
+    ix, iy = np.floor(tx).astype(int) - left, np.floor(ty).astype(int) - top
+    ax, ay = (tx - left - ix)[..., None], (ty - top - iy)[..., None]
+    upper, lower = (part[iy + k, ix] * (1 - ax) + part[iy + k, ix + 1] * ax for k in (0, 1))
+    return np.rint(upper * (1 - ay) + lower * ay).astype(np.uint8)
+
+
 def _coded(rows: DataFrame, side: int) -> DataFrame:
     """Tiles (slide_uid, level, x, y, pixels as bytes) with the bytes that a file holds."""
 

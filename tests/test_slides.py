@@ -150,3 +150,79 @@ def test_study_from_files_through_every_stage(spark, tmp_path):
     assert len(crops) == 10 and crops["moving", "center"].output.endswith("near/center/moving.png") and len(crops["moving", "center"].r) == 4096
     assert run("compare", "films", "--zoom", "near=64", "--to", str(tmp_path / "crops")) == 0
     assert run("doctor") == 0 and run("doctor", "--json") == 0
+
+
+def test_patches_that_overlap_make_the_slide_again(spark, tmp_path):
+    from cohortlens.operators import reassembly
+
+    side, uid = 32, "K1__he__s01"
+    image = image_of(128, 96)
+    schema = "slide_uid string, x0 int, y0 int, r array<int>, g array<int>, b array<int>"
+    sizes = spark.createDataFrame([(uid, 128, 96, 0.5, 20.0)], "slide_uid string, width int, height int, mpp double, magnification double")
+    (made,) = slides.write_pyramids(spark.createDataFrame(list(tile_rows(image, side, uid)), schema), sizes, str(tmp_path / "out"), side, str(tmp_path / "work")).collect()
+    survey = slides.surveyed(spark.createDataFrame([(uid, made.path)], "slide_uid string, path string"))
+    patches = slides.read(slides.windows(survey, 20.0, 32, stride=16, whole=True)).drop("error")
+    assert patches.count() == 7 * 5
+    got = {(r.x0, r.y0): r for r in reassembly.reassembled(patches, 32, 16, 64).collect()}
+    assert len(got) == 4
+    for (x, y), r in got.items():
+        tile = np.stack([np.array(v).reshape(64, 64) for v in (r.r, r.g, r.b)], 2)
+        part = image[y : y + 64, x : x + 64]
+        assert (tile[: part.shape[0], : part.shape[1]] == part).all() and (tile[part.shape[0] :] == 0).all()
+    apart = reassembly.reassembled(patches.where("x0 = 0 AND y0 = 0"), 32, 32, 64).collect()
+    assert len(apart) == 1 and apart[0].r[-1] == 255
+
+    matrix = spark.createDataFrame([(uid, uid, [1.0, 0.0, 5.0, 0.0, 1.0, -3.0])], "reference_uid string, moving_uid string, matrix array<double>")
+    shifted = {(r.x0, r.y0): r for r in slides.aligned(survey, survey, matrix, 20.0, side).collect()}
+    assert len(shifted) == 12 and all(r.error is None for r in shifted.values())
+    tile = np.array(shifted[32, 32].r).reshape(side, side)
+    assert (tile == image[29:61, 37:69, 0]).all() and shifted[96, 0].r[31] == 255
+    huge = matrix.withColumn("matrix", __import__("pyspark").sql.functions.expr("transform(matrix, x -> x * 50)"))
+    assert all("ValueError" in r.error for r in slides.aligned(survey, survey, huge, 20.0, side).collect())
+
+
+def test_search_boxes_against_a_plain_walk(spark):
+    from cohortlens.operators import reassembly
+
+    def walk(width, height, size, region):
+        half, mx, my = size // 2, int(width * 0.05), int(height * 0.05)
+        ax = {"left": mx + half, "right": width - mx - half, "": width // 2}[region.partition("_")[2]]
+        ay = {"top": my + half, "bottom": height - my - half, "center": height // 2}[region.partition("_")[0]]
+        inward = {"top_left": (1, 1), "top_right": (-1, 1), "bottom_left": (1, -1), "bottom_right": (-1, -1)}
+        turns = [inward[region]] if region in inward else [(1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, 1), (1, -1), (-1, -1)]
+        out = {}
+        for tx, ty in turns:
+            for dx in range(0, int(width * 0.15) + 1, max(1, int(width * 0.02))):
+                for dy in range(0, int(height * 0.15) + 1, max(1, int(height * 0.02))):
+                    x1, y1 = min(width, ax + tx * dx - half + size), min(height, ay + ty * dy - half + size)
+                    out.setdefault((max(0, x1 - size), max(0, y1 - size), x1, y1), dx * dx + dy * dy)
+        return [box for box, _ in sorted(out.items(), key=lambda item: item[1])]
+
+    shapes = {"a": (1000, 700), "b": (333, 90), "c": (50, 60)}
+    rows = reassembly.search_boxes(spark.createDataFrame([(k, *v) for k, v in shapes.items()], "slide string, width int, height int"), 64).collect()
+    for slide, (w, h) in shapes.items():
+        for region in ("center", "top_left", "top_right", "bottom_left", "bottom_right"):
+            got = [(r.x0, r.y0, r.x1, r.y1) for r in sorted((r for r in rows if (r.slide, r.region) == (slide, region)), key=lambda r: r.place)]
+            assert got == walk(w, h, 64, region), (slide, region)
+
+
+def test_refinement_enhancement_and_equalisation():
+    from cohortlens.functions import shapes
+
+    rng = np.random.default_rng(5)
+    base = np.full((120, 120), 240.0)
+    base[30:80, 40:90] = 90 + rng.integers(0, 60, (50, 50))
+    other = np.roll(base, (4, 7), (0, 1))
+    coarse = np.array([[1.0, 0, 2.0], [0, 1.0, 1.0]])
+    fine = shapes.refined(coarse, base, other, 2.0)
+    assert np.allclose(fine[:, 2], (3.5, 2.0)) and np.allclose(fine[:, :2], np.eye(2))
+    assert np.allclose(shapes.refined(fine, base, other, 2.0), fine)
+    grey = np.tile(np.arange(100, 140, dtype=np.uint8), (64, 2))
+    even = shapes.equalised(grey, 4.0, (2, 2))
+    assert even.shape == grey.shape and even.max() - even.min() > grey.max() - grey.min()
+    brown = np.full((40, 40, 3), 235, np.uint8)
+    brown[10:30, 10:30] = (140, 100, 70)
+    out = shapes.enhanced(brown).astype(int)
+    inside, before = out[20, 20], np.array((140, 100, 70))
+    assert (inside.max() - inside.min()) / inside.max() > (before.max() - before.min()) / before.max()
+    assert out[0, 0].max() - out[0, 0].min() == 0
