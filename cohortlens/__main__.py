@@ -8,7 +8,9 @@ import json
 from pyspark.sql import SparkSession
 
 from cohortlens.functions.checks import REQUIRED, diagnostics
+from cohortlens.plans import batches
 from cohortlens.plans.study import Study
+from cohortlens.sources.files import write_images, write_workbook
 from cohortlens.sources.manifests import as_text, write_csv
 
 
@@ -32,7 +34,7 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="cohortlens")
     top.add_argument("home")
     sub = top.add_subparsers(dest="command", required=True)
-    add = {c: sub.add_parser(c) for c in "init index survey tiles pairs verify plan run select results show align extract stain count compare".split()}
+    add = {c: sub.add_parser(c) for c in "init index survey tiles pairs verify plan run select results show align extract stain count compare thumbnails regions".split()}
     for p in add.values():
         p.add_argument("name")
     sub.add_parser("list")
@@ -42,6 +44,13 @@ def parser() -> argparse.ArgumentParser:
     add["tiles"].add_argument("--overview", type=int, default=512)
     add["compare"].add_argument("--zoom", action="append", default=[], help="LABEL=SIDE")
     add["compare"].add_argument("--to")
+    add["compare"].add_argument("--images")
+    for c in ("thumbnails", "regions"):
+        add[c].add_argument("--to", required=True)
+    add["regions"].add_argument("--cores", action="store_true")
+    add["regions"].add_argument("--share", type=float, default=0.005)
+    add["regions"].add_argument("--size", type=int, default=512)
+    add["results"].add_argument("--xlsx")
     add["init"].add_argument("--source", action="append", default=[])
     add["init"].add_argument("--stain", action="append")
     add["init"].add_argument("--magnification", type=float, default=20.0)
@@ -103,11 +112,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(as_text(study.survey().select("slide_uid", "width", "height", "base", "origin", "error").orderBy("slide_uid"), 1000))
     elif a.command == "tiles":
         print(study.read_tiles(a.size, a.magnification, a.overview).count(), study.unread().count())
+    elif a.command == "thumbnails":
+        print(as_text(write_images(batches.thumbnails(study.overviews()), a.to).orderBy("output"), 1000))
+    elif a.command == "regions":
+        print(as_text(batches.export(study, a.to, a.share, a.size, a.cores).orderBy("slide_uid"), 1000))
     elif a.command == "compare":
         zooms = {k: int(v) for k, _, v in (z.partition("=") for z in a.zoom or ["full=512"])}
         rows = study.crops(zooms)
         if a.to:
             rows.write.mode("overwrite").parquet(a.to)
+        if a.images:
+            print(as_text(write_images(rows.where("r IS NOT NULL"), a.images).groupBy("status").count()))
         print(as_text(rows.select("output", "slide_uid", "x0", "y0", "side").orderBy("output"), 1000))
     elif a.command == "select":
         print(json.dumps(study.select(a.selection, a.rule, a.stage)))
@@ -115,6 +130,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         table = study.results(a.field, tuple(a.group_by.split(",")), a.stage, a.selection)
         if a.csv:
             write_csv(table, a.csv)
+        if a.xlsx:
+            write_workbook({a.field: table}, a.xlsx)
         print(as_text(table.orderBy(*a.group_by.split(",")), a.limit))
     else:
         print(json.dumps({"descriptor": study.descriptor, "selections": study.selections()}, indent=2))

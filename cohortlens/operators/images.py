@@ -30,7 +30,7 @@ def each(tiles: DataFrame, of: Callable[[np.ndarray], list[tuple]], schema: str,
                 out += [(tile, *row) for row in of(image)]
             yield pd.DataFrame(out, columns=names)
 
-    return tiles.mapInPandas(run, f"tile long, {schema}")
+    return tiles.mapInPandas(run, f"tile {tiles.schema['tile'].dataType.simpleString()}, {schema}")
 
 
 def components(px: DataFrame, threshold: int, side: int = 8) -> DataFrame:

@@ -56,7 +56,8 @@ def _header(uid: str, path: str, declared: float | None) -> tuple:
 def windows(survey: DataFrame, target: float, size: int, band: int = 8, stride: int | None = None, whole: bool = False) -> DataFrame:
     """A row per tile of a slide's grid at the target magnification, with where to read it; slides that would be enlarged have none.
 
-    Tiles overlap where stride is less than their size; whole leaves out those that reach over the slide's edge.
+    Tiles overlap where stride is less than their size; whole leaves out those that reach over the slide's edge.  A survey row with left and top
+    is a region of a slide: its width and height count from there.
 
     Bands of tile rows are dealt to tasks, so that one slide keeps many tasks busy and a task opens few files.
     """
@@ -67,7 +68,8 @@ def windows(survey: DataFrame, target: float, size: int, band: int = 8, stride:
     rows = rows.where((F.col("out_width") >= edge) & (F.col("out_height") >= edge))
     rows = rows.withColumn("y0", F.explode(F.sequence(F.lit(0), F.col("out_height") - edge, step))).repartition("slide_uid", F.floor(F.col("y0") / (size * band)))
     rows = rows.withColumn("x0", F.explode(F.sequence(F.lit(0), F.col("out_width") - edge, step)))
-    place = {f"{c}_full": optics.to_level0(F.col(f"{c}0"), base, target) for c in "xy"}
+    start = {"x": F.col("left"), "y": F.col("top")} if {"left", "top"} <= set(survey.columns) else {"x": F.lit(0), "y": F.lit(0)}
+    place = {f"{c}_full": (optics.to_level0(F.col(f"{c}0"), base, target) + start[c]).cast("int") for c in "xy"}
     return rows.select("slide_uid", "path", "x0", "y0", "level", F.get("downsamples", F.col("level")).alias("downsample"), *(v.alias(k) for k, v in place.items()), optics.read_length(F.lit(size), F.col("native"), target).alias("read"), F.lit(size).alias("side"))
 
 

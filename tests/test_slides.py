@@ -149,6 +149,20 @@ def test_study_from_files_through_every_stage(spark, tmp_path):
     crops = {(r.role, r.region): r for r in study.crops({"near": 64}).collect()}
     assert len(crops) == 10 and crops["moving", "center"].output.endswith("near/center/moving.png") and len(crops["moving", "center"].r) == 4096
     assert run("compare", "films", "--zoom", "near=64", "--to", str(tmp_path / "crops")) == 0
+    assert run("thumbnails", "films", "--to", str(tmp_path / "thumbs")) == 0 and len(list((tmp_path / "thumbs").glob("*.png"))) == 2
+    assert run("regions", "films", "--to", str(tmp_path / "regions"), "--size", "32") == 0
+    assert len(list((tmp_path / "regions").glob("*.ome.tif"))) == 6
+    for place in study._table("regions").where("slide_uid LIKE '%he%' AND box = 1").collect():
+        with tiff.opened(str(tmp_path / "regions" / f"{place.slide_uid}__region_001.ome.tif")) as f:
+            level = tiff.levels_of(tiff.directories(f))[0]
+            assert (level.width, level.height) == (place.w, place.h)
+            with tiff.opened(str(tmp_path / "archive" / "K1_he.ome.tif")) as g:
+                whole = tiff.levels_of(tiff.directories(g))[0].window(g, place.x, place.y, place.w, place.h)
+            assert (level.window(f, 0, 0, place.w, place.h) == whole).all()
+    assert run("regions", "films", "--to", str(tmp_path / "cores"), "--size", "32", "--cores") == 0
+    sources = {(r.slide_uid, r.detection_source) for r in study._table("cores").collect()}
+    assert ("K1__he__s01", "he_reference") in sources and {s for s, _ in sources} == {"K1__he__s01", "K1__cd8__s01"}
+    assert len(list((tmp_path / "cores").glob("*core_*.ome.tif"))) == study._table("cores").count() >= 4
     assert run("doctor") == 0 and run("doctor", "--json") == 0
 
 
