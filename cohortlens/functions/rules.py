@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.functions.ranks import exact_percentiles
+
 
 class RuleError(ValueError):
     """A rule is not in the language."""
@@ -68,12 +70,10 @@ class Compiler:
         return truthy(self.of(tree.body))
 
     def _measure(self, tree: ast.AST) -> None:
-        """All percentiles of a rule from one aggregation over the manifest."""
+        """All percentiles of a rule together."""
         calls = [n for n in ast.walk(tree) if isinstance(n, ast.Call) and isinstance(n.func, ast.Name) and n.func.id == "percentile"]
         wanted = sorted({x for x in map(self._percentile_of, calls) if x})
-        if wanted:
-            found = self.df.agg(*(F.percentile(F.col(f"`{field}`").cast("double"), F.lit(q / 100)) for field, q in wanted)).first()
-            self.percentiles = dict(zip(wanted, found, strict=True))
+        self.percentiles = exact_percentiles(self.df, wanted)
 
     def of(self, node: ast.AST) -> Value:
         method = getattr(self, f"_{type(node).__name__.lower()}", None)

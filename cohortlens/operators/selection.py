@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.functions.ranks import exact_percentiles
 from cohortlens.functions.rules import compile_rule, thresholds_to_rule
 
 
@@ -21,8 +22,10 @@ def apply(manifest: DataFrame, selection: DataFrame) -> DataFrame:
 
 def statistics(manifest: DataFrame, fields: list[str]) -> DataFrame:
     """A row per field: count, min, max, mean and median of its numbers."""
+    middle = exact_percentiles(manifest, [(f, 50.0) for f in fields])
+    median = F.coalesce(*(F.when(F.col("field") == f, F.lit(v).cast("double")) for (f, _), v in middle.items()))
     rows = manifest.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("x")) for f in fields))).alias("r")).select("r.*")
-    return rows.where("x IS NOT NULL").groupBy("field").agg(F.count("x").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.percentile("x", F.lit(0.5)), 6).alias("median"))
+    return rows.where("x IS NOT NULL").groupBy("field").agg(F.count("x").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.round(F.avg("x"), 6).alias("mean")).withColumn("median", F.round(median, 6))
 
 
 def fraction(manifest: DataFrame, selection: DataFrame) -> DataFrame:
