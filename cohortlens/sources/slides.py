@@ -5,6 +5,7 @@ Files are opened where their rows are; no file is read whole.  A slide that can'
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,11 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions import optics
+from cohortlens.functions.naming import SLIDE_ENDINGS
 from cohortlens.sources import tiff
 
 #: Properties that name an objective, the first positive one counts.
 OBJECTIVE_KEYS = ("openslide.objective-power", "aperio.AppMag", "hamamatsu.SourceLens", "objective-power", "objective_power")
 
+#: The property that a manifest beside the file gives; it counts after objectives, before the pixel size.
+SIDECAR = "manifest.output_magnification"
+
 HEADER = "width int, height int, downsamples array<double>, properties map<string,string>, readable boolean, error string"
 
 
@@ -37,18 +42,37 @@ def surveyed(slides: DataFrame, default: float | None = None) -> DataFrame:
     seen = rows.mapInPandas(run, "slide_uid string, path string, declared double, " + HEADER)
     own = lambda k: F.get_json_object(F.to_json("properties"), f"$['{k}']")
     mpp = [own("openslide.mpp-x"), own("openslide.mpp-y")]
-    base, origin = optics.magnification(F.col("declared"), [own(k) for k in OBJECTIVE_KEYS], mpp, F.lit(default).cast("double"))
+    base, origin = optics.magnification(F.col("declared"), [own(k) for k in (*OBJECTIVE_KEYS, SIDECAR)], mpp, F.lit(default).cast("double"))
     size = lambda c: F.coalesce(optics.positive(c), F.lit(0.0))
     return seen.select("slide_uid", "path", "width", "height", "downsamples", "properties", F.when(F.col("readable"), base).alias("base"), F.when(F.col("readable"), origin).alias("origin"), size(mpp[0]).alias("mpp_x"), size(mpp[1]).alias("mpp_y"), "readable", "error")
 
 
+def _beside(path: str) -> str | None:
+    """The positive output_magnification of the first manifest beside a file that has one: of its name without any ending, without the last one, of its folder."""
+    system, name = tiff.located(path)
+    folder, _, file = name.rpartition("/")
+    ending = next((e for e in SLIDE_ENDINGS if file.lower().endswith(e)), "")
+    stems = dict.fromkeys((file.removesuffix(file[len(file) - len(ending) :]) if ending else file, file.rpartition(".")[0] or file))
+    for each in (*(f"{stem}_manifest.json" for stem in stems), "manifest.json"):
+        try:
+            with system.open_input_file(f"{folder}/{each}") as f:
+                value = float(json.loads(f.read()).get("output_magnification"))
+            if 0 < value < float("inf"):
+                return repr(value)
+        except (OSError, ValueError, TypeError, AttributeError):
+            continue  # a manifest that isn't there, or says nothing of it
+    return None
+
+
 def _header(uid: str, path: str, declared: float | None) -> tuple:
     try:
         with tiff.opened(path) as f:
             tags = tiff.directories(f)
             pyramid = tiff.levels_of(tags)
-            first = pyramid[0]
-            return uid, path, declared, first.width, first.height, [(first.width / x.width + first.height / x.height) / 2 for x in pyramid], tiff.properties_of(tags[0]), True, None
+            first, facts = pyramid[0], tiff.properties_of(tags[0])
+            if not any(k in facts for k in OBJECTIVE_KEYS) and (found := _beside(path)):
+                facts[SIDECAR] = found
+            return uid, path, declared, first.width, first.height, [(first.width / x.width + first.height / x.height) / 2 for x in pyramid], facts, True, None
     except Exception as e:  # any failure is the row's, not the job's
         return uid, path, declared, None, None, None, None, False, f"{type(e).__name__}: {e}"
 
@@ -226,7 +250,7 @@ def write_pyramids(tile_rows: DataFrame, sizes: DataFrame, folder: str, side: in
         now = spark.read.parquet(f"{work}/pixels_{k}")
         _coded(now, side).write.mode("overwrite").parquet(f"{work}/coded/level_{k}")
         now = _halved(now, side)
-    coded = spark.read.option("recursiveFileLookup", "true").parquet(f"{work}/coded")
+    coded = spark.read.parquet(*(f"{work}/coded/level_{k}" for k in range(levels)))
     total = coded.groupBy("slide_uid").agg(F.sum(F.length("data")).cast("long").alias("total"))
     facts = sizes.select("slide_uid", F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), F.col("mpp").cast("double").alias("mpp"), F.col("magnification").cast("double").alias("magnification"))
     rows = coded.join(facts.join(total, "slide_uid"), "slide_uid").repartition("slide_uid").sortWithinPartitions("slide_uid", "level", "y", "x")

@@ -86,6 +86,9 @@ def test_pyramid_round_trip_and_survey(spark, tmp_path):
         half = np.rint(image.reshape(45, 2, 75, 2, 3).mean((1, 3))).astype(np.uint8)
         assert (pyramid[1].window(f, 0, 0, 75, 45) == half).all()
 
+    again = slides.write_pyramids(rows, sizes, str(tmp_path / "one"), side, str(tmp_path / "work")).collect()
+    assert [r.n_tiles for r in again] == [15]
+
     (tmp_path / "bad.tif").write_bytes(b"placeholder")
     listed = spark.createDataFrame([(uid, made.path), ("bad", str(tmp_path / "bad.tif")), ("gone", str(tmp_path / "gone.tif"))], "slide_uid string, path string")
     seen = {r.slide_uid: r for r in slides.surveyed(listed).collect()}
@@ -240,3 +243,18 @@ def test_refinement_enhancement_and_equalisation():
     inside, before = out[20, 20], np.array((140, 100, 70))
     assert (inside.max() - inside.min()) / inside.max() > (before.max() - before.min()) / before.max()
     assert out[0, 0].max() - out[0, 0].min() == 0
+
+
+def test_magnification_from_a_manifest_beside_the_file(spark, tmp_path):
+    image = image_of(37, 23)
+    for folder, names in {"a": {"s_manifest.json": '{"output_magnification": 10}'}, "b": {"s_manifest.json": "[]", "s.ome_manifest.json": '{"output_magnification": "5"}'}, "c": {"s_manifest.json": "no", "manifest.json": '{"output_magnification": 40}'}, "d": {"manifest.json": '{"output_magnification": -1}'}}.items():
+        (tmp_path / folder).mkdir()
+        plain_tiff(tmp_path / folder / "s.ome.tif", image, text=b"nothing known\0")
+        for name, text in names.items():
+            (tmp_path / folder / name).write_text(text)
+    (tmp_path / "e").mkdir()
+    plain_tiff(tmp_path / "e" / "s.ome.tif", image)
+    (tmp_path / "e" / "manifest.json").write_text('{"output_magnification": 40}')
+    rows = spark.createDataFrame([(k, str(tmp_path / k / "s.ome.tif")) for k in "abcde"], "slide_uid string, path string")
+    assert {r.slide_uid: r.base for r in slides.surveyed(rows).collect()} == {"a": 10.0, "b": 5.0, "c": 40.0, "d": None, "e": 20.0}
+    assert {r.base for r in slides.surveyed(rows.withColumn("source_magnification", __import__("pyspark").sql.functions.lit(2.5))).collect()} == {2.5}
