@@ -744,5 +744,4 @@ e AS (SELECT *, (x0 * 7 + y0 * 13) % 97 / 100::DOUBLE AS fraction FROM d)"""
 
 @query(f"WITH {SURVEY}, {SEARCH} SELECT slide, region, x0, y0, x1, y1, fraction, fraction >= 0.9::DOUBLE AS found FROM e QUALIFY row_number() OVER (PARTITION BY slide, region ORDER BY fraction < 0.9::DOUBLE, CASE WHEN fraction < 0.9::DOUBLE THEN -fraction END, dx * dx + dy * dy, turn, dx, dy) = 1")
 def nearest_tissue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes = reassembly.search_boxes(domain.survey(spark, sf_dir), 300)
-    return reassembly.nearest_tissue(boxes.withColumn("fraction", (F.col("x0") * 7 + F.col("y0") * 13) % 97 / F.lit(100.0)), 0.9)
+    return reassembly.found_tissue(domain.survey(spark, sf_dir), 300, lambda x0, y0, x1, y1: (x0 * 7 + y0 * 13) % 97 / 100.0, 0.9)
